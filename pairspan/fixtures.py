@@ -43,9 +43,8 @@ def fill_panel(observed: DataFrame, keys: list[str], nodes: tuple[str, ...], fir
     )
 
 
-def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily event value per user and event type; grows with the ``events`` table."""
-    seen = table(spark, sf_dir, "events").select(
+def _event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("sample_id"),
         (F.col("user_id") % 4).cast("string").alias("grp"),
         (F.col("user_id") % 29).cast("string").alias("subject"),
@@ -53,7 +52,16 @@ def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.dayofmonth("ts") - 1).alias("t"),
         F.col("value").alias("q"),
     )
-    return fill_panel(seen, ["sample_id", "grp", "subject"], EVENT_NODES, 0, EVENT_DAYS - 1)
+
+
+def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily event value per user and event type; grows with the ``events`` table."""
+    return fill_panel(_event_rows(spark, sf_dir), ["sample_id", "grp", "subject"], EVENT_NODES, 0, EVENT_DAYS - 1)
+
+
+def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of the samples, straight from the source rows (no panel needed)."""
+    return sample_metadata(_event_rows(spark, sf_dir))
 
 
 def event_z(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,3 +169,14 @@ def supplier_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("n_name").alias("module"),
         )
     )
+
+
+def embedding_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as a study of statistics: label = dataset, dimension = statistic, vector = node pair."""
+    dims = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("dim", "value"))
+    return dims.select(
+        F.col("label").cast("string").alias("sample_id"),
+        F.format_string("d%02d", "dim").alias("node"),
+        F.col("vec_id").alias("t"),
+        F.col("value").cast("double").alias("signal"),
+    )

@@ -61,14 +61,15 @@ def taper_transform(values: pd.Series) -> pd.DataFrame:
 def _morlet(m: np.ndarray) -> list:
     """Coefficients at 10 scales; the 'tapers' of a scale are its time points."""
     n = m.shape[1]
-    t = np.arange(n)
     scales = np.arange(1, 11) / 22
-    gap = t[:, None] - t[None, :]
+    gap = np.arange(-(n - 1), n)
+    size = 1 << (3 * n).bit_length()
+    spec = np.fft.fft(m, size, axis=1)
     out = np.empty((len(m), len(scales), n), dtype=complex)
-    for i, f in enumerate(scales):
+    for i, f in enumerate(scales):  # convolution by Fourier transform: memory stays linear in n
         width = 6 / (2 * np.pi * f)
         wave = np.exp(-2j * np.pi * f * gap) * np.exp(-(gap**2) / (2 * width**2)) / np.sqrt(width)
-        out[:, i] = m @ wave.T
+        out[:, i] = np.fft.ifft(spec * np.fft.fft(wave, size), axis=1)[:, n - 1 : 2 * n - 1]
     return [{"f": scales, "re": list(c.real), "im": list(c.imag)} for c in out]
 
 

@@ -85,7 +85,7 @@ _PAIRS = [(a, b) for a in NODES for b in NODES if a < b]
 )
 def _(spark, sf):
     fact = quality.upper_triangle(fx.spi_fact(spark, sf)).withColumn("node_pair", reshape.node_pair())
-    fact = joins.join_sample_metadata(fact, fx.sample_metadata(fx.event_panel(spark, sf)))
+    fact = joins.join_sample_metadata(fact, fx.event_samples(spark, sf))
     cols = [f"{a}_{b}" for a, b in _PAIRS]
     wide = reshape.to_wide(fact, ["spi", "sample_id", "grp"], "node_pair", "value", cols)
     return _r(wide, *cols)
@@ -102,7 +102,7 @@ _VECTOR_SQL = (
 def _vectors(spark, sf, keys):
     fact = fx.spi_fact(spark, sf).where("node_from < node_to OR (spi = 'lag1' AND node_from <> node_to)")
     long = fact.select("sample_id", F.concat_ws("_", "node_from", "node_to", "spi").alias("feature"), "value").dropDuplicates()
-    long = joins.join_sample_metadata(long, fx.sample_metadata(fx.event_panel(spark, sf)))
+    long = joins.join_sample_metadata(long, fx.event_samples(spark, sf))
     v = reshape.feature_vectors(long, keys)
     micro = F.transform("vector", lambda x: F.round(x * 10000).cast("bigint").cast("string"))
     return v.select(*keys, F.array_join("features", ",").alias("features"), F.array_join(micro, ",").alias("vector"))
@@ -256,7 +256,7 @@ def _(spark, sf):
 
 @query("qc_complete_by_subject", with_(SPI, _QC_ALL.format(k="subject")))
 def _(spark, sf):
-    fact = joins.join_sample_metadata(_listed(spark, sf), fx.sample_metadata(fx.event_panel(spark, sf)))
+    fact = joins.join_sample_metadata(_listed(spark, sf), fx.event_samples(spark, sf))
     return quality.qc_complete(fact, "subject")
 
 
@@ -271,7 +271,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     z = fx.event_z(spark, sf).where(F.col("grp").isin("1", "3") & F.col("node").isin("click", "view"))
-    meta = fx.sample_metadata(fx.event_panel(spark, sf)).where(F.col("grp").isin("1", "3"))
+    meta = fx.event_samples(spark, sf).where(F.col("grp").isin("1", "3"))
     cov = pairs.pair_self_join(z).groupBy(*pairs.PAIR).agg(F.avg(F.col("x") * F.col("y")).alias("value"))
     one = cov.where("node_from = 'click' AND node_to = 'view'")
     return joins.join_sample_metadata(one, meta).select("sample_id", "grp", rounded("value").alias("value"))
@@ -386,13 +386,13 @@ def _(spark, sf):
 
 @query("join_sample_metadata", with_(SPI, f"SELECT spi, sample_id, node_from, node_to, grp, subject, {r6('value', 'value')} FROM spi"))
 def _(spark, sf):
-    return _r(joins.join_sample_metadata(_fact(spark, sf), fx.sample_metadata(fx.event_panel(spark, sf))), "value")
+    return _r(joins.join_sample_metadata(_fact(spark, sf), fx.event_samples(spark, sf)), "value")
 
 
 @query("semi_join_metadata", with_(SPI, "SELECT * FROM meta WHERE sample_id IN (SELECT sample_id FROM spi WHERE spi = 'significant' AND value > 0.7)"))
 def _(spark, sf):
     strong = _fact(spark, sf).where("spi = 'significant' AND value > 0.7")
-    return joins.semi_join_metadata(fx.sample_metadata(fx.event_panel(spark, sf)), strong)
+    return joins.semi_join_metadata(fx.event_samples(spark, sf), strong)
 
 
 @query(
@@ -457,7 +457,7 @@ def _(spark, sf):
 
 @query("distinct_metadata", with_(EV, "SELECT * FROM meta"))
 def _(spark, sf):
-    return fx.sample_metadata(fx.event_panel(spark, sf))
+    return fx.event_samples(spark, sf)
 
 
 @query(
@@ -465,7 +465,7 @@ def _(spark, sf):
     with_(SPI, "SELECT DISTINCT node_from AS name, 'node' AS kind FROM spi UNION SELECT node_to, 'node' FROM spi UNION SELECT spi, 'spi' FROM spi UNION SELECT grp, 'grp' FROM spi"),
 )
 def _(spark, sf):
-    fact = joins.join_sample_metadata(_fact(spark, sf), fx.sample_metadata(fx.event_panel(spark, sf)))
+    fact = joins.join_sample_metadata(_fact(spark, sf), fx.event_samples(spark, sf))
     return sets.distinct_names(fact, {"node_from": "node", "node_to": "node", "spi": "spi", "grp": "grp"})
 
 
@@ -521,7 +521,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     fact = _fact(spark, sf).where("spi = 'cov' AND node_from = 'click' AND node_to = 'view'")
-    fact = joins.join_sample_metadata(fact, fx.sample_metadata(fx.event_panel(spark, sf)))
+    fact = joins.join_sample_metadata(fact, fx.event_samples(spark, sf))
     w = stats.whiskers(fact, ["grp"], "value").drop("fence_low", "fence_high")
     return _r(w, *_BOX_COLS, "whisker_low", "whisker_high")
 
@@ -574,7 +574,7 @@ top AS (SELECT spi, node_from, node_to, grp_a, grp_b, t_stat FROM (SELECT *, row
 
 
 def _with_grp(spark, sf):
-    return joins.join_sample_metadata(_fact(spark, sf), fx.sample_metadata(fx.event_panel(spark, sf)))
+    return joins.join_sample_metadata(_fact(spark, sf), fx.event_samples(spark, sf))
 
 
 @query("welch_t", with_(SPI, f", {_WELCH} SELECT spi, node_from, node_to, grp_a, grp_b, {r6('t_stat', 't_stat')} FROM wt"))
