@@ -6,8 +6,6 @@ Edges are rows ``(a, b, sim)`` with ``a < b``. The number of statistics is set b
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,39 +51,45 @@ def wpgma_linkage(dist: DataFrame, cutoff: float | None = None, max_rounds: int
     is the one that merging the closest pair first would give, up to ties. With a ``cutoff``, merges
     above it never happen and what is left are the clusters.
 
+    The state of a round is one checkpointed table: open edges, members and merges so far.
     Returns the merges ``(round, a, b, height)`` and the members ``(spi, cluster)``. A cluster is
     named by its first member.
     """
-    edges = cut_lineage(dist.select("a", "b", "d"))
-    ends = edges.select(F.col("a").alias("spi")).unionByName(edges.select(F.col("b").alias("spi"))).distinct()
-    members = cut_lineage(ends.select("spi", F.col("spi").alias("cluster")))
-    merges: list[DataFrame] = []
+    edges = dist.select(F.lit("edge").alias("kind"), F.lit(0).alias("round"), "a", "b", "d")
+    ends = dist.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    state = cut_lineage(edges.unionByName(ends.select(F.lit("member").alias("kind"), F.lit(0).alias("round"), "a", F.col("a").alias("b"), F.lit(0.0).alias("d"))))
     for step in range(1, max_rounds + 1):
-        near = edges.where(F.col("d") <= cutoff) if cutoff is not None else edges
-        both = near.select("a", "b", "d").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-        # ties: nearest by distance, then by the names of the pair, so that the choice is mutual
-        order = F.struct(F.round("d", 12).alias("d"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        best = both.groupBy("a").agg(F.min_by(F.struct("b", "d"), order).alias("n")).select("a", "n.b", "n.d")
-        mutual = best.alias("p").join(best.alias("q"), (F.col("p.a") == F.col("q.b")) & (F.col("p.b") == F.col("q.a")))
-        pairs = cut_lineage(mutual.where("p.a < p.b").select(F.lit(step).alias("round"), F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.d").alias("height")))
-        if pairs.isEmpty():
-            break
-        merges.append(pairs)
-        rename = pairs.select(F.col("b").alias("old"), F.col("a").alias("new"))
-        moved = _renamed(_renamed(edges, rename, "a"), rename, "b").where("a <> b")
-        edges = cut_lineage(
-            moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").groupBy("a", "b").agg(F.avg("d").alias("d"))
-        )
-        members = cut_lineage(_renamed(members, rename, "cluster"))
-        if edges.isEmpty():
+        state = cut_lineage(_merge_round(state, step, cutoff))
+        if state.where(F.col("kind").eqNullSafe("merge") & (F.col("round") == step)).isEmpty():
             break
-    tree = reduce(DataFrame.unionByName, merges) if merges else dist.sparkSession.createDataFrame([], "round int, a string, b string, height double")
-    return tree, members
-
-
-def _renamed(df: DataFrame, rename: DataFrame, col: str) -> DataFrame:
-    r = F.broadcast(rename.select(F.col("old").alias("_old"), F.col("new").alias("_new")))  # at most one row per statistic
-    return df.join(r, df[col] == r["_old"], "left").withColumn(col, F.coalesce("_new", col)).drop("_old", "_new")
+    merges = state.where("kind = 'merge'").select("round", "a", "b", F.col("d").alias("height"))
+    return merges, state.where("kind = 'member'").select(F.col("a").alias("spi"), F.col("b").alias("cluster"))
+
+
+def _merge_round(state: DataFrame, step: int, cutoff: float | None) -> DataFrame:
+    edges = state.where("kind = 'edge'")
+    near = edges.where(F.col("d") <= cutoff) if cutoff is not None else edges
+    ends = near.select(F.inline(F.array(F.struct("a", "b", "d"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "d"))))
+    # ties go by distance, then by the names of the pair, so that the choice is mutual
+    lo, hi = F.least("a", "b"), F.greatest("a", "b")
+    best = ends.groupBy("a").agg(F.min(F.struct(F.round("d", 12).alias("r"), lo.alias("lo"), hi.alias("hi"), "d")).alias("n"))
+    # a pair that both ends choose appears twice
+    pairs = best.groupBy(F.col("n.lo").alias("a"), F.col("n.hi").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("n.d").alias("d")).where("n = 2")
+    rename = F.broadcast(pairs.select(F.col("b").alias("old"), F.col("a").alias("new")))  # at most half the statistics
+    to_a, to_b = (rename.select(F.col("old").alias(f"{c}_old"), F.col("new").alias(f"{c}_new")) for c in "ab")
+    moved = (
+        state.where("kind <> 'merge'")
+        .join(to_b, F.col("b") == F.col("b_old"), "left")
+        .join(to_a, (F.col("a") == F.col("a_old")) & (F.col("kind") == "edge"), "left")
+        .select("kind", F.coalesce("a_new", "a").alias("a"), F.coalesce("b_new", "b").alias("b"), "d")
+        .where("kind = 'member' OR a <> b")
+    )
+    is_edge = F.col("kind") == "edge"
+    first, second = F.when(is_edge, F.least("a", "b")).otherwise(F.col("a")), F.when(is_edge, F.greatest("a", "b")).otherwise(F.col("b"))
+    kept = moved.groupBy("kind", first.alias("a"), second.alias("b")).agg(F.avg("d").alias("d"))
+    kept = kept.select("kind", F.lit(0).alias("round"), "a", "b", "d")
+    merged = pairs.select(F.lit("merge").alias("kind"), F.lit(step).alias("round"), "a", "b", "d")
+    return kept.unionByName(merged).unionByName(state.where("kind = 'merge'"))
 
 
 def cluster_cut(dist: DataFrame, cutoff: float) -> DataFrame:
