@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-CELLS = 2_000_000  # numbers held at once by a quadratic step
+CELLS = 250_000  # numbers held at once by a quadratic step: a block fits the processor cache
 
 
 def lists_to_numpy(col: pa.Array) -> list[np.ndarray]:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairspan.functions.batches import map_arrays
+from pairspan.functions.batches import map_arrays, row_blocks
 from pairspan.functions.numeric import ratio
 from pairspan.operators.pairs import PAIR, melt_stats, pair_arrays, pair_self_join
 from pairspan.operators.windows import join_group_stats
@@ -61,30 +61,39 @@ def spi_reci(panel: DataFrame) -> DataFrame:
     return melt_stats(m, {"reci": F.col("v")})
 
 
-def _skills(x: np.ndarray, y: np.ndarray, dim: int) -> np.ndarray:
-    """Skill of predicting x from the delay vectors of y, per library quarter (batch x sizes)."""
+def _skills(x: np.ndarray, y: np.ndarray, max_dim: int = 10) -> dict[int, np.ndarray]:
+    """Skill of predicting x from the delay vectors of y: per embedding, batch x library sizes.
+
+    The squared distance of two delay vectors grows by one term per dimension, so all embeddings
+    share one pass over blocks of rows; a smaller library is the head of a larger one.
+    """
     b, n = x.shape
-    m = n - dim + 1
-    if m < dim + 2:
-        return np.full((b, 1), np.nan)
-    v = np.stack([y[:, dim - 1 - k : n - k] for k in range(dim)], axis=2)
-    truth = x[:, dim - 1 :]
-    out = []
-    for size in sorted({m * q // 4 for q in (1, 2, 3, 4)}):
-        if size < dim + 2:
-            continue
-        pred = np.empty((b, m))
-        for i in range(m):  # one point against the library: memory stays linear
-            d = np.sqrt(((v[:, i, None, :] - v[:, :size, :]) ** 2).sum(axis=2)).round(9)
-            if i < size:
-                d[:, i] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, : dim + 1]
-            near = np.take_along_axis(d, order, axis=1)
-            first = near[:, :1]
-            w = np.where(first > 0, np.exp(-near / np.where(first > 0, first, 1.0)), (near == 0) * 1.0)
-            pred[:, i] = (w * np.take_along_axis(truth[:, :size], order, axis=1)).sum(axis=1) / w.sum(axis=1)
-        out.append(_row_corr(pred, truth))
-    return np.stack(out, axis=1) if out else np.full((b, 1), np.nan)
+    sizes = {d: [s for s in sorted({(n - d + 1) * q // 4 for q in (1, 2, 3, 4)}) if s >= d + 2] for d in range(1, max_dim + 1)}
+    pred = {d: np.empty((len(s), b, n - d + 1)) for d, s in sizes.items() if s}
+    for rows in row_blocks(b, n):
+        at = np.arange(rows.start, rows.stop)
+        square = np.zeros((b, len(at), n))
+        for d in range(1, max_dim + 1):
+            m = n - d + 1
+            at = at[at < m]
+            square = square[:, : len(at), :m] + (y[:, at + d - 1, None] - y[:, None, d - 1 : n]) ** 2
+            if not len(at) or d not in pred:
+                continue
+            dist = np.sqrt(square).round(9)
+            dist[:, np.arange(len(at)), at] = np.inf
+            truth = x[:, d - 1 :]
+            for k, size in enumerate(sizes[d]):
+                order = np.argsort(dist[:, :, :size], axis=2, kind="stable")[:, :, : d + 1]
+                near = np.take_along_axis(dist, order, axis=2)
+                first = near[:, :, :1]
+                w = np.where(first > 0, np.exp(-near / np.where(first > 0, first, 1.0)), (near == 0) * 1.0)
+                hit = np.take_along_axis(truth[:, None, :], order.reshape(b, 1, -1), axis=2).reshape(order.shape)
+                pred[d][k][:, at] = (w * hit).sum(axis=2) / w.sum(axis=2)
+    out = {}
+    for d in range(1, max_dim + 1):
+        got = [_row_corr(p, x[:, d - 1 :]) for p in pred.get(d, [])]
+        out[d] = np.stack(got, axis=1) if got else np.full((b, 1), np.nan)
+    return out
 
 
 def _row_corr(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,25 +102,37 @@ def _row_corr(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(den > 1e-12, (a * b).sum(axis=1) / np.where(den > 0, den, 1.0), np.nan)
 
 
+def _over(skill: np.ndarray, how) -> np.ndarray:
+    """Mean or maximum over the library sizes that have a skill."""
+    out = np.full(len(skill), np.nan)
+    some = np.isfinite(skill).any(axis=1)
+    out[some] = how(skill[some], axis=1)
+    return out
+
+
 def cross_mapping(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Cross-map skill for embedding 1, 10 and the best of 1..10."""
-    forward = {e: _skills(x, y, e) for e in range(1, 11)}
-    backward = {e: _skills(y, x, e) for e in range(1, 11)}
-    full = np.stack([np.nan_to_num(forward[e][:, -1], nan=-2.0) for e in range(1, 11)], axis=1)
-    best = full.argmax(axis=1) + 1
+    """Cross-map skill for embedding 1, 10 and the best of 1..10, in both directions of the pair."""
+    skills = {"f": _skills(x, y), "b": _skills(y, x)}
     out = {}
-    for tag in ("1", "10", "None"):
-        stats = []
-        for e in range(1, 11) if tag == "None" else [int(tag)]:
-            f, g = forward[e], backward[e]
-            stats.append((f.mean(axis=1), f.max(axis=1), f.mean(axis=1) - g.mean(axis=1)))
-        pick = best - 1 if tag == "None" else np.zeros(len(x), dtype=int)
-        for k, name in enumerate(("mean", "max", "diff")):
-            out[f"E{tag}_{name}"] = np.stack([s[k] for s in stats], axis=1)[np.arange(len(x)), pick]
+    for way, back in (("f", "b"), ("b", "f")):
+        mine, other = skills[way], skills[back]
+        full = np.stack([np.nan_to_num(mine[e][:, -1], nan=-2.0) for e in range(1, 11)], axis=1)
+        best = full.argmax(axis=1)
+        for tag in ("1", "10", "None"):
+            stats = [(_over(mine[e], np.nanmean), _over(mine[e], np.nanmax), _over(mine[e], np.nanmean) - _over(other[e], np.nanmean)) for e in (range(1, 11) if tag == "None" else [int(tag)])]
+            pick = best if tag == "None" else np.zeros(len(x), dtype=int)
+            for k, name in enumerate(("mean", "max", "diff")):
+                out[f"{way}_E-{tag}_{name}"] = np.stack([s[k] for s in stats], axis=1)[np.arange(len(x)), pick]
     return out
 
 
 def spi_ccm(panel: DataFrame) -> DataFrame:
-    cols = [f"E{e}_{s}" for e in ("1", "10", "None") for s in ("mean", "max", "diff")]
-    m = map_arrays(pair_arrays(panel, directed=True), PAIR, ["x", "y"], cross_mapping, cols, power=1)
-    return melt_stats(m, {f"ccm_E-{c[1:]}": F.col(c) for c in cols})
+    """Each pair is visited once; its two directions share the neighbour searches."""
+    names = [f"E-{e}_{s}" for e in ("1", "10", "None") for s in ("mean", "max", "diff")]
+    m = map_arrays(pair_arrays(panel), PAIR, ["x", "y"], cross_mapping, [f"{w}_{c}" for w in "fb" for c in names])
+    forward = [F.struct(F.lit(f"ccm_{c}").alias("spi"), "node_from", "node_to", F.col(f"`f_{c}`").alias("value")) for c in names]
+    backward = [
+        F.struct(F.lit(f"ccm_{c}").alias("spi"), F.col("node_to").alias("node_from"), F.col("node_from").alias("node_to"), F.col(f"`b_{c}`").alias("value"))
+        for c in names
+    ]
+    return m.select("sample_id", F.inline(F.array(*forward, *backward))).select("spi", *PAIR, "value")

@@ -235,34 +235,42 @@ def spi_te_kernel(panel: DataFrame) -> DataFrame:
     return melt_stats(m, {"te_kernel_W-0.25_k-1": F.col("v")})
 
 
-def _order_pattern(v: str, width: int) -> Column:
-    """Order pattern of ``width`` values ending at each step, as text; equal values keep time order."""
-    ranked = f"array_sort(transform(sequence(0, {width - 1}), j -> named_struct('v', {v}[i + j], 'j', j)))"
-    return F.expr(f"transform(sequence(0, size({v}) - {width}), i -> array_join(transform({ranked}, e -> cast(e.j as string)), ' '))")
+def _count_sums(*codes: np.ndarray) -> np.ndarray:
+    """Sum of n ln n over the distinct combinations of the codes, per batch row."""
+    b, m = codes[0].shape
+    key = np.repeat(np.arange(b), m)
+    for c in codes:
+        _, dense = np.unique(c, return_inverse=True)
+        key = np.unique(key * (dense.max() + 1) + dense.reshape(-1), return_inverse=True)[1].reshape(-1)
+    n = np.bincount(key)
+    row = np.zeros(len(n), dtype=int)
+    row[key] = np.repeat(np.arange(b), m)
+    return np.bincount(row, weights=n * np.log(n), minlength=b)
+
+
+def symbolic_transfer(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Plug-in transfer entropy of order patterns; a history of k uses patterns of k + 1 values.
+
+    Equal values count as rising, so a pattern is always defined.
+    """
+    b, n = x.shape
+    rise_x, rise_y = x[:, 1:] >= x[:, :-1], y[:, 1:] >= y[:, :-1]
+    out = {}
+    for k in (1, 10):
+        m = n - k - 1
+        if m < 2:
+            out[f"k{k}"] = np.full(b, np.nan)
+            continue
+        order = np.argsort(np.lib.stride_tricks.sliding_window_view(y, k + 1, axis=1), axis=2, kind="stable")
+        past = (order * (k + 1) ** np.arange(k + 1, dtype=np.int64)).sum(axis=2)[:, :m]
+        nxt, src = rise_y[:, k : k + m], rise_x[:, k - 1 : k - 1 + m]
+        out[f"k{k}"] = (_count_sums(past, nxt, src) + _count_sums(past) - _count_sums(past, nxt) - _count_sums(past, src)) / m
+    return out
 
 
 def spi_te_symbolic(panel: DataFrame) -> DataFrame:
-    """Plug-in transfer entropy of order patterns; a history of k uses patterns of k + 1 values."""
-    a = pair_arrays(panel, directed=True, value="signal").select(*PAIR, "x", "y")
-    parts = []
-    for k in (1, 10):
-        w = k + 1
-        s = a.where(F.size("x") > w).select(*PAIR, _order_pattern("y", w).alias("p"), _order_pattern("y", 2).alias("f"), _order_pattern("x", 2).alias("q"))
-        # pattern i of p ends at step i + k; the next move of y and the last move of x sit beside it
-        m = F.size("p") - 1
-        z = s.select(*PAIR, F.slice("p", F.lit(1), m).alias("p"), F.slice("f", F.lit(k + 1), m).alias("f"), F.slice("q", F.lit(k), m).alias("q"))
-        pts = z.select(*PAIR, F.inline(F.arrays_zip("p", "f", "q")))
-        joint = pts.groupBy(*PAIR, "p", "f", "q").agg(F.count(F.lit(1)).alias("n"))
-
-        def entropy_of(keys: list[str], sign: int) -> DataFrame:
-            c = joint.groupBy(*PAIR, *keys).agg(F.sum("n").alias("n"))
-            return c.groupBy(*PAIR).agg((sign * F.sum(F.col("n") * F.ln("n"))).alias("h"), F.sum("n").alias("m"))
-
-        terms = [entropy_of(["p", "f", "q"], 1), entropy_of(["p"], 1), entropy_of(["p", "f"], -1), entropy_of(["p", "q"], -1)]
-        total = terms[0].unionByName(terms[1]).unionByName(terms[2]).unionByName(terms[3])
-        te = total.groupBy(*PAIR).agg((F.sum("h") / F.max("m")).alias("v"))
-        parts.append(melt_stats(te, {f"te_symbolic_k-{k}_kt-1_l-1_lt-1": F.col("v")}))
-    return parts[0].unionByName(parts[1])
+    m = map_arrays(pair_arrays(panel, directed=True, value="signal"), PAIR, ["x", "y"], symbolic_transfer, ["k1", "k10"], power=1)
+    return melt_stats(m, {f"te_symbolic_k-{k}_kt-1_l-1_lt-1": F.col(f"k{k}") for k in (1, 10)})
 
 
 def spi_gc_gaussian(panel: DataFrame) -> DataFrame:
