@@ -2,23 +2,22 @@
 
 A line is the set of its words; earlier means by (doc_id, place in the document). Equal sets are made one first. Words are ordered by rarity, counted over
 all lines in a table of fixed size; any order gives the same result, this one keeps groups small. Different sets that reach the similarity share a word of their
-prefixes, so each set sends an entry (length, place, 64-bit parity map) for each word of its prefix. In a word's group the length and positional filters
+prefixes, so each set sends an entry (length, place, 192-bit parity map) for each word of its prefix. In a word's group the length and positional filters
 and the parity maps leave few pairs: two sets differ in at least as many words as their maps differ in bits. The words of a hot group are split into tiles by
 hash, from the counts known beforehand, and a task takes a pair of tiles. What is left is joined into forests and components, whose members' words are
 fetched once and verified exactly, again in pairs of tiles. No pair of lines is ever a row of its own: each set gets its earliest match and its number of links.
 
 Defined results: null counts as empty; lines without words are left as they are; rows without an id come last among equals; repeated rows of a ``doc_id`` are further lines
-of it, in the order of their text; word hashes have 64 bits. An empty table gives no rows.
+of it; words are told apart by 48 bits of a hash. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairspan.llm.arrays import Hasher, batch_of, chunks, mixed, words
@@ -30,7 +29,10 @@ COUNT_BITS = 18  # of the table of word counts
 TILE = 8192  # entries of a word's group, or members of a component, that a task compares with as many others
 BUCKET = 50_000  # about how many entries are shuffled and read together
 EVERY = 16  # one line in so many sizes the work
-ENTRY = np.dtype([("word", "<u8"), ("pair", "<u4"), ("tile", "<u2"), ("line", "<u8"), ("map", "<u8"), ("n", "<u4"), ("at", "<u2")])
+MAP_WORDS = 3  # 64-bit words of a parity map
+#: group: 48 bits of the word (or of the word and a pair of tiles), then 16 of its place in the set; a place over 65,535 counts as that, which filters less
+ENTRY = np.dtype([("group", "<u8"), ("line", "<u8"), ("n", "<u4"), ("map", "<u8", (MAP_WORDS,))])
+SLOTS = np.arange(1 << COUNT_BITS, dtype=np.uint64)
 
 
 def _line_words(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,24 +47,28 @@ def _line_words(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[
     return hasher.spans(w.start, w.end), np.searchsorted(breaks, w.start) + w.row, np.repeat(np.arange(len(n_lines)), n_lines), first
 
 
-def _sets(token: np.ndarray, line: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of each line, in the order of ``rank`` of their count slots, then of their hash bits."""
-    slot = token >> np.uint64(64 - COUNT_BITS)
-    first = slot if rank is None else rank[slot.astype(np.int64)].astype(np.uint64)
-    inner = (first << np.uint64(26)) | ((token >> np.uint64(10)) & np.uint64((1 << 26) - 1))
+def _sets(token: np.ndarray, line: np.ndarray, rank: np.ndarray = SLOTS, slot: np.ndarray = SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words (48 bits) and lines, sorted by line, ``rank`` of the word's count slot, and word; ``slot`` undoes ``rank``.
+
+    One number holds line, rank and 30 more bits of the word, so that a plain sort does it, 2^16 lines at a time.
+    """
+    words_, lines_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    key = (rank[(token >> np.uint64(46)).astype(np.int64)] << np.uint64(30)) | ((token >> np.uint64(16)) & np.uint64((1 << 30) - 1))
     base = int(line[0]) if len(line) else 0
-    if not len(line) or int(line[-1]) - base < 1 << 20:  # one number sorts by line, rank and 26 bits of the hash
-        inner |= (line - base).astype(np.uint64) << np.uint64(44)
-        order = np.argsort(inner)
-    else:
-        order = np.lexsort((inner, line))
-    key, token_, line_ = inner[order], token[order], line[order]
-    if ((key[1:] == key[:-1]) & (token_[1:] != token_[:-1])).any():
-        order = np.lexsort((token, inner, line))
-        token_, line_ = token[order], line[order]
-    new = np.ones(len(token_), bool)
-    new[1:] = (token_[1:] != token_[:-1]) | (line_[1:] != line_[:-1])
-    return token_[new], line_[new]
+    while len(key):
+        end = int(np.searchsorted(line, base + (1 << 16)))
+        own = np.sort(key[:end] | ((line[:end] - base).astype(np.uint64) << np.uint64(48)))
+        own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        lines_.append((own >> np.uint64(48)).astype(np.int64) + base)
+        words_.append((slot[((own >> np.uint64(30)) & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)] << np.uint64(30)) | (own & np.uint64((1 << 30) - 1)))
+        key, line = key[end:], line[end:]
+        base = int(line[0]) if len(line) else 0
+    return np.concatenate(words_), np.concatenate(lines_)
+
+
+def _slots(word: np.ndarray) -> np.ndarray:
+    """Count slots of 48-bit words."""
+    return (word >> np.uint64(30)).astype(np.int64)
 
 
 class _Seen:
@@ -89,32 +95,42 @@ def _starts(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate([start, [len(line)]]))
 
 
-def _word_counts(docs: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each slot: how many words of all lines fall in it, and about how many words of prefixes; 2^18 numbers each, whatever the input.
+def _count(docs: DataFrame, similarity: float) -> DataFrame:
+    """Lines ``doc_id, line, words, set`` and, in rows without a set, ``slot, n, m``: how many lines have a word of the slot, and about how many have one in their prefix.
 
-    The first count orders words. The second only sizes the work, and takes the prefixes of one line in ``EVERY`` by the order that the task knows so far.
+    There are 2^18 slots, whatever the input. The first count orders words. The second only sizes the work, and takes the prefixes of one line in ``EVERY`` by the
+    order that the task knows so far.
     """
-    schema = pa.schema([("slot", pa.int32()), ("n", pa.int64()), ("m", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("words", pa.int32()), ("set", pa.int64()), ("slot", pa.int32()), ("n", pa.int64()), ("m", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, total, heads = Hasher(), np.zeros(1 << COUNT_BITS, np.int64), np.zeros(1 << COUNT_BITS, np.int64)
         for b in batches:
-            for _, _, data, offsets in chunks(b.column("text")):
-                token, line, _, _ = _line_words(data, offsets, hasher)
-                total += np.bincount((token >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+            ids = b.column("doc_id")
+            for lo, _, data, offsets in chunks(b.column("text")):
+                token, line, row_of, first = _line_words(data, offsets, hasher)
                 some = line % EVERY == 0
-                token, line = _sets(token[some], line[some], np.minimum(total, (1 << COUNT_BITS) - 1).astype(np.uint32))
+                early = np.minimum(total, (1 << COUNT_BITS) - 1).astype(np.uint64)
+                part, part_line = token[some], line[some]
+                token, line = _sets(token, line)
                 start, n = _starts(line)
+                of = _set_hash(token, start)
+                row = row_of[line[start]]
+                none = [None] * len(of)
+                yield batch_of(schema, doc_id=ids.take(pa.array(lo + row)), line=line[start] - first[row], words=n, set=of.view(np.int64), slot=none, n=none, m=none)
+                total += np.bincount(_slots(token), minlength=1 << COUNT_BITS)
+                # ranks that tie mix up slots of like counts, which is near enough here
+                order = np.lexsort((early[(part >> np.uint64(46)).astype(np.int64)], part_line))
+                part, part_line = part[order], part_line[order]
+                start, n = _starts(part_line)
                 p = prefix_size(n, similarity)
                 at = np.repeat(start, p) + np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
-                heads += EVERY * np.bincount((token[at] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+                heads += EVERY * np.bincount((part[at] >> np.uint64(46)).astype(np.int64), minlength=1 << COUNT_BITS)
         own = np.flatnonzero(total)
-        yield batch_of(schema, slot=own, n=total[own], m=heads[own])
+        none = [None] * len(own)
+        yield batch_of(schema, doc_id=none, line=none, words=none, set=none, slot=own, n=total[own], m=heads[own])
 
-    got = docs.select("text").mapInArrow(count, "slot int, n long, m long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toArrow()
-    out = np.zeros((2, 1 << COUNT_BITS), np.int64)
-    out[:, got.column("slot").to_numpy()] = got.column("n").to_numpy(), got.column("m").to_numpy()
-    return out[0], out[1]
+    return docs.mapInArrow(count, "doc_id long, line int, words int, `set` long, slot int, n long, m long")
 
 
 def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -123,93 +139,95 @@ def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, counts: np.ndarray, heads: np.ndarray, similarity: float, tile: int) -> DataFrame:
-    """Lines ``doc_id, line, words, set`` and, in other rows, packed entries of prefixes by bucket (``bucket, packed``)."""
-    rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.uint32)
-    tiles = np.clip(-(-heads // tile), 1, 65535).astype(np.uint32)
+    """Packed entries of prefixes by bucket: ``bucket, packed``."""
+    rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.uint64)
+    slot = np.argsort(rank).astype(np.uint64)
+    tiles = np.clip(-(-heads // tile), 1, 65535)
     buckets = np.uint64(min(1 << 30, max(64, int(heads.sum()) // BUCKET)))
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("words", pa.int32()), ("set", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
 
     def emit(held: list[np.ndarray]) -> pa.RecordBatch:
         all_ = np.concatenate(held)
-        bucket = ((all_["word"] + all_["pair"] * np.uint64(0x9E3779B1)) % buckets).astype(np.int64)
+        bucket = ((all_["group"] >> np.uint64(16)) % buckets).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         own, first = np.unique(bucket[order], return_index=True)
-        blobs = [x.tobytes() for x in np.split(all_[order], first[1:])]
-        none = [None] * len(own)
-        return batch_of(schema, doc_id=none, line=none, words=none, set=none, bucket=own, packed=blobs)
+        return batch_of(schema, bucket=own, packed=[x.tobytes() for x in np.split(all_[order], first[1:])])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size, seen = Hasher(), [], 0, _Seen()
         for b in batches:
-            ids = b.column("doc_id")
-            for lo, _, data, offsets in chunks(b.column("text")):
-                token, line, row_of, first = _line_words(data, offsets, hasher)
-                token, line = _sets(token, line, rank)
+            for _, _, data, offsets in chunks(b.column("text")):
+                token, line, _, _ = _line_words(data, offsets, hasher)
+                token, line = _sets(token, line, rank, slot)
                 start, n = _starts(line)
                 of = _set_hash(token, start)
-                row = row_of[line[start]]
-                none = [None] * len(of)
-                yield batch_of(schema, doc_id=ids.take(pa.array(lo + row)), line=line[start] - first[row], words=n, set=of.view(np.int64), bucket=none, packed=none)
                 # sets of up to 1/(1-similarity) - 1 words match equal sets only; those met in this task are sent once
                 long = np.flatnonzero(n * (1 - similarity) >= similarity - 1e-9)
                 fresh = long[seen.fresh(of[long])]
                 if not len(fresh):
                     continue
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(token ^ np.uint64(0xA0761D64)) >> np.uint64(58)), start)
-                p = prefix_size(n[fresh], similarity)
+                n, start, of = n[fresh], start[fresh], of[fresh]
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                token = token[np.repeat(start, n) + inner]
+                start = np.cumsum(n) - n
+                place = mixed(token ^ np.uint64(0xA0761D64)) >> np.uint64(32)
+                bit, which = np.uint64(1) << (place & np.uint64(63)), (place >> np.uint64(6)) % np.uint64(MAP_WORDS)
+                p = prefix_size(n, similarity)
                 at = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
                 e = np.zeros(len(at), ENTRY)
-                e["word"], e["line"], e["map"] = token[np.repeat(start[fresh], p) + at], np.repeat(of[fresh], p), np.repeat(parity[fresh], p)
-                e["n"], e["at"] = np.repeat(n[fresh], p), np.minimum(at, 65535)
-                k = tiles[(e["word"] >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-                e["tile"] = (e["line"] >> np.uint64(7)) % k.astype(np.uint64)
-                e = np.repeat(e, k)  # an entry of tile t goes to the pairs (t, u) of all k tiles u
-                many = np.repeat(k, k).astype(np.int64)
-                other = np.arange(len(e)) - np.repeat(np.cumsum(k, dtype=np.int64) - k, k)
-                low, high = np.minimum(other, e["tile"]), np.maximum(other, e["tile"])
-                e["pair"] = (low * many + high) & 0xFFFFFFFF
+                word = token[np.repeat(start, p) + at]
+                for k in range(MAP_WORDS):
+                    e["map"][:, k] = np.repeat(np.bitwise_xor.reduceat(np.where(which == k, bit, np.uint64(0)), start), p)
+                e["line"], e["n"] = np.repeat(of, p), np.repeat(n, p)
+                e["group"] = (word << np.uint64(16)) | np.minimum(at, 65535).astype(np.uint64)
+                k = tiles[_slots(word)]
+                hot = k > 1
+                if hot.any():  # an entry of tile t goes to the pairs (t, u) of all k tiles u
+                    few, kk = e[hot], k[hot]
+                    few, many = np.repeat(few, kk), np.repeat(kk, kk)
+                    mine = ((few["line"] >> np.uint64(7)) % many.astype(np.uint64)).astype(np.int64)
+                    other = np.arange(len(few)) - np.repeat(np.cumsum(kk) - kk, kk)
+                    pair = (np.minimum(other, mine) * many + np.maximum(other, mine)).astype(np.uint64)
+                    group = mixed((few["group"] >> np.uint64(16)) ^ (pair << np.uint64(24))) & np.uint64((1 << 48) - 1)
+                    few["group"] = (group << np.uint64(16)) | (few["group"] & np.uint64(65535))
+                    e = np.concatenate([e[~hot], few])
                 held.append(e)
                 size += e.nbytes
-                if size > 24 << 20:
+                if size > 16 << 20:
                     yield emit(held)
                     held, size = [], 0
         if held:
             yield emit(held)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, line int, words int, `set` long, bucket int, packed binary")
+    return docs.mapInArrow(scan, "bucket int, packed binary")
 
 
 def group_links(e: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Forest of the pairs that the filters leave in the groups (word, pair of tiles) of the entries: node and root, as set hashes."""
-    order = np.lexsort((e["n"], e["pair"], e["word"]))
-    e = e[order]
+    """Forest of the pairs that the filters leave in the groups of the entries: node and root, as set hashes."""
+    e = e[np.lexsort((e["n"], e["group"] >> np.uint64(16)))]
     own, place = np.unique(e["line"], return_inverse=True)
-    word, pair, n, at, bits, tile = (np.ascontiguousarray(e[c]) for c in ("word", "pair", "n", "at", "map", "tile"))
-    n, at = n.astype(np.int64), at.astype(np.int64)
+    group, n, at = e["group"] >> np.uint64(16), e["n"].astype(np.int64), (e["group"] & np.uint64(65535)).astype(np.int64)
+    maps = np.ascontiguousarray(e["map"])
     most = np.floor(n / similarity + 1e-9).astype(np.int64)
-    split = np.zeros(len(e), bool)  # groups of two different tiles: only pairs across
-    new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (pair[1:] != pair[:-1])])) if len(e) else np.zeros(0, np.int64)
-    if len(e):
-        lo, hi = np.minimum.reduceat(tile, new), np.maximum.reduceat(tile, new)
-        split = np.repeat(lo != hi, np.diff(np.concatenate([new, [len(e)]])))
     parent = np.arange(len(own))
     active, d = np.arange(len(e)), 0
     while True:
         d += 1
         active = active[active + d < len(e)]
         j = active + d
-        ok = (word[j] == word[active]) & (pair[j] == pair[active]) & (n[j] <= most[active])
+        ok = (group[j] == group[active]) & (n[j] <= most[active])
         active, j = active[ok], j[ok]
         if not len(active):
-            return own[np.flatnonzero(parent != np.arange(len(own)))], own[parent[parent != np.arange(len(own))]]
+            moved = np.flatnonzero(parent != np.arange(len(own)))
+            return own[moved], own[parent[moved]]
         total = n[active] + n[j]
         need = np.ceil(similarity / (1 + similarity) * total - 1e-9).astype(np.int64)
         # words before this one are rarer; at most the smaller place of them is shared, and what comes after
         could = np.minimum(at[active], at[j]) + 1 + np.minimum(n[active] - at[active] - 1, n[j] - at[j] - 1)
-        ok = (could >= need) & (np.bitwise_count(bits[active] ^ bits[j]) <= total - 2 * need) & ~(split[active] & (tile[active] == tile[j]))
-        a, b = place[active[ok]], place[j[ok]]
-        if len(a):
-            parent = hook(parent, a, b)
+        ok = np.flatnonzero(could >= need)
+        ok = ok[np.bitwise_count(maps[active[ok]] ^ maps[j[ok]]).sum(1) <= (total - 2 * need)[ok]]
+        if len(ok):
+            parent = hook(parent, place[active[ok]], place[j[ok]])
 
 
 def _edges(entries: DataFrame, similarity: float) -> DataFrame:
@@ -220,19 +238,32 @@ def _edges(entries: DataFrame, similarity: float) -> DataFrame:
         node, root = group_links(e, similarity)
         return pa.Table.from_batches([batch_of(schema, a=node.view(np.int64), b=root.view(np.int64))])
 
-    return entries.where("packed is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(run, "a long, b long")
+    return entries.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 BITMAP = 24  # bits of the number of slots that tell which sets are in a component
 
 
-def _members(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """``set, packed`` words of the sets whose slot is wanted, at most once a task."""
+def _bits(slots: DataFrame) -> np.ndarray:
+    """Packed bits of a column ``slot`` of numbers below 2^24."""
+    table = np.zeros(1 << BITMAP, bool)
+    for r in slots.groupBy(F.shiftright("slot", 5).alias("w")).agg(F.collect_set(F.col("slot").bitwiseAND(F.lit(31)).cast("int")).alias("bits")).toLocalIterator():
+        table[np.array(r["bits"]) + (r["w"] << 5)] = True
+    return np.packbits(table)
+
+
+def _doc_slot(doc_id: Column) -> Column:
+    return F.coalesce(F.shiftrightunsigned(F.xxhash64(doc_id), 64 - BITMAP), F.lit(0))
+
+
+def _members(docs: DataFrame, sets: np.ndarray, ids: np.ndarray) -> DataFrame:
+    """``set, packed`` words of the sets whose slot is on, from documents whose slot is on, at most once a task."""
     schema = pa.schema([("set", pa.int64()), ("packed", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hasher, seen = np.unpackbits(wanted).astype(bool), Hasher(), _Seen()
+        table, own_ids, hasher, seen = np.unpackbits(sets).astype(bool), np.unpackbits(ids).astype(bool), Hasher(), _Seen()
         for b in batches:
+            b = b.filter(pa.array(own_ids[b.column("slot").to_numpy()]))
             for _, _, data, offsets in chunks(b.column("text")):
                 token, line, _, _ = _line_words(data, offsets, hasher)
                 token, line = _sets(token, line)
@@ -243,7 +274,7 @@ def _members(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                 blobs = [token[s : s + k].tobytes() for s, k in zip(start[own].tolist(), n[own].tolist(), strict=True)]
                 yield batch_of(schema, set=of[own].view(np.int64), packed=blobs)
 
-    return docs.select("text").mapInArrow(scan, "`set` long, packed binary")
+    return docs.select("text", _doc_slot(docs["doc_id"]).alias("slot")).mapInArrow(scan, "`set` long, packed binary")
 
 
 def similar_pairs(x: list[np.ndarray], y: list[np.ndarray] | None, similarity: float) -> np.ndarray:
@@ -328,16 +359,17 @@ def line_matches(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TI
     ``copies`` counts the lines of the same set, ``links`` the other sets that are similar; ``gone`` tells whether an earlier line is equal or similar.
     """
     docs = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    entries = cut_lineage(_entries(docs, *_word_counts(docs, similarity), similarity, tile))
-    lines = entries.where("`set` is not null").select("doc_id", "line", "words", "set")
-    labels = connected(_edges(entries, similarity))
+    counted = cut_lineage(_count(docs, similarity))
+    lines = counted.where("`set` is not null").select("doc_id", "line", "words", "set")
+    got = counted.where("`set` is null").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toArrow()
+    counts, heads = (np.zeros(1 << COUNT_BITS, np.int64) for _ in range(2))
+    counts[got.column("slot").to_numpy()], heads[got.column("slot").to_numpy()] = got.column("n").to_numpy(), got.column("m").to_numpy()
+    labels = connected(_edges(_entries(docs, counts, heads, similarity, tile), similarity))
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "line")
     firsts = cut_lineage(lines.groupBy("set").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")))
-    slot = F.shiftrightunsigned("node", 64 - BITMAP)
-    table = np.zeros(1 << BITMAP, bool)
-    for r in labels.groupBy(F.shiftright(slot, 5).alias("w")).agg(F.collect_set(slot.bitwiseAND(F.lit(31)).cast("int")).alias("bits")).toLocalIterator():
-        table[np.array(r["bits"]) + (r["w"] << 5)] = True
-    fetched = _members(docs, np.packbits(table)).groupBy("set").agg(F.first("packed").alias("packed"))
+    sets = _bits(labels.select(F.shiftrightunsigned("node", 64 - BITMAP).alias("slot")))
+    ids = _bits(labels.join(firsts, labels.node == firsts.set).select(_doc_slot(F.col("first.doc_id")).alias("slot")))
+    fetched = _members(docs, sets, ids).groupBy("set").agg(F.first("packed").alias("packed"))
     members = labels.join(fetched, labels.node == fetched.set).join(firsts, "set")
     members = members.select("label", "set", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "packed")
     verified = _verify(members, similarity, tile)
