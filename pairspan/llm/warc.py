@@ -132,7 +132,7 @@ class _Source:
     def _next(self) -> bytes:
         """The next bytes of the file after those taken so far."""
         lo = self.at + self.taken
-        if not self.window_at <= lo < self.window_at + len(self.window):
+        if not self.window_at <= lo <= self.window_at + len(self.window) - READ_BYTES:  # a record's first bytes are never cut
             self.file.seek(lo)
             self.window, self.window_at = self.file.read(WINDOW_BYTES), lo
         got = self.window[lo - self.window_at :][:READ_BYTES]
