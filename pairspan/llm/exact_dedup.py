@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairspan.session import fresh_path
+from pairspan.session import cut_lineage, fresh_path
 
 CAPACITY = 100_000  # entries of a bucket
 MAX_DEPTH = 20  # bits of the largest directory: a bounded table of 2^20 rows
@@ -38,7 +38,7 @@ def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     A bucket of depth d splits while it holds more than ``capacity`` entries. Counts of the cells are summed by prefix at each depth; the table has at
     most 2^max_depth rows.
     """
-    cells = entries.groupBy(_prefix(F.col("key"), max_depth).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    cells = cut_lineage(entries.groupBy(_prefix(F.col("key"), max_depth).alias("cell")).agg(F.count(F.lit(1)).alias("n")))
     over = None
     for d in range(max_depth):  # prefixes that must split at depth d; their number is bounded by the directory
         held = cells.groupBy(F.shiftright("cell", max_depth - d).alias("prefix")).agg(F.sum("n").alias("n")).where(F.col("n") > capacity)
