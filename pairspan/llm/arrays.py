@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20  # texts handled together; a longer single text makes a chunk of its own
+CHUNK_BYTES = 1 << 20  # texts handled together; a longer single text makes a chunk of its own
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -104,3 +104,8 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
+
+
+def release() -> None:
+    """Give memory of past batches back, for the worker stays while the executor works on other things."""
+    pa.default_memory_pool().release_unused()

@@ -13,14 +13,16 @@ of it; words are told apart by 48 bits of a hash. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairspan.llm.arrays import Hasher, batch_of, chunks, mixed, words
+from pairspan.llm.arrays import Hasher, batch_of, chunks, mixed, release, words
 from pairspan.llm.components import connected, hook
 from pairspan.session import cut_lineage
 
@@ -29,6 +31,8 @@ COUNT_BITS = 18  # of the table of word counts
 TILE = 8192  # entries of a word's group, or members of a component, that a task compares with as many others
 BUCKET = 50_000  # about how many entries are shuffled and read together
 EVERY = 16  # one line in so many sizes the work
+SMALL = 24  # members of a component that are compared as Python sets
+LAST = np.iinfo(np.int64).max  # place of lines without an id
 MAP_WORDS = 3  # 64-bit words of a parity map
 #: group: 48 bits of the word (or of the word and a pair of tiles), then 16 of its place in the set; a place over 65,535 counts as that, which filters less
 ENTRY = np.dtype([("group", "<u8"), ("line", "<u8"), ("n", "<u4"), ("map", "<u8", (MAP_WORDS,))])
@@ -126,6 +130,7 @@ def _count(docs: DataFrame, similarity: float) -> DataFrame:
                 p = prefix_size(n, similarity)
                 at = np.repeat(start, p) + np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
                 heads += EVERY * np.bincount((part[at] >> np.uint64(46)).astype(np.int64), minlength=1 << COUNT_BITS)
+            release()
         own = np.flatnonzero(total)
         none = [None] * len(own)
         yield batch_of(schema, doc_id=none, line=none, words=none, set=none, slot=own, n=total[own], m=heads[own])
@@ -196,6 +201,7 @@ def _entries(docs: DataFrame, counts: np.ndarray, heads: np.ndarray, similarity:
                 if size > 16 << 20:
                     yield emit(held)
                     held, size = [], 0
+            release()
         if held:
             yield emit(held)
 
@@ -273,6 +279,7 @@ def _members(docs: DataFrame, sets: np.ndarray, ids: np.ndarray) -> DataFrame:
                 own = own[seen.fresh(of[own])]
                 blobs = [token[s : s + k].tobytes() for s, k in zip(start[own].tolist(), n[own].tolist(), strict=True)]
                 yield batch_of(schema, set=of[own].view(np.int64), packed=blobs)
+            release()
 
     return docs.select("text", _doc_slot(docs["doc_id"]).alias("slot")).mapInArrow(scan, "`set` long, packed binary")
 
@@ -304,51 +311,79 @@ def similar_pairs(x: list[np.ndarray], y: list[np.ndarray] | None, similarity: f
     return shared >= np.ceil(similarity / (1 + similarity) * total - 1e-9)
 
 
+def _compare(sets: list[np.ndarray], doc: np.ndarray, line: np.ndarray, mine: np.ndarray, theirs: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """Of sets ``mine`` (places): number of similar sets among ``theirs``, and document and line of the earliest."""
+    size = np.array([len(s) for s in sets])
+    links, best = np.zeros(len(mine), np.int64), np.full((len(mine), 2), LAST)
+    if len(mine) <= SMALL and len(theirs) <= SMALL:
+        a, b = [set(sets[i].tolist()) for i in mine], [set(sets[i].tolist()) for i in theirs]
+        for x, i in enumerate(mine):
+            for y, j in enumerate(theirs):
+                if i != j and len(a[x] & b[y]) >= math.ceil(similarity / (1 + similarity) * int(size[i] + size[j]) - 1e-9):
+                    links[x] += 1
+                    best[x] = min(tuple(best[x]), (doc[j], line[j]))
+        return links, best[:, 0], best[:, 1]
+    order = np.argsort(size[mine], kind="stable")  # by size, so that a block of rows meets a narrow range of columns
+    theirs = theirs[np.argsort(size[theirs], kind="stable")]
+    for at in range(0, len(mine), 1024):
+        rows = order[at : at + 1024]
+        own = mine[rows]
+        near = theirs[(size[theirs] >= np.ceil(similarity * size[own[0]] - 1e-9)) & (size[theirs] <= np.floor(size[own[-1]] / similarity + 1e-9))]
+        for c in range(0, len(near), 1024):
+            part = near[c : c + 1024]
+            part = part[np.lexsort((line[part], doc[part]))]
+            like = similar_pairs([sets[i] for i in own], [sets[i] for i in part], similarity) & (own[:, None] != part[None, :])
+            links[rows] += like.sum(1)
+            got = np.flatnonzero(like.any(1))
+            first = part[like[got].argmax(1)]
+            r = rows[got]
+            better = (doc[first] < best[r, 0]) | ((doc[first] == best[r, 0]) & (line[first] < best[r, 1]))
+            best[r[better]] = np.stack([doc[first], line[first]], 1)[better]
+    return links, best[:, 0], best[:, 1]
+
+
 def _verify(members: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """``set, before, links``: the earliest similar set's place (null if none is earlier) and the number of similar sets."""
+    """``set, before, links``: the earliest similar set's place and the number of similar sets.
+
+    A component of more than ``tile`` members is compared by pairs of its tiles; many small ones share a group.
+    """
+    members = cut_lineage(members)
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    groups = max(16, members.count() // 2048)
     k = F.ceil(F.col("size") / F.lit(float(tile))).cast("int")
     placed = members.join(sizes, "label").withColumn("k", k).withColumn("t", F.pmod(F.xxhash64("set"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("u")
-    work = placed.select("label", "set", "doc_id", "line", "packed", "t", other).withColumn("lo", F.least("t", "u")).withColumn("hi", F.greatest("t", "u"))
+    alone = F.col("k") == 1
+    work = placed.select("label", "set", "doc_id", "line", "packed", "t", "k", other).select(
+        "label", "set", "doc_id", "line", "packed", "t", F.when(alone, F.pmod(F.xxhash64("label"), F.lit(groups))).otherwise(F.col("label")).alias("g"),
+        F.when(alone, -1).otherwise(F.least("t", "u")).alias("lo"), F.when(alone, -1).otherwise(F.greatest("t", "u")).alias("hi"),
+    )
     schema = pa.schema([("set", pa.int64()), ("bid", pa.int64()), ("bline", pa.int32()), ("links", pa.int64())])
 
     def run(key, table):
         lo, hi = key[1].as_py(), key[2].as_py()
-        t = table.column("t").to_numpy()
-        # by size, so that a block of rows meets a narrow range of columns
+        table = table.combine_chunks()
+        label, t, ids, line = (table.column(c).to_numpy() for c in ("label", "t", "set", "line"))
+        doc = pa.compute.fill_null(table.column("doc_id"), LAST).to_numpy()
         sets = [np.frombuffer(p, np.uint64) for p in table.column("packed").to_pylist()]
-        doc = np.array([np.iinfo(np.int64).max if d is None else d for d in table.column("doc_id").to_pylist()], np.int64)
-        line = table.column("line").to_numpy()
-        size = np.array([len(s) for s in sets])
         out = []
-        for side in {lo, hi}:
-            mine = np.flatnonzero(t == side)
-            theirs = np.flatnonzero(t == (hi if side == lo else lo))
-            mine, theirs = mine[np.argsort(size[mine], kind="stable")], theirs[np.argsort(size[theirs], kind="stable")]
-            for at in range(0, len(mine), 1024):
-                own = mine[at : at + 1024]
-                near = theirs[(size[theirs] >= np.ceil(similarity * size[own[0]] - 1e-9)) & (size[theirs] <= np.floor(size[own[-1]] / similarity + 1e-9))]
-                links = np.zeros(len(own), np.int64)
-                best = np.full((len(own), 2), np.iinfo(np.int64).max)
-                for c in range(0, len(near), 1024):
-                    part = near[c : c + 1024]
-                    like = similar_pairs([sets[i] for i in own], [sets[i] for i in part], similarity)
-                    like &= own[:, None] != part[None, :]
-                    links += like.sum(1)
-                    order = np.lexsort((line[part], doc[part]))
-                    ranked = like[:, order]
-                    got = np.flatnonzero(ranked.any(1))
-                    first = part[order[ranked[got].argmax(1)]]
-                    better = (doc[first] < best[got, 0]) | ((doc[first] == best[got, 0]) & (line[first] < best[got, 1]))
-                    best[got[better]] = np.stack([doc[first], line[first]], 1)[better]
-                some = np.flatnonzero(links)
-                ids = table.column("set").to_numpy()[own[some]]
-                none = best[some, 0] == np.iinfo(np.int64).max
-                out.append(batch_of(schema, set=ids, bid=pa.array(best[some, 0], mask=none), bline=best[some, 1].clip(0, 2**31 - 1), links=links[some]))
-        return pa.Table.from_batches(out, schema=schema)
-
-    found = work.groupBy("label", "lo", "hi").applyInArrow(run, "`set` long, bid long, bline int, links long")
+        if lo < 0:
+            order = np.argsort(label, kind="stable")
+            work = [(own, own) for own in np.split(order, np.flatnonzero(np.diff(label[order])) + 1)]
+        elif lo == hi:
+            whole = np.arange(len(t))
+            work = [(whole, whole)]
+        else:
+            one, two = np.flatnonzero(t == lo), np.flatnonzero(t == hi)
+            work = [(one, two), (two, one)]
+        for mine, theirs in work:
+            links, bid, bline = _compare([sets[i] for i in np.concatenate([mine, theirs])], *(v[np.concatenate([mine, theirs])] for v in (doc, line)), np.arange(len(mine)), np.arange(len(theirs)) + (len(mine) if mine is not theirs else 0), similarity)
+            some = np.flatnonzero(links)
+            out.append((ids[mine[some]], bid[some], bline[some], links[some]))
+        own, bid, bline, links = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.Table.from_batches([batch_of(schema, set=own, bid=pa.array(bid, mask=bid == LAST), bline=bline.clip(0, 2**31 - 1), links=links)])
+
+    found = work.groupBy("g", "lo", "hi").applyInArrow(run, "`set` long, bid long, bline int, links long")
     last = F.struct(F.col("bid").isNull().alias("no"), "bid", "bline")
     return found.groupBy("set").agg(F.min(last).alias("before"), F.sum("links").alias("links"))
 
