@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairspan.llm.arrays import CHUNK_BYTES, Hasher, batch_of
-from pairspan.session import cut_lineage
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ROWS_PER_LANGUAGE = 300  # labelled texts that a language's model is fitted to
@@ -204,7 +203,8 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, rows_per_language: in
     near = known.where(draw < F.lit(float(1 << 32)) * share).select("doc_id", "lang", draw.alias("draw"))
     ranked = near.select("*", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id")).alias("k")).where(F.col("k") <= rows_per_language)
     chosen = ranked.select(F.col("doc_id").alias("d"), F.col("lang").alias("g"))
-    sample = known.join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("lang") == F.col("g"))).select("lang", "text")
+    # at most rows_per_language rows for each of MAX_LANGUAGES languages
+    sample = known.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("lang") == F.col("g"))).select("lang", "text")
     letters = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)")))
     counts = sample.select("lang", letters.alias("word")).groupBy("lang", "word").count().collect()
     by: dict[str, dict[str, int]] = {r["lang"]: {} for r in totals}
