@@ -1,7 +1,7 @@
 """Main text of web pages by a bidirectional LSTM that labels every block with the whole page as its context.
 
-A page becomes the sequence of its blocks (leaf texts) with their tag paths. A block is a vector: the mean of the vectors of its path parts (tag, class and
-id words), the mean of the vectors of its hashed words, and a few numbers. The network, in numpy, reads the sequence both ways and gives each block a
+A page becomes the sequence of its blocks (leaf texts) with their tag paths. A block is a vector: the pooled vectors of its path parts (tag, class and
+id words), those of its hashed words, and a few numbers. The network, in numpy, reads the sequence both ways and gives each block a
 probability of being main text. It is fitted to a bounded number of the given pages, labelled by their own semantic tags, and to the same texts set
 again in other layouts, where containers carry only class names.
 
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from pairspan.llm.arrays import batch_of
 
-FIT_PAGES = 160  # pages that the network is fitted to
-LAYOUTS = 5  # other layouts that each of them is set in
-EPOCHS, BATCH, RATE = 6, 32, 0.01
+FIT_PAGES = 120  # pages that the network is fitted to
+LAYOUTS = 8  # other layouts that each of them is set in
+EPOCHS, BATCH, RATE = 8, 32, 0.01
 SLOTS, WIDTH, HIDDEN = 4096, 16, 24
 N_NUMBERS = 6
 DEPTH = 8  # innermost elements of a path that are read
@@ -248,8 +248,9 @@ def encode(pages: list[list[Block]], cache: dict[str, int] | None = None) -> Enc
     return Encoded(as_int(paths), as_int(n_paths), as_int(words), as_int(n_words), np.array(numbers, float).reshape(-1, N_NUMBERS))
 
 
-def _mean(table: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(table[ids], np.cumsum(n) - n, axis=0) / n[:, None]
+def _pooled(table: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sum of the vectors over the root of their number, so that one part of a long path still counts."""
+    return np.add.reduceat(table[ids], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None]
 
 
 class Network:
@@ -264,7 +265,7 @@ class Network:
             self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1  # remember at first
 
     def vectors(self, e: Encoded) -> np.ndarray:
-        return np.concatenate([_mean(self.p["path"], e.paths, e.n_paths), _mean(self.p["word"], e.words, e.n_words), e.numbers], axis=1)
+        return np.concatenate([_pooled(self.p["path"], e.paths, e.n_paths), _pooled(self.p["word"], e.words, e.n_words), e.numbers], axis=1)
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         """Hidden states (step, page, unit) of one direction; x is (step, page, feature)."""
@@ -339,8 +340,8 @@ class Network:
                     grad = np.zeros((*mask.shape, HIDDEN))
                     grad[at] = dz[:, None] * self.p["out"][None, j * HIDDEN : (j + 1) * HIDDEN]
                     dv += self._back(keep[d], x, grad, d, g)[at]
-                np.add.at(g["path"], e.paths, np.repeat(dv[:, :WIDTH] / e.n_paths[:, None], e.n_paths, axis=0))
-                np.add.at(g["word"], e.words, np.repeat(dv[:, WIDTH : 2 * WIDTH] / e.n_words[:, None], e.n_words, axis=0))
+                np.add.at(g["path"], e.paths, np.repeat(dv[:, :WIDTH] / np.sqrt(e.n_paths)[:, None], e.n_paths, axis=0))
+                np.add.at(g["word"], e.words, np.repeat(dv[:, WIDTH : 2 * WIDTH] / np.sqrt(e.n_words)[:, None], e.n_words, axis=0))
                 k += 1
                 for n, w in self.p.items():
                     m[n] = 0.9 * m[n] + 0.1 * g[n]

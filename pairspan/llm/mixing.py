@@ -81,5 +81,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST_
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns of ``docs``."""
-    met = mix(docs, **options).where(F.col("mix.copies") > 0)
-    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies"))).alias("mix_copy")).select(*docs.columns)
+    held = docs.select(F.struct(*docs.columns).alias("held"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), docs["source"].alias("source"))
+    met = mix(held, **options).where(F.col("mix.copies") > 0)
+    return met.select("held", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))).select("held.*")
