@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pairspan.llm.arrays import batch_of
 
 FIT_PAGES = 120  # pages that the network is fitted to
-LAYOUTS = 8  # other layouts that each of them is set in
+LAYOUTS = 6  # other layouts that each of them is set in
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 SLOTS, WIDTH, HIDDEN = 4096, 16, 24
 N_NUMBERS = 6
@@ -180,7 +180,7 @@ def other_layout(found: list[Block], labels: list[int], strange: list[str], rng:
             item = (pick(["div", "li", "article"]), ".comment", "p")
         return [Block(outer + own + item, t, len(t) if kind in ("nav", "aside", "share", "footer") and rng.random() < 0.6 else 0) for t in texts]
 
-    outer = ("html", "body", *pick([(), ("div", "#page"), ("div", ".wrapper"), ("div", ".container"), ("table", "tr")]))
+    outer = (*pick([("html", "body"), ("html", "body"), ("body",), ()]), *pick([(), ("div", "#page"), ("div", ".wrapper"), ("div", ".container"), ("table", "tr")]))
     kinds = list(OTHER_WORDS)
     ahead = [k for k in kinds if rng.random() < 0.45 and k not in ("comments", "footer")]
     after = [k for k in kinds if rng.random() < 0.5]
@@ -194,7 +194,8 @@ def other_layout(found: list[Block], labels: list[int], strange: list[str], rng:
             if c == k:
                 seq += [(Block(outer + own + n.path[len(outer) :], n.text, n.linked), 0) for n in noise(kind)]
         leaf = ("h1",) if k == 0 and rng.random() < 0.5 else pick([("p",), ("p",), ("p",), ("div",), ("blockquote", "p"), ("ul", "li"), ("h2",), ("pre",), ()])
-        seq.append((Block(outer + (() if bare else own) + leaf, b.text, 0), 1))
+        text = b.text if rng.random() < 0.85 else " ".join(b.text.split()[: int(rng.integers(1, 5))])  # paragraphs of a few words
+        seq.append((Block(outer + (() if bare else own) + leaf, text, 0), 1))
     seq += [(b, 0) for k in after for b in noise(k)]
     return [b for b, _ in seq], [y for _, y in seq]
 
@@ -328,7 +329,10 @@ class Network:
                 own = [pages[i] for i in order[lo : lo + BATCH]]
                 e, lengths = encode([b for b, _ in own]), np.array([len(b) for b, _ in own])
                 y = np.concatenate([np.array(t, float) for _, t in own])
-                x, mask, at = self._grid(self.vectors(e), lengths)
+                vectors = self.vectors(e)
+                heard = 2.0 * (rng.random((len(vectors), 1)) < 0.5)  # words are left out at random, so that they don't stand in for the path
+                vectors[:, WIDTH : 2 * WIDTH] *= heard
+                x, mask, at = self._grid(vectors, lengths)
                 keep: dict[str, list] = {"f": [], "b": []}
                 states = np.concatenate([self._run(x, mask, d, keep[d])[at] for d in "fb"], axis=1)
                 p = 1 / (1 + np.exp(-np.clip(states @ self.p["out"] + self.p["bias"], -30, 30)))
@@ -341,7 +345,7 @@ class Network:
                     grad[at] = dz[:, None] * self.p["out"][None, j * HIDDEN : (j + 1) * HIDDEN]
                     dv += self._back(keep[d], x, grad, d, g)[at]
                 np.add.at(g["path"], e.paths, np.repeat(dv[:, :WIDTH] / np.sqrt(e.n_paths)[:, None], e.n_paths, axis=0))
-                np.add.at(g["word"], e.words, np.repeat(dv[:, WIDTH : 2 * WIDTH] / np.sqrt(e.n_words)[:, None], e.n_words, axis=0))
+                np.add.at(g["word"], e.words, np.repeat(heard * dv[:, WIDTH : 2 * WIDTH] / np.sqrt(e.n_words)[:, None], e.n_words, axis=0))
                 k += 1
                 for n, w in self.p.items():
                     m[n] = 0.9 * m[n] + 0.1 * g[n]
@@ -362,7 +366,7 @@ def fit(pages: DataFrame, n_pages: int = FIT_PAGES, layouts: int = LAYOUTS) -> N
     rng = np.random.default_rng(7)
     strange = [b.text for found, labels in known for b, y in zip(found, labels, strict=True) if y]
     more = [other_layout(b, y, strange, rng) for b, y in known for _ in range(layouts)]
-    return Network().fit([*known, *more])
+    return Network().fit([*known * 4, *more])  # the layout that the pages have counts more than each other one
 
 
 def main_texts(pages: list[str | None], network: Network | None, cache: dict[str, int]) -> list[str]:
