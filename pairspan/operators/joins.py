@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 
 def join_node_lookup(df: DataFrame, lookup: DataFrame, key: str = "proc") -> DataFrame:
     """Channel code to node name, keeping channels the lookup lacks."""
-    return df.join(F.broadcast(lookup), key, "left").drop(key)
+    return df.join(lookup, key, "left").drop(key)
 
 
 def join_node_lookup_twice(fact: DataFrame, lookup: DataFrame) -> DataFrame:
     """Name both ends of a pair; the codes are dropped."""
     f = lookup.select(F.col("proc").alias("proc_from"), F.col("node").alias("node_from"))
     t = lookup.select(F.col("proc").alias("proc_to"), F.col("node").alias("node_to"))
-    return fact.join(F.broadcast(f), "proc_from", "left").join(F.broadcast(t), "proc_to", "left").drop("proc_from", "proc_to")
+    return fact.join(f, "proc_from", "left").join(t, "proc_to", "left").drop("proc_from", "proc_to")
 
 
 def join_region_network(df: DataFrame, regions: DataFrame, key: str = "region") -> DataFrame:
-    return df.join(F.broadcast(regions), key, "left")
+    return df.join(regions, key, "left")
 
 
 def network_mean(df: DataFrame, keys: list[str], value: str = "signal") -> DataFrame:
@@ -42,10 +42,9 @@ def semi_join_metadata(meta: DataFrame, fact: DataFrame, key: str = "sample_id")
 
 
 def join_spi_info(df: DataFrame, info: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(info), "spi", "left")
+    return df.join(info, "spi", "left")
 
 
 def join_colours(df: DataFrame, colours: DataFrame) -> DataFrame:
     """Category on one side, module on the other."""
-    c = F.broadcast(colours)
-    return df.join(c, df["category"] == c["module"], "left").drop(c["module"])
+    return df.join(colours, df["category"] == colours["module"], "left").drop(colours["module"])

@@ -45,10 +45,20 @@ def node_pair(sep: str = "_") -> Column:
     return F.concat_ws(sep, "node_from", "node_to")
 
 
-def feature_vectors(long: DataFrame, keys: list[str], feature: str = "feature", value: str = "value") -> DataFrame:
-    """One dense array per row key, in feature-name order, instead of thousands of pivot columns."""
-    packed = long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(feature).alias("f"), F.col(value).alias("v")))).alias("p"))
-    return packed.select(*keys, F.col("p.f").alias("features"), F.col("p.v").alias("vector"))
+def feature_vectors(long: DataFrame, keys: list[str], feature: str = "feature", value: str = "value", fill: float = 0.0) -> DataFrame:
+    """One dense array per row key, in feature-name order, instead of thousands of pivot columns.
+
+    All rows of a statistic (of everything, if ``spi`` is no key) have the same features in the same places; a cell that a row lacks is ``fill``.
+    A row that has all of them is taken as it is, so only rows with gaps look names up.
+    """
+    within = F.col("spi") if "spi" in keys else F.lit("")
+    entry = F.struct(F.col(feature).alias("f"), F.col(value).alias("v"))
+    packed = long.withColumn("_of", within).groupBy("_of", *keys).agg(F.array_sort(F.collect_list(entry)).alias("p"))
+    names = long.select(within.alias("_of"), F.col(feature).alias("f")).distinct().groupBy("_of").agg(F.array_sort(F.collect_list("f")).alias("features"))
+    held = F.map_from_entries("p")
+    filled = F.transform("features", lambda f: F.when(F.map_contains_key(held, f), held[f]).otherwise(F.lit(fill)))
+    vector = F.when(F.size("p") == F.size("features"), F.col("p.v")).otherwise(filled)
+    return packed.join(names, "_of").select(*keys, "features", vector.alias("vector"))
 
 
 def missing_to_number(col: Column) -> Column:

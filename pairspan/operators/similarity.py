@@ -6,6 +6,8 @@ Edges are rows ``(a, b, sim)`` with ``a < b``. The number of statistics is set b
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def similarity_to_distance(edges: DataFrame) -> DataFrame:
     return edges.where("a < b").select("a", "b", (1 - F.coalesce("sim", F.lit(0.0))).alias("d"))
 
 
-def wpgma_linkage(dist: DataFrame, cutoff: float | None = None, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def wpgma_linkage(dist: DataFrame, cutoff: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Weighted average linkage of a complete distance table in rounds of mutual nearest neighbours.
 
     The linkage is reducible, so clusters that are each other's nearest may merge at once: the tree
@@ -58,7 +60,7 @@ def wpgma_linkage(dist: DataFrame, cutoff: float | None = None, max_rounds: int
     edges = dist.select(F.lit("edge").alias("kind"), F.lit(0).alias("round"), "a", "b", "d")
     ends = dist.select(F.explode(F.array("a", "b")).alias("a")).distinct()
     state = cut_lineage(edges.unionByName(ends.select(F.lit("member").alias("kind"), F.lit(0).alias("round"), "a", F.col("a").alias("b"), F.lit(0.0).alias("d"))))
-    for step in range(1, max_rounds + 1):
+    for step in itertools.count(1):  # until a round merges nothing
         state = cut_lineage(_merge_round(state, step, cutoff))
         if state.where(F.col("kind").eqNullSafe("merge") & (F.col("round") == step)).isEmpty():
             break

@@ -122,7 +122,7 @@ def box_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def whiskers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Box summary plus the most extreme values inside the fences."""
     box = box_summary(df, keys, value)
-    inside = df.join(F.broadcast(box.select(*keys, "fence_low", "fence_high")), keys)
+    inside = df.join(box.select(*keys, "fence_low", "fence_high"), keys)
     inside = inside.where(F.col(value).between(F.col("fence_low"), F.col("fence_high")))
     ends = inside.groupBy(*keys).agg(F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))
     return box.join(ends, keys)

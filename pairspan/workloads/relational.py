@@ -91,12 +91,13 @@ def _(spark, sf):
     return _r(wide, *cols)
 
 
-_VECTOR_SQL = (
-    "SELECT {keys}, string_agg(feature, ',' ORDER BY feature) AS features, "
-    "string_agg(CAST(CAST(round(value * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY feature) AS vector "
-    "FROM (SELECT DISTINCT sample_id, grp, subject, concat_ws('_', node_from, node_to, spi) AS feature, value FROM spi "
-    "WHERE node_from < node_to OR (spi = 'lag1' AND node_from <> node_to)) f GROUP BY {keys}"
-)
+# a cell that a sample lacks is 0 in its column; a value that is NULL stays NULL and is left out of the text
+_VECTOR_SQL = """, f AS (SELECT DISTINCT sample_id, grp, subject, concat_ws('_', node_from, node_to, spi) AS feature, value FROM spi
+  WHERE node_from < node_to OR (spi = 'lag1' AND node_from <> node_to)),
+k AS (SELECT DISTINCT {keys} FROM f), n AS (SELECT DISTINCT feature FROM f)
+SELECT {keys}, string_agg(feature, ',' ORDER BY feature) AS features, string_agg(cell, ',' ORDER BY feature) AS vector
+FROM (SELECT k.*, n.feature, CASE WHEN f.feature IS NULL THEN '0' ELSE CAST(CAST(round(f.value * 10000) AS BIGINT) AS VARCHAR) END AS cell
+  FROM k CROSS JOIN n LEFT JOIN f ON f.sample_id = k.sample_id AND f.feature = n.feature) g GROUP BY {keys}"""
 
 
 def _vectors(spark, sf, keys):
@@ -260,7 +261,12 @@ def _(spark, sf):
     return quality.qc_complete(fact, "subject")
 
 
-@query("qc_keep", with_(SPI, _FACT + f" WHERE spi IN ({_QC_CONST} INTERSECT {_QC_ALL.format(k='sample_id')})"))
+_QC_KEEP = f""", listed AS MATERIALIZED ({_LISTED}), good AS (SELECT spi FROM listed GROUP BY 1
+  HAVING count(DISTINCT value) + max(CASE WHEN value IS NULL THEN 1 ELSE 0 END) > 1 AND count(DISTINCT sample_id) = (SELECT count(DISTINCT sample_id) FROM listed))
+{_FACT.replace(' FROM spi', ' FROM listed')} WHERE spi IN (SELECT spi FROM good)"""
+
+
+@query("qc_keep", with_(SPI, _QC_KEEP))
 def _(spark, sf):
     return _r(quality.qc_keep(_listed(spark, sf)), "value")
 

@@ -172,3 +172,14 @@ def test_only_missing_samples_are_computed(spark, panel):
     whole = spark.read.parquet(path)
     assert whole.count() == basic.spi_cov(panel).count() > before
     assert whole.dropDuplicates(["spi", *pairs.PAIR]).count() == whole.count()
+
+
+def test_rows_that_lack_a_feature_keep_their_columns(spark):
+    from pairspan.operators.reshape import feature_vectors
+
+    rows = [("cov", "s1", "a", 1.0), ("cov", "s1", "b", 2.0), ("cov", "s2", "b", 3.0), ("cov", "s3", "a", None), ("cov", "s3", "b", 4.0), ("mi", "s1", "c", 5.0)]
+    long = spark.createDataFrame(rows, "spi string, sample_id string, feature string, value double")
+    got = {(r.spi, r.sample_id): r.vector for r in feature_vectors(long, ["spi", "sample_id"]).collect()}
+    assert got == {("cov", "s1"): [1.0, 2.0], ("cov", "s2"): [0.0, 3.0], ("cov", "s3"): [None, 4.0], ("mi", "s1"): [5.0]}
+    every = {r.sample_id: (r.features, r.vector) for r in feature_vectors(long, ["sample_id"]).collect()}
+    assert every["s2"] == (["a", "b", "c"], [0.0, 3.0, 0.0])
