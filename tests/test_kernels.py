@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from pairspan.functions import neighbours as nb
-from pairspan.functions.svm import fit_pair, vote
+from pairspan.functions.svm import fit_classes, fit_pair, vote
 from pairspan.spi import basic, causal, distance, infotheory, misc, spectral
 
 rng = np.random.default_rng(3)
@@ -153,7 +153,7 @@ def test_machine_separates_and_meets_conditions():
     coef, offset = fit_pair(k, y)
     assert ((k @ coef + offset > 0) == (y > 0)).all()
     assert abs(coef.sum()) < 1e-9 and (np.abs(coef) <= 1 + 1e-12).all()
-    assert (vote(k, k, np.where(y > 0, "a", "b")) == np.where(y > 0, "a", "b")).all()
+    assert (vote(k, *fit_classes(k, np.where(y > 0, "a", "b"))) == np.where(y > 0, "a", "b")).all()
 
 
 def test_wavelet_is_the_direct_sum():

@@ -114,9 +114,73 @@ def test_machines_agree_on_separable_data(spark):
     tasks = classify.with_labels(resample.split_stratified(spark.createDataFrame(samples, "sample_id string, grp string, subject string"), 2, 0.5, 0.5))
     small = classify.svm_fit_many(feats, tasks)
     wide = classify.svm_fit_all_spis(feats, tasks)
-    spread = classify.svm_fit_many(feats, tasks.where("resample = 1"), max_cells=1)
-    for df, n in ((small, 2), (wide, 2), (spread, 1)):
-        assert [(r.n_test, r.n_correct) for r in df.collect()] == [(12, 12)] * n
+    for df in (small, wide):
+        assert [(r.n_test, r.n_correct) for r in df.collect()] == [(12, 12)] * 2
+
+
+@pytest.fixture(scope="module")
+def overlapping(spark):
+    """Three overlapping classes; samples lack some features."""
+    rng = np.random.default_rng(8)
+    samples = [(f"s{i:02d}", "abc"[i % 3], str(i)) for i in range(45)]
+    rows = [("k", s, f"f{f:02d}", float(rng.normal() + (ord(g) - 97) * (f < 3))) for s, g, _ in samples for f in range(12) if rng.random() < 0.9]
+    table = spark.createDataFrame(samples, "sample_id string, grp string, subject string")
+    tasks = classify.with_labels(resample.split_stratified(table, 3, 0.5, 0.5), resample.permute_labels(table, 2))
+    return spark.createDataFrame(rows, "spi string, sample_id string, feature string, value double"), tasks, rows
+
+
+def counts(df):
+    return {(r.resample, r.perm): (r.n_test, r.n_correct) for r in df.collect()}
+
+
+def test_machines_equal_plain_fits_whatever_the_blocks(overlapping):
+    from pairspan.functions.svm import fit_classes, vote
+
+    feats, tasks, rows = overlapping
+    at = {s: i for i, s in enumerate(sorted({r[1] for r in rows}))}
+    x = np.zeros((45, 12))
+    for _, s, f, v in rows:
+        x[at[s], int(f[1:])] = v
+    want = {}
+    held = tasks.collect()
+    for key in {(r.resample, r.perm) for r in held}:
+        train = sorted((at[r.sample_id], r.label) for r in held if (r.resample, r.perm) == key and r.part == "train")
+        test = [(at[r.sample_id], r.label) for r in held if (r.resample, r.perm) == key and r.part == "test"]
+        t, u = x[[i for i, _ in train]], x[[i for i, _ in test]]
+        z, w = (t - t.mean(0)) / t.std(0), (u - t.mean(0)) / t.std(0)
+        pred = vote(w @ z.T, *fit_classes(z @ z.T, np.array([g for _, g in train])))
+        want[key] = (len(test), int((pred == np.array([g for _, g in test])).sum()))
+    assert counts(classify.svm_fit_many(feats, tasks)) == want
+    assert counts(classify.svm_fit_all_spis(feats, tasks, feature_width=5, sample_rows=10, perm_blocks=2)) == want
+
+
+def test_fit_rows_are_bounded_and_every_test_row_is_scored(overlapping):
+    feats, tasks, _ = overlapping
+    kept = classify.fit_rows(tasks.where("perm = 0 AND part <> 'unused'"), 9)
+    assert {r["count"] for r in kept.where("part = 'train'").groupBy("resample").count().collect()} <= {7, 8, 9}
+    assert {n for n, _ in counts(classify.svm_fit_many(feats, tasks, max_fit_rows=9)).values()} == {23}
+
+
+def test_tasks_without_rows_stay(overlapping):
+    feats, tasks, _ = overlapping
+    part = F.when(F.col("resample") == 1, "train").when(F.col("resample") == 2, "test").otherwise(F.col("part"))
+    got = counts(classify.svm_fit_many(feats, tasks.withColumn("part", part)))
+    assert got[1, 0] == (0, 0) and got[2, 1] == (45, None) and got[3, 2][1] is not None
+
+
+def test_machine_meets_the_optimality_conditions():
+    from pairspan.functions.svm import fit_pair
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 5)), np.repeat([1.0, -1.0], 30)
+    x[:30] += 0.5
+    coef, offset = fit_pair(x @ x.T, y)
+    alpha, margin = coef * y, y * (x @ x.T @ coef + offset)
+    assert abs(coef.sum()) < 1e-4 and alpha.min() > -1e-6 and alpha.max() < 1 + 1e-6
+    assert (margin[alpha < 1e-4] > 1 - 1e-3).all() and (margin[alpha > 1 - 1e-4] < 1 + 1e-3).all()
+    assert np.allclose(margin[(alpha > 1e-3) & (alpha < 1 - 1e-3)], 1, atol=1e-3)
+    with pytest.raises(ArithmeticError):
+        fit_pair(np.full((4, 4), np.nan), np.array([1.0, 1, -1, -1]))
 
 
 def naive_wpgma(d):
