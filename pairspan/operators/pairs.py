@@ -45,7 +45,7 @@ def pair_arrays(
     Undirected pairs keep ``node_from < node_to``. Steps that only one side has are left out.
     """
     series = series_arrays(panel, value, block)
-    return join_series(series, directed, node_blocks, include_self).select(*PAIR, *_aligned())
+    return join_series(series, directed, node_blocks, include_self).select(*PAIR, *aligned())
 
 
 def join_series(series: DataFrame, directed: bool, node_blocks: int = 1, include_self: bool = False) -> DataFrame:
@@ -66,7 +66,7 @@ def join_series(series: DataFrame, directed: bool, node_blocks: int = 1, include
     return out.where("node_from <> node_to" if directed else "node_from < node_to")
 
 
-def _aligned() -> list:
+def aligned() -> list:
     shared = "array_intersect(ts_a, ts_b)"
     same = "ts_a = ts_b"
     pick = "transform({s}, t -> vs_{k}[cast(array_position(ts_{k}, t) as int) - 1])"
@@ -90,29 +90,37 @@ def pair_self_join(
     return arrays.select(*PAIR, F.inline(F.arrays_zip("ts", "x", "y"))).withColumnRenamed("ts", "t")
 
 
-def lagged(arrays: DataFrame, lags: F.Column | None = None, max_lag_share: int | None = None) -> DataFrame:
-    """Pair arrays shifted so that ``x[t]`` meets ``y[t + lag]``; one row per pair and lag.
+def series_grid(panel: DataFrame, value: str = "z") -> DataFrame:
+    """One row per series: its first step, and a cell for every step up to its last, NULL where the series has none.
 
-    Give either the lags or a share: ``max_lag_share=4`` means all lags with ``abs(lag) < T/4``.
+    ``t`` must be a whole number and occur once in a series.
     """
-    if lags is None:
-        top = F.ceil(F.size("x") / max_lag_share).cast("int") - 1
-        lags = F.sequence(-top, top)
-    n = F.size("x")
-    out = arrays.withColumn("n", n).withColumn("lag", F.explode(lags)).where("n > abs(lag)")
-    keep = "n - abs(lag)"
-    return (
-        out.withColumn("x", F.expr(f"slice(x, 1 + greatest(-lag, 0), {keep})"))
-        .withColumn("ts", F.expr(f"slice(ts, 1 + greatest(-lag, 0), {keep})"))
-        .withColumn("y", F.expr(f"slice(y, 1 + greatest(lag, 0), {keep})"))
-    )
+    gap = "cast(coalesce(try_element_at(ts, i + 2) - t, 1) as int) - 1"
+    cells = f"flatten(transform(ts, (t, i) -> concat(array(named_struct('v', vs[i])), array_repeat(cast(NULL as struct<v: double>), {gap}))))"
+    return series_arrays(panel, value).select("sample_id", "node", "blk", F.expr("ts[0]").alias("first"), F.expr(cells).alias("cells"))
+
+
+def grid_arrays(panel: DataFrame, directed: bool = False, value: str = "z") -> DataFrame:
+    """Pairs with arrays ``x, y`` over the steps between the first and last that both series span, one place per step.
+
+    A step that a series lacks is NULL, so places shifted by a lag are steps shifted by that lag.
+    """
+    j = join_series(series_grid(panel, value), directed)
+    j = j.withColumn("lo", F.greatest("first_a", "first_b"))
+    j = j.withColumn("n", F.expr("cast(greatest(0, least(first_a + size(cells_a), first_b + size(cells_b)) - lo) as int)"))
+    part = "transform(slice(cells_{s}, cast(lo - first_{s} + 1 as int), n), c -> c.v)"
+    return j.select(*PAIR, F.expr(part.format(s="a")).alias("x"), F.expr(part.format(s="b")).alias("y"))
 
 
 def lag_self_join(panel: DataFrame, lags: list[int], directed: bool = True, value: str = "z") -> DataFrame:
-    """Pairs of points ``x[t], y[t + lag]`` for a short list of lags; dense series are assumed."""
-    arrays = pair_arrays(panel, directed, value)
-    shifted = lagged(arrays, F.array(*[F.lit(l) for l in lags]))
-    return shifted.select(*PAIR, "lag", F.inline(F.arrays_zip("ts", "x", "y"))).withColumnRenamed("ts", "t")
+    """Pairs of points ``x[t], y[t + lag]`` for a short list of lags; a point whose partner is missing is left out."""
+    j = join_series(series_grid(panel, value), directed).withColumn("lag", F.explode(F.array(*[F.lit(l) for l in lags])))
+    j = j.withColumn("d", F.expr("cast(first_a + lag - first_b as int)"))
+    j = j.withColumns({"sx": F.expr("greatest(0, -d)"), "sy": F.expr("greatest(0, d)")})
+    j = j.withColumn("n", F.expr("greatest(0, least(size(cells_a) - sx, size(cells_b) - sy))"))
+    meet = F.expr("zip_with(slice(cells_a, sx + 1, n), slice(cells_b, sy + 1, n), (p, q) -> named_struct('p', p, 'q', q))")
+    pts = j.select(*PAIR, "lag", "first_a", "sx", F.posexplode(meet).alias("at", "m")).where("m.p IS NOT NULL AND m.q IS NOT NULL")
+    return pts.select(*PAIR, "lag", (F.col("first_a") + F.col("sx") + F.col("at")).alias("t"), F.col("m.p.v").alias("x"), F.col("m.q.v").alias("y"))
 
 
 def melt_stats(df: DataFrame, stats: dict, keys: list[str] = PAIR) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairspan.functions.numeric import pearson, ratio
-from pairspan.operators.pairs import PAIR, melt_stats, pair_arrays, pair_self_join
+from pairspan.operators.pairs import PAIR, grid_arrays, melt_stats, pair_arrays, pair_self_join
 
 LINEAR = ("EmpiricalCovariance", "ShrunkCovariance", "OAS", "LedoitWolf")
 
@@ -133,19 +133,20 @@ def spi_spearman(panel: DataFrame) -> DataFrame:
 def cross_correlation(arrays: DataFrame) -> DataFrame:
     """Adds ``c``: the cross-correlation at every lag with abs(lag) < T/4, computed inside the pair's row."""
     n = "size(x)"
-    # a sum over steps of x[t] * y[t + l], divided by T
+    # a sum over steps of x[t] * y[t + l], divided by the number of steps that both have; missing steps are skipped
     one = (
         f"aggregate(zip_with(slice(x, 1 + greatest(-l, 0), {n} - abs(l)), slice(y, 1 + greatest(l, 0), {n} - abs(l)), "
-        f"(a, b) -> a * b), 0D, (s, v) -> s + v) / {n}"
+        f"(a, b) -> a * b), cast(NULL as double), (s, v) -> coalesce(s + v, s, v)) / nullif(held, 0)"
     )
     top = f"(cast(ceil({n} / 4) as int) - 1)"
-    return arrays.withColumn("c", F.expr(f"transform(sequence(-{top}, {top}), l -> {one})"))
+    arrays = arrays.withColumn("held", F.expr("size(filter(zip_with(x, y, (a, b) -> a * b), v -> v IS NOT NULL))"))
+    return arrays.withColumn("c", F.expr(f"transform(sequence(-greatest({top}, 0), greatest({top}, 0)), l -> {one})"))
 
 
 def spi_xcorr(panel: DataFrame) -> DataFrame:
-    cc = cross_correlation(pair_arrays(panel))
-    strong = F.expr("filter(c, v -> abs(v) > 1.96D / sqrt(size(x)))")
-    cc = cc.select(*PAIR, "c", strong.alias("sig"))
+    cc = cross_correlation(grid_arrays(panel))
+    strong = F.expr("filter(c, v -> abs(v) > 1.96D / sqrt(held))")
+    cc = cc.select(*PAIR, F.expr("filter(c, v -> v IS NOT NULL)").alias("c"), strong.alias("sig"))
     stats = {}
     for tag, power in (("", "v"), ("-sq", "v * v")):
         stats[f"xcorr{tag}_max_sig-True"] = F.expr(f"array_max(transform(sig, v -> {power}))")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pairspan.functions.batches import map_arrays, row_blocks
 from pairspan.functions.numeric import ratio
-from pairspan.operators.pairs import PAIR, melt_stats, pair_arrays, pair_self_join
+from pairspan.operators.pairs import PAIR, grid_arrays, melt_stats, pair_arrays, pair_self_join
 from pairspan.operators.windows import join_group_stats
 
 CDS_BINS = 13
@@ -129,7 +129,7 @@ def cross_mapping(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
 def spi_ccm(panel: DataFrame) -> DataFrame:
     """Each pair is visited once; its two directions share the neighbour searches."""
     names = [f"E-{e}_{s}" for e in ("1", "10", "None") for s in ("mean", "max", "diff")]
-    m = map_arrays(pair_arrays(panel), PAIR, ["x", "y"], cross_mapping, [f"{w}_{c}" for w in "fb" for c in names])
+    m = map_arrays(grid_arrays(panel), PAIR, ["x", "y"], cross_mapping, [f"{w}_{c}" for w in "fb" for c in names])
     forward = [F.struct(F.lit(f"ccm_{c}").alias("spi"), "node_from", "node_to", F.col(f"`f_{c}`").alias("value")) for c in names]
     backward = [
         F.struct(F.lit(f"ccm_{c}").alias("spi"), F.col("node_to").alias("node_from"), F.col("node_from").alias("node_to"), F.col(f"`b_{c}`").alias("value"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pairspan.functions.batches import map_arrays, row_blocks
 from pairspan.functions.numeric import ratio
-from pairspan.operators.pairs import PAIR, melt_stats, pair_arrays, pair_self_join
+from pairspan.operators.pairs import PAIR, grid_arrays, melt_stats, pair_arrays, pair_self_join
 
 
 def spi_pdist(panel: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def lagged_distance_correlation(x: np.ndarray, y: np.ndarray) -> dict[str, np.nd
 
 
 def spi_dcorrx(panel: DataFrame) -> DataFrame:
-    m = map_arrays(pair_arrays(panel), PAIR, ["x", "y"], lagged_distance_correlation, ["m1", "m10"])
+    m = map_arrays(grid_arrays(panel), PAIR, ["x", "y"], lagged_distance_correlation, ["m1", "m10"])
     return melt_stats(m, {"dcorrx_maxlag-1": F.col("m1"), "dcorrx_maxlag-10": F.col("m10")})
 
 

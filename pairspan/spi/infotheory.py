@@ -2,6 +2,8 @@
 
 Gaussian forms with few variables come straight from Spark moments. The others are sums and
 differences of entropies of delay-embedded variables, written as a list of terms per statistic.
+Statistics that look back in time read one place per step: a pair with a missing step is NULL in those that need
+whole histories, and the gaussian ones leave out the points that miss a partner.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pairspan.functions import neighbours as nb
 from pairspan.functions.batches import map_arrays
 from pairspan.functions.numeric import log_positive, pearson, ratio
-from pairspan.operators.pairs import PAIR, melt_stats, pair_arrays
+from pairspan.operators.pairs import PAIR, grid_arrays, melt_stats, pair_arrays
 from pairspan.spi.basic import pair_moments
 
 Var = tuple[str, int]  # series and lag
@@ -94,7 +96,9 @@ def term_values(family: str, estimators: list[str]):
 
 def _by_terms(panel: DataFrame, family: str, directed: bool, estimators: list[str] | None = None) -> DataFrame:
     estimators = estimators or list(ESTIMATORS)
-    m = map_arrays(pair_arrays(panel, directed), PAIR, ["x", "y"], term_values(family, estimators), estimators)
+    past = any(history for _, history in TERM_FAMILIES[family][1])
+    arrays = grid_arrays(panel, directed) if past else pair_arrays(panel, directed)
+    m = map_arrays(arrays, PAIR, ["x", "y"], term_values(family, estimators), estimators)
     stem, suffix = family.rstrip("0123456789"), TERM_FAMILIES[family][0]
     return melt_stats(m, {f"{stem}_{ESTIMATORS[e]}{suffix}": F.col(e) for e in estimators})
 
@@ -166,7 +170,8 @@ def mutual_information(lag: int):
 
 def _mi(panel: DataFrame, stem: str, lag: int, r: Column, moments: DataFrame) -> DataFrame:
     gauss = melt_stats(moments, {f"{stem}_gaussian": -0.5 * log_positive(1 - r * r)})
-    m = map_arrays(pair_arrays(panel), PAIR, ["x", "y"], mutual_information(lag), ["kraskov", "dce", "kernel"])
+    arrays = grid_arrays(panel) if lag else pair_arrays(panel)
+    m = map_arrays(arrays, PAIR, ["x", "y"], mutual_information(lag), ["kraskov", "dce", "kernel"])
     rest = {f"{stem}_kraskov_NN-4": F.col("kraskov"), f"{stem}_kraskov_NN-4_DCE": F.col("dce"), f"{stem}_kernel_W-0.25": F.col("kernel")}
     return gauss.unionByName(melt_stats(m, rest))
 
@@ -176,11 +181,13 @@ def spi_mi(panel: DataFrame) -> DataFrame:
 
 
 def delay_points(panel: DataFrame, directed: bool) -> DataFrame:
-    """Rows ``x0, y0, y1``: both series at t and y one step later."""
-    a = pair_arrays(panel, directed)
+    """Rows ``x0, y0, y1``: both series at t and y one step later; all NULL where one of them is missing."""
+    a = grid_arrays(panel, directed)
     n = F.size("x") - 1
     cols = [F.slice("x", F.lit(1), n).alias("x0"), F.slice("y", F.lit(1), n).alias("y0"), F.slice("y", F.lit(2), n).alias("y1")]
-    return a.where(F.size("x") > 1).select(*PAIR, *cols).select(*PAIR, F.inline(F.arrays_zip("x0", "y0", "y1")))
+    return a.where(F.size("x") > 1).select(*PAIR, *cols).select(*PAIR, F.inline(F.arrays_zip("x0", "y0", "y1"))).select(
+        *PAIR, *[F.when(F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("y1").isNotNull(), F.col(c)).alias(c) for c in ("x0", "y0", "y1")]
+    )
 
 
 def spi_tlmi(panel: DataFrame) -> DataFrame:
@@ -213,7 +220,7 @@ def transfer_neighbours(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def spi_te_kraskov(panel: DataFrame) -> DataFrame:
-    m = map_arrays(pair_arrays(panel, True), PAIR, ["x", "y"], transfer_neighbours, ["k2_dce", "k1_dce", "k1"])
+    m = map_arrays(grid_arrays(panel, True), PAIR, ["x", "y"], transfer_neighbours, ["k2_dce", "k1_dce", "k1"])
     return melt_stats(
         m,
         {
@@ -231,7 +238,7 @@ def transfer_kernel(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def spi_te_kernel(panel: DataFrame) -> DataFrame:
-    m = map_arrays(pair_arrays(panel, True), PAIR, ["x", "y"], transfer_kernel, ["v"])
+    m = map_arrays(grid_arrays(panel, True), PAIR, ["x", "y"], transfer_kernel, ["v"])
     return melt_stats(m, {"te_kernel_W-0.25_k-1": F.col("v")})
 
 
@@ -269,7 +276,7 @@ def symbolic_transfer(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def spi_te_symbolic(panel: DataFrame) -> DataFrame:
-    m = map_arrays(pair_arrays(panel, directed=True, value="signal"), PAIR, ["x", "y"], symbolic_transfer, ["k1", "k10"], power=1)
+    m = map_arrays(grid_arrays(panel, directed=True, value="signal"), PAIR, ["x", "y"], symbolic_transfer, ["k1", "k10"], power=1)
     return melt_stats(m, {f"te_symbolic_k-{k}_kt-1_l-1_lt-1": F.col(f"k{k}") for k in (1, 10)})
 
 
@@ -309,5 +316,5 @@ def granger_best_history(x: np.ndarray, y: np.ndarray, k_max: int = 10, tau_max:
 
 
 def spi_gc_gaussian_auto(panel: DataFrame) -> DataFrame:
-    m = map_arrays(pair_arrays(panel, True), PAIR, ["x", "y"], granger_best_history, ["v"], power=1)
+    m = map_arrays(grid_arrays(panel, True), PAIR, ["x", "y"], granger_best_history, ["v"], power=1)
     return melt_stats(m, {"gc_gaussian_k-max-10_tau-max-2": F.col("v")})

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairspan.functions.batches import map_arrays
-from pairspan.operators.pairs import PAIR, melt_stats, pair_arrays
+from pairspan.operators.pairs import PAIR, grid_arrays, melt_stats
 from pairspan.spi.basic import pair_moments
 
 
@@ -66,7 +66,7 @@ JOHANSEN = [f"{s}_{o}_{k}" for o in (0, 1) for k in (1, 10) for s in ("trace", "
 
 
 def spi_coint_johansen(panel: DataFrame) -> DataFrame:
-    m = map_arrays(pair_arrays(panel, value="signal"), PAIR, ["x", "y"], johansen, JOHANSEN, power=1)
+    m = map_arrays(grid_arrays(panel, value="signal"), PAIR, ["x", "y"], johansen, JOHANSEN, power=1)
     names = {}
     for c in JOHANSEN:
         s, order, lag = c.split("_")
@@ -109,5 +109,5 @@ def residual_unit_root(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def spi_coint_aeg(panel: DataFrame) -> DataFrame:
-    m = map_arrays(pair_arrays(panel, value="signal"), PAIR, ["x", "y"], residual_unit_root, list(AEG), power=1)
+    m = map_arrays(grid_arrays(panel, value="signal"), PAIR, ["x", "y"], residual_unit_root, list(AEG), power=1)
     return melt_stats(m, {f"coint_aeg_tstat_trend-{t}_autolag-{r}_maxlag-10": F.col(c) for c, (t, r) in AEG.items()})

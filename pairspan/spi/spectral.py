@@ -2,7 +2,8 @@
 
 Each series is transformed once (Fourier coefficients under sine tapers, Morlet coefficients or the
 analytic signal); everything after that is Spark: pairs are joined as coefficient arrays, products
-over tapers are summed inside the pair's row, and bands are aggregated over frequencies.
+over tapers are summed inside the pair's row, and bands are aggregated over frequencies. Coefficients of two series are
+compared only if both have the same steps; a pair with differing steps has NULL in every measure.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from pairspan.functions.batches import map_arrays
 from pairspan.functions.numeric import pearson, ratio
-from pairspan.operators.pairs import PAIR, join_series, melt_stats, pair_arrays, series_arrays
+from pairspan.operators.pairs import PAIR, aligned, grid_arrays, join_series, melt_stats, series_arrays
 
 TAPERS = 5
 # The three frequency bands, as written in the names of the statistics.
@@ -32,7 +33,7 @@ def sine_tapers(n: int) -> np.ndarray:
 
 def _by_length(values: pd.Series, fn, fields: list[str]) -> pd.DataFrame:
     """Apply ``fn`` to stacks of equally long series; NULL for series with missing values."""
-    rows = [np.asarray(v, dtype=float) for v in values]
+    rows = [np.asarray([] if v is None else v, dtype=float) for v in values]
     out: list = [None] * len(rows)
     size = np.array([len(r) for r in rows])
     for n in np.unique(size):
@@ -79,9 +80,9 @@ def wavelet_transform(values: pd.Series) -> pd.DataFrame:
 
 
 def spectral_coefficients(panel: DataFrame, transform=taper_transform) -> DataFrame:
-    """``sample_id, node, blk, coef``: one small array of coefficients per series."""
-    c = series_arrays(panel).select("sample_id", "node", "blk", transform("vs").alias("c"))
-    return c.select("sample_id", "node", "blk", F.arrays_zip("c.f", "c.re", "c.im").alias("coef"))
+    """``sample_id, node, blk, steps, coef``: one small array of coefficients per series, and a hash of its steps."""
+    c = series_arrays(panel).select("sample_id", "node", "blk", F.xxhash64("ts").alias("steps"), transform("vs").alias("c"))
+    return c.select("sample_id", "node", "blk", "steps", F.arrays_zip("c.f", "c.re", "c.im").alias("coef"))
 
 
 def coefficient_rows(panel: DataFrame) -> DataFrame:
@@ -99,7 +100,9 @@ def _sum(expr: str) -> Column:
 def pair_spectra(panel: DataFrame, directed: bool, transform=taper_transform) -> DataFrame:
     """One row per pair and frequency; ``p`` holds the cross products, one per taper."""
     joined = join_series(spectral_coefficients(panel, transform), directed)
-    rows = joined.select(*PAIR, F.inline(F.arrays_zip(F.col("coef_a").alias("a"), F.col("coef_b").alias("b"))))
+    other = F.when(F.col("steps_a") == F.col("steps_b"), F.col("coef_b"))
+    rows = joined.select(*PAIR, F.posexplode("coef_a").alias("at", "a"), other.alias("other"))
+    rows = rows.select(*PAIR, "a", F.get("other", F.col("at")).alias("b"))
     product = (
         "transform(sequence(0, size(a.re) - 1), k -> named_struct("
         "'re', a.re[k] * b.re[k] + a.im[k] * b.im[k], 'im', a.im[k] * b.re[k] - a.re[k] * b.im[k]))"
@@ -231,10 +234,13 @@ def analytic_signal(values: pd.Series) -> pd.DataFrame:
 
 def spi_pec(panel: DataFrame) -> DataFrame:
     """Correlation of power envelopes, plain or with the in-phase part removed first."""
-    s = series_arrays(panel).select("sample_id", "node", "blk", analytic_signal("vs").alias("h"))
-    pts = join_series(s, False).select(
-        *PAIR, F.inline(F.arrays_zip(F.col("h_a.re").alias("ar"), F.col("h_a.im").alias("ai"), F.col("h_b.re").alias("br"), F.col("h_b.im").alias("bi")))
-    )
+    series = series_arrays(panel)
+    ready = join_series(series.select("sample_id", "node", "blk", F.xxhash64("ts").alias("steps"), analytic_signal("vs").alias("h")), False)
+    alike = ready.where("steps_a = steps_b").select(*PAIR, F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+    # series with differing steps are cut to the common ones first
+    apart = join_series(series.withColumn("steps", F.xxhash64("ts")), False).where("steps_a <> steps_b").select(*PAIR, *aligned())
+    both = alike.unionByName(apart.select(*PAIR, analytic_signal("x").alias("a"), analytic_signal("y").alias("b")))
+    pts = both.select(*PAIR, F.inline(F.arrays_zip(F.col("a.re").alias("ar"), F.col("a.im").alias("ai"), F.col("b.re").alias("br"), F.col("b.im").alias("bi"))))
     ea = F.sqrt(F.col("ar") * F.col("ar") + F.col("ai") * F.col("ai"))
     eb = F.sqrt(F.col("br") * F.col("br") + F.col("bi") * F.col("bi"))
     cross = F.abs(F.col("bi") * F.col("ar") - F.col("br") * F.col("ai"))
@@ -314,8 +320,8 @@ def spectral_granger(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     for order, g in picked.items():
         for tag, (low, high) in BANDS.items():
             part = g[:, (f > low) & (f < high)]
-            out[f"mean|{tag}|{order}"] = np.nanmean(part, axis=1) if np.isfinite(part).any() else np.full(b, np.nan)
-            out[f"max|{tag}|{order}"] = np.nanmax(part, axis=1) if np.isfinite(part).any() else np.full(b, np.nan)
+            out[f"mean|{tag}|{order}"] = part.mean(axis=1)
+            out[f"max|{tag}|{order}"] = part.max(axis=1)
     return out
 
 
@@ -323,7 +329,7 @@ SGC = [f"{h}|{t}|{o}" for o in ("1", "20", "None") for t in BANDS for h in ("mea
 
 
 def spi_sgc_parametric(panel: DataFrame) -> DataFrame:
-    m = map_arrays(pair_arrays(panel, True), PAIR, ["x", "y"], spectral_granger, SGC, power=1)
+    m = map_arrays(grid_arrays(panel, True), PAIR, ["x", "y"], spectral_granger, SGC, power=1)
     names = {}
     for c in SGC:
         how, tag, order = c.split("|")

@@ -73,6 +73,29 @@ def test_envelope_correlation_of_a_copy_is_one(spark):
     assert values(spectral.spi_pec(df))[("pec", "s", "a", "b")] == pytest.approx(1.0)
 
 
+PANEL = "sample_id string, node string, t int, z double"
+
+
+def test_lags_are_steps_not_places(spark):
+    rows = [("s", "a", t, float(t)) for t in (0, 1, 2, 5, 6)] + [("s", "b", t, float(10 * t)) for t in (1, 2, 3, 6, 7)]
+    got = {(r.node_from, r.lag, r.t, r.x, r.y) for r in pairs.lag_self_join(spark.createDataFrame(rows, PANEL), [0, 1]).where("node_from = 'a'").collect()}
+    assert got == {("a", lag, t, float(t), 10.0 * (t + lag)) for lag in (0, 1) for t in (0, 1, 2, 5, 6) if t + lag in (1, 2, 3, 6, 7)}
+
+
+def test_series_with_a_missing_step(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=40)
+    rows = [("s", "a", t, float(x)) for t, x in enumerate(v)] + [("s", "b", t, float(x)) for t, x in enumerate(v) if t != 17]
+    df = spark.createDataFrame(rows, PANEL)
+    assert values(spectral.spi_pec(df))[("pec", "s", "a", "b")] == pytest.approx(1.0)
+    assert {r.cohmag for r in spectral.measures(spectral.pair_spectra(df, False)).collect()} == {None}
+    held = [(v[t], v[t + 1]) for t in range(39) if t != 17 and t + 1 != 17]  # x and y at t, y at t + 1
+    want = -0.5 * np.log(1 - np.corrcoef(*zip(*held, strict=True))[0, 1] ** 2)
+    assert values(infotheory.spi_tlmi(df))[("tlmi_gaussian", "s", "a", "b")] == pytest.approx(want)
+    top = max(abs(sum(v[t] * v[t + l] for t in range(40) if 0 <= t + l < 40 and t + l != 17)) for l in range(-9, 10)) / 39
+    assert values(basic.spi_xcorr(df))[("xcorr_max_sig-True", "s", "a", "b")] == pytest.approx(top)
+
+
 def test_two_steps_and_empty_panel(spark, panel):
     tiny = panel.where("t < 2")
     assert basic.spi_cov(tiny).count() > 0
