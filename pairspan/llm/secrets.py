@@ -1,6 +1,6 @@
 """Secret scan with a random forest that removes false positives, with DataFrame functions and Spark's own forest only.
 
-Candidates are runs of 16 or more letters, digits and ``_ + / = -`` with a digit in them, one at most for each word. Features: length, shares and
+Candidates are runs of 16 or more letters, digits and ``_ + / = -`` with a digit in them; a word may hold several. Features: length, shares and
 transitions of kinds of characters, different characters, the part that dictionary words cover, the path (or source) and the words to the left and right. The
 forest is fitted to labelled findings. When there are none, ``weak_findings`` labels a bounded number of candidates by a stated rule; the forest then
 carries the rule over to candidates whose neighbours don't say what they are.
@@ -49,7 +49,7 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
 
     some = F.explode(F.filter(F.transform("w", made), lambda x: x.isNotNull())).alias("c")
     found = held.select("doc_id", "path", some).select("doc_id", "path", "c.*")
-    return found.select("doc_id", "path", "at", "word", F.regexp_extract("word", CANDIDATE, 0).alias("value"), "before", "after")
+    return found.select("doc_id", "path", "at", "word", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("value"), "before", "after")
 
 
 def with_features(found: DataFrame) -> DataFrame:

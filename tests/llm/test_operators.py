@@ -139,6 +139,13 @@ def test_secrets(docs, none, spark):
     assert [(r.secret, r.score) for r in alone] == [(True, None)]
 
 
+def test_candidates_of_one_word(spark):
+    """Every run of a word is a candidate, also next to marks that end a run; each keeps the place of its word."""
+    rows = [(1, f"keys ({KEY};0123456789abcdef0,short1) end", "a"), (2, None, None), (3, "", "a")]
+    found = secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, r["at"], r.value) for r in found) == sorted([(1, 1, KEY), (1, 1, "0123456789abcdef0")])
+
+
 def test_toxicity_learns_and_ignores_groups(spark):
     rng = random.Random(5)
     groups = ["women", "men"]
