@@ -12,7 +12,7 @@ def drop_self_pairs(fact: DataFrame) -> DataFrame:
 
 def direction_switch(fact: DataFrame, info: DataFrame) -> DataFrame:
     """Directed statistics keep both orders of a pair, undirected ones the first."""
-    joined = fact.join(F.broadcast(info.select("spi", "directionality")), "spi")
+    joined = fact.join(info.select("spi", "directionality"), "spi")
     return joined.where(
         (F.col("node_from") != F.col("node_to"))
         & ((F.col("directionality") == "Directed") | (F.col("node_from") < F.col("node_to")))
@@ -24,8 +24,8 @@ def upper_triangle(fact: DataFrame) -> DataFrame:
 
 
 def spi_in_list(fact: DataFrame, listed: DataFrame) -> DataFrame:
-    """Keep statistics named in a list; the list is the statistic dimension (hundreds of rows)."""
-    return fact.join(F.broadcast(listed.select("spi").distinct()), "spi", "left_semi")
+    """Keep statistics named in a list."""
+    return fact.join(listed.select("spi").distinct(), "spi", "left_semi")
 
 
 def qc_nonconstant(fact: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def qc_complete(fact: DataFrame, key: str = "sample_id") -> DataFrame:
 def qc_keep(fact: DataFrame, key: str = "sample_id") -> DataFrame:
     """The fact table restricted to statistics that pass both rules."""
     good = qc_nonconstant(fact).intersect(qc_complete(fact, key))
-    return fact.join(F.broadcast(good), "spi", "left_semi")
+    return fact.join(good, "spi", "left_semi")
 
 
 def dropped_spis(listed: DataFrame, kept: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def _merge_round(state: DataFrame, step: int, cutoff: float | None) -> DataFrame
     best = ends.groupBy("a").agg(F.min(F.struct(F.round("d", 12).alias("r"), lo.alias("lo"), hi.alias("hi"), "d")).alias("n"))
     # a pair that both ends choose appears twice
     pairs = best.groupBy(F.col("n.lo").alias("a"), F.col("n.hi").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("n.d").alias("d")).where("n = 2")
-    rename = F.broadcast(pairs.select(F.col("b").alias("old"), F.col("a").alias("new")))  # at most half the statistics
+    rename = pairs.select(F.col("b").alias("old"), F.col("a").alias("new"))
     to_a, to_b = (rename.select(F.col("old").alias(f"{c}_old"), F.col("new").alias(f"{c}_new")) for c in "ab")
     moved = (
         state.where("kind <> 'merge'")
@@ -102,12 +102,12 @@ def cluster_cut(dist: DataFrame, cutoff: float) -> DataFrame:
 def cluster_members(clusters: DataFrame, spi: str) -> DataFrame:
     """Statistics in the same cluster as a named one."""
     own = clusters.where(F.col("spi") == spi).select("cluster")
-    return clusters.join(F.broadcast(own), "cluster", "left_semi").select("spi", "cluster")
+    return clusters.join(own, "cluster", "left_semi").select("spi", "cluster")
 
 
 def sub_similarity(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Edges with both ends among the members."""
-    m = F.broadcast(members.select("spi"))
+    m = members.select("spi")
     inner = edges.join(m.withColumnRenamed("spi", "a"), "a", "left_semi")
     return inner.join(m.withColumnRenamed("spi", "b"), "b", "left_semi").select(*edges.columns)
 
@@ -117,7 +117,7 @@ def module_names(clusters: DataFrame) -> DataFrame:
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("spi").alias("first"))
     many = sizes.where("n > 1").withColumn("no", F.row_number().over(Window.orderBy(F.desc("n"), "first")))
     named = many.select("cluster", module_label(F.col("no")).alias("module"))
-    return clusters.join(F.broadcast(named), "cluster", "left").select("spi", F.coalesce("module", F.lit("Singleton")).alias("module"))
+    return clusters.join(named, "cluster", "left").select("spi", F.coalesce("module", F.lit("Singleton")).alias("module"))
 
 
 # ---- graph -----------------------------------------------------------------------------------

@@ -79,7 +79,7 @@ def p_empirical(means: DataFrame, nul: DataFrame, keys: list[str]) -> DataFrame:
 def p_bonferroni(pvals: DataFrame, keys: list[str]) -> DataFrame:
     """min(1, p * number of tests) per problem."""
     tests = pvals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tests"))
-    out = pvals.join(F.broadcast(tests), keys)
+    out = pvals.join(tests, keys)
     return out.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p_value") * F.col("n_tests"))).drop("n_tests")
 
 
@@ -156,5 +156,5 @@ def most_discriminative_pair(fact: DataFrame) -> DataFrame:
     pairs = fact.where("node_from <> node_to")
     t = welch_t(pairs, ["spi", "node_from", "node_to"])
     top = top_abs(t, ["spi"], "t_stat", ["grp_a", "grp_b", "node_from", "node_to"])
-    rows = pairs.join(F.broadcast(top), ["spi", "node_from", "node_to"])
+    rows = pairs.join(top, ["spi", "node_from", "node_to"])
     return rows.where("grp = grp_a OR grp = grp_b").drop("grp_a", "grp_b")

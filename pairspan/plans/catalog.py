@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,13 +76,37 @@ def config_rows(spark: SparkSession, config: list[tuple[str, str, dict[str, str]
     return spark.createDataFrame(config, "spi string, family string, params map<string, string>")
 
 
-def spi_from_config(panel: DataFrame, config: DataFrame) -> DataFrame:
-    """Run the families a configuration names and keep the statistics it lists."""
-    families = [r.family for r in config.select("family").distinct().orderBy("family").collect()]  # names only
-    unknown = sorted(set(families) - set(FAMILIES))
+IN_NAME = ("estimator", "squared")  # parameters that the name of a statistic already says
+
+
+def _settings(family: str, params: dict[str, str]) -> tuple[tuple[str, str], ...]:
+    """Parameters that an estimator takes, by name; others are an error."""
+    if family not in FAMILIES:
+        raise ValueError(f"unknown family: {family}")
+    takes = [p for p in inspect.signature(FAMILIES[family][0]).parameters.values() if p.default is not p.empty]
+    unknown = sorted(set(params) - {p.name for p in takes} - set(IN_NAME))
     if unknown:
-        raise ValueError(f"unknown families: {unknown}")
-    return spi_all(panel, families).join(F.broadcast(config.select("spi").distinct()), "spi", "left_semi")
+        raise ValueError(f"{family} takes no {unknown}")
+    return tuple((p.name, params[p.name]) for p in takes if p.name in params)
+
+
+def spi_from_config(panel: DataFrame, config: DataFrame) -> DataFrame:
+    """Run the families a configuration names, with its parameters, and keep the statistics it lists.
+
+    A family runs once for each setting. Parameters that are given become part of the name: ``cov_ShrunkCovariance_shrinkage-0.5``. A listed
+    statistic that yields no row is an error when the result is read. The configuration is a list of names (hundreds of rows).
+    """
+    listed = config.select("family", "params").collect()
+    runs = sorted({(r.family, _settings(r.family, r.params or {})) for r in listed})
+    ready = cut_lineage(panel)
+    parts = []
+    for family, settings in runs:
+        values = FAMILIES[family][0](ready, **{k: float(v) for k, v in settings})
+        parts.append(values.withColumn("spi", F.concat_ws("_", "spi", *[F.lit(f"{k}-{v}") for k, v in settings])))
+    found = union_many(parts).withColumn("found", F.lit(True))
+    met = config.select("spi").distinct().join(found, "spi", "left")
+    none = F.raise_error(F.concat(F.lit("no values of statistic "), F.col("spi"))).cast("boolean")
+    return met.where(F.when(F.col("found").isNull(), none).otherwise(True)).drop("found")
 
 
 def canonical_name(name: F.Column) -> F.Column:

@@ -41,6 +41,17 @@ def scan_headerless_csv(spark: SparkSession, path: str, names: list[str], prefix
     return spark.read.schema(cols).csv(path, header=False)
 
 
+def scan_headerless_lookup(spark: SparkSession, path: str, lookup: DataFrame, width: int, prefix: str = "t int") -> DataFrame:
+    """Numbers without a header in long form; ``lookup`` (ordinal from 1, node) names the columns that follow those of ``prefix``.
+
+    A column that the lookup does not name is left out; an ordinal beyond ``width`` meets no column.
+    """
+    own = scan_headerless_csv(spark, path, [f"_{i}" for i in range(1, width + 1)], prefix)
+    keys = [c for c in own.columns if not c.startswith("_")]
+    long = own.unpivot(keys, [f"_{i}" for i in range(1, width + 1)], "at", "signal")
+    return long.withColumn("ordinal", F.substring("at", 2, 9).cast("int")).join(lookup, "ordinal").select(*keys, "node", "signal")
+
+
 def scan_file_pattern(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFrame:
     """Every csv below folders or files whose name holds ``pattern``; identity from the dotted name."""
     df = spark.read.schema(schema).option("recursiveFileLookup", True).csv(f"{root}/*{pattern}*")
@@ -87,7 +98,7 @@ def scan_mts_database(spark: SparkSession, path: str, n: int | None = None, labe
         df = df.where(F.array_contains("labels", label))
     if n is not None:
         first = df.select("dataset").distinct().orderBy("dataset").limit(n)
-        df = df.join(F.broadcast(first), "dataset", "left_semi")
+        df = df.join(F.broadcast(first), "dataset", "left_semi")  # n names
     return df
 
 
@@ -95,10 +106,11 @@ def sink_columnar(df: DataFrame, path: str, by: list[str] | None = None, mode: s
     """Parquet, one folder per value of ``by``.
 
     Rows are spread by the folder key and a salt, so a statistic with most rows is written by many
-    tasks, and a small one does not leave a file per task.
+    tasks, and a small one does not leave a file per task. The salt grows with the session's shuffle partitions.
     """
     if by:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(8))
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
         df.repartition(*by, salt).write.mode(mode).partitionBy(*by).parquet(path)
     else:
         df.write.mode(mode).parquet(path)

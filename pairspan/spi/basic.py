@@ -143,9 +143,10 @@ def cross_correlation(arrays: DataFrame) -> DataFrame:
     return arrays.withColumn("c", F.expr(f"transform(sequence(-greatest({top}, 0), greatest({top}, 0)), l -> {one})"))
 
 
-def spi_xcorr(panel: DataFrame) -> DataFrame:
+def spi_xcorr(panel: DataFrame, bar: float = 1.96) -> DataFrame:
+    """Means and maxima over lags; a lag is significant beyond ``bar`` / sqrt(T)."""
     cc = cross_correlation(grid_arrays(panel))
-    strong = F.expr("filter(c, v -> abs(v) > 1.96D / sqrt(held))")
+    strong = F.expr(f"filter(c, v -> abs(v) > {bar}D / sqrt(held))")
     cc = cc.select(*PAIR, F.expr("filter(c, v -> v IS NOT NULL)").alias("c"), strong.alias("sig"))
     stats = {}
     for tag, power in (("", "v"), ("-sq", "v * v")):

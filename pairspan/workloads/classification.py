@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairspan import fixtures as fx
 from pairspan.functions.numeric import rounded
-from pairspan.operators import classify, resample, windows
+from pairspan.operators import classify, quality, resample, windows
 from pairspan.plans.study import process_dataset
 from pairspan.workloads.registry import query
 from pairspan.workloads.sqltext import EV, SPI, r6, with_
@@ -39,9 +39,9 @@ def _(spark, sf):
     return resample.split_stratified(_samples(spark, sf), 30, 0.5, 0.5)
 
 
-@query("split_stratified_counts", with_(EV, f", {_COUNTS}, {_split(10, 'qn')} SELECT CAST(resample AS INTEGER) AS resample, sample_id, grp, part FROM sp"))
+@query("split_stratified_counts", with_(EV, f", {_COUNTS}, {_split(30, 'qn')} SELECT CAST(resample AS INTEGER) AS resample, sample_id, grp, part FROM sp"))
 def _(spark, sf):
-    return resample.split_stratified(_samples(spark, sf), 10, 60, 70)
+    return resample.split_stratified(_samples(spark, sf), 30, 60, 70)
 
 
 @query(
@@ -70,11 +70,14 @@ def _(spark, sf):
 
 
 def _features(spark, sf):
-    return classify.features(fx.spi_fact(spark, sf).where("spi IN ('cov', 'cityblock', 'lag1')"), fx.spi_info(spark))
+    info = fx.spi_info(spark)
+    return classify.features(quality.qc_keep(quality.spi_in_list(fx.spi_fact(spark, sf), info)), info)
 
 
-_FEATS = """ft AS (SELECT s.spi, sample_id, concat_ws('_', node_from, node_to) AS feature, coalesce(value, 0) AS value FROM spi s JOIN spi_info i ON s.spi = i.spi
-  WHERE s.spi IN ('cov', 'cityblock', 'lag1') AND node_from <> node_to AND (directionality = 'Directed' OR node_from < node_to))"""
+_FEATS = """listed AS MATERIALIZED (SELECT * FROM spi WHERE spi IN (SELECT spi FROM spi_info)), good AS (SELECT spi FROM listed GROUP BY 1
+  HAVING count(DISTINCT value) + max(CASE WHEN value IS NULL THEN 1 ELSE 0 END) > 1 AND count(DISTINCT sample_id) = (SELECT count(DISTINCT sample_id) FROM listed)),
+ft AS (SELECT s.spi, sample_id, concat_ws('_', node_from, node_to) AS feature, coalesce(value, 0) AS value FROM listed s JOIN spi_info i ON s.spi = i.spi
+  WHERE s.spi IN (SELECT spi FROM good) AND node_from <> node_to AND (directionality = 'Directed' OR node_from < node_to))"""
 
 
 def _scaled(n_splits: int) -> str:
@@ -141,6 +144,12 @@ def _(spark, sf):
     return classify.svm_fit_all_spis(_features(spark, sf), _tasks(spark, sf, 5, 3))
 
 
+@query("process_dataset_by_subject")
+def _(spark, sf):
+    """Every subject is left out once; labels are permuted inside subjects."""
+    return process_dataset(fx.spi_fact(spark, sf), fx.spi_info(spark), _samples(spark, sf), n_perm=2, leave_out="subject").as_one()
+
+
 @query("process_dataset")
 def _(spark, sf):
     tables = process_dataset(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairspan import fixtures as fx
@@ -48,23 +48,23 @@ def _daily(spark, sf) -> DataFrame:
 def _(spark, sf):
     path = fresh_path(spark, "plain")
     _daily(spark, sf).select(F.col("sample_id"), "t", *NODES).write.csv(path)
-    df = files.scan_headerless_csv(spark, path, NODES, "sample int, t int")
-    return df.unpivot(["sample", "t"], NODES, "node", "signal")
+    order = Window.orderBy("node")  # a row per channel
+    lookup = fx.table(spark, sf, "events").select(F.col("event_type").alias("node")).distinct().withColumn("ordinal", F.row_number().over(order))
+    return files.scan_headerless_lookup(spark, path, lookup, len(NODES), "sample int, t int")
 
 
 @query(
     "scan_file_pattern",
-    with_(EV, "SELECT concat('sub-', subject) AS subject, concat('scan', grp) AS scan, 'S1' AS session, t, sum(CASE WHEN node = 'view' THEN signal END) AS signal FROM ev WHERE CAST(subject AS INTEGER) < 10 GROUP BY 1, 2, 4").replace(
-        "sum(CASE WHEN node = 'view' THEN signal END)", "round(sum(CASE WHEN node = 'view' THEN signal END), 2)"
-    ),
+    with_(EV, "SELECT concat('sub-', subject) AS subject, concat('scan', grp) AS scan, 'S1' AS session, t, node, round(sum(signal), 2) AS signal FROM ev WHERE CAST(subject AS INTEGER) < 10 GROUP BY 1, 2, 4, 5"),
 )
 def _(spark, sf):
     path = fresh_path(spark, "scans")
     kind = F.when(F.col("subject").cast("int") < 10, "sub-").otherwise("other-")
     unit = F.concat_ws(".", F.concat(kind, "subject"), F.concat(F.lit("scan"), "grp"), F.lit("S1"))
-    v = fx.event_panel(spark, sf).where("node = 'view'").groupBy(unit.alias("unit"), "t").agg(F.round(F.sum("signal"), 2).alias("signal"))
-    v.repartition("unit").write.partitionBy("unit").csv(path)
-    return files.scan_file_pattern(spark, path, "sub", "t int, signal double")
+    v = fx.event_panel(spark, sf).groupBy(unit.alias("unit"), "t", "node").agg(F.round(F.sum("signal"), 2).alias("signal"))
+    reshape.to_wide(v, ["unit", "t"], "node", "signal", NODES).repartition("unit").write.partitionBy("unit").csv(path)
+    df = files.scan_file_pattern(spark, path, "sub", ", ".join(["t int", *[f"{n} double" for n in NODES]]))
+    return df.unpivot(["subject", "scan", "session", "t"], NODES, "node", "signal")
 
 
 @query(
@@ -116,7 +116,18 @@ def _(spark, sf):
     return _by_spi(files.scan_tolerant(spark, path, fact.schema.simpleString()[7:-1].replace(":", " ")))
 
 
-_DB = with_(EV, "SELECT e.sample_id AS dataset, l.label, e.node, e.t, e.signal AS value FROM ev e JOIN (SELECT sample_id, unnest(list(DISTINCT node)) AS label FROM ev WHERE signal > 60 GROUP BY 1) l ON l.sample_id = e.sample_id WHERE e.sample_id IN (SELECT sample_id FROM (SELECT DISTINCT sample_id FROM ev WHERE signal > 60) ORDER BY sample_id LIMIT 20)")
+@query("rejected_files", with_(SPI, "SELECT DISTINCT spi FROM spi"))
+def _(spark, sf):
+    path = fresh_path(spark, "results")
+    fact = fx.spi_fact(spark, sf)
+    files.sink_columnar(fact.drop("spi"), f"{path}/good")
+    fact.select("spi", F.col("sample_id").alias("value")).repartition("spi").write.partitionBy("spi").text(f"{path}/broken")  # no parquet files
+    good = files.scan_tolerant(spark, path, fact.drop("spi").schema.simpleString()[7:-1].replace(":", " "))
+    bad = files.rejected_files(spark, path, good)
+    return bad.select(F.regexp_extract("file", "spi=([^/]+)/", 1).alias("spi"))
+
+
+_DB = with_(EV, "SELECT e.sample_id AS dataset, l.label, e.node, e.t, e.signal AS value FROM ev e LEFT JOIN (SELECT sample_id, unnest(list(DISTINCT node)) AS label FROM ev WHERE signal > 60 GROUP BY 1) l ON l.sample_id = e.sample_id")
 
 
 @query("scan_mts_database", _DB)
@@ -124,8 +135,8 @@ def _(spark, sf):
     path = fresh_path(spark, "datasets")
     p = fx.event_panel(spark, sf)
     labels = p.where("signal > 60").groupBy("sample_id").agg(F.collect_set("node").alias("labels"))
-    p.join(labels, "sample_id").select(F.col("sample_id").alias("dataset"), "labels", "node", "t", F.col("signal").alias("value")).write.parquet(path)
-    return files.scan_mts_database(spark, path, n=20).select("dataset", F.explode("labels").alias("label"), "node", "t", "value")
+    p.join(labels, "sample_id", "left").select(F.col("sample_id").alias("dataset"), "labels", "node", "t", F.col("signal").alias("value")).write.parquet(path)
+    return files.scan_mts_database(spark, path).select("dataset", F.explode_outer("labels").alias("label"), "node", "t", "value")
 
 
 @query("sink_columnar", with_(SPI, _BY_SPI))
@@ -184,7 +195,7 @@ def _(spark, sf):
     with_(
         PU,
         f", {_MOM}, {_CDS} "
-        + melt({"cov_EmpiricalCovariance": "r", "cov_ShrunkCovariance": "0.9 * r"}, "mom")
+        + melt({"cov_EmpiricalCovariance": "r", "cov_ShrunkCovariance": "0.9 * r", "cov_ShrunkCovariance_shrinkage-0.5": "0.5 * r", "cov-sq_ShrunkCovariance_shrinkage-0.3": "0.49 * r * r"}, "mom")
         + " UNION ALL "
         + melt({"cds": "v"}, "cd"),
     ),
@@ -195,6 +206,8 @@ def _(spark, sf):
         [
             ("cov_EmpiricalCovariance", "cov", {"estimator": "EmpiricalCovariance", "squared": "false"}),
             ("cov_ShrunkCovariance", "cov_shrunk", {"estimator": "ShrunkCovariance", "squared": "false"}),
+            ("cov_ShrunkCovariance_shrinkage-0.5", "cov_shrunk", {"estimator": "ShrunkCovariance", "shrinkage": "0.5", "squared": "false"}),
+            ("cov-sq_ShrunkCovariance_shrinkage-0.3", "cov_shrunk", {"estimator": "ShrunkCovariance", "shrinkage": "0.3", "squared": "true"}),
             ("cds", "cds", {}),
         ],
     )

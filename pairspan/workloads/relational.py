@@ -71,7 +71,7 @@ def _(spark, sf):
     return _r(reshape.matrix_to_pairs(m, NODES), "value")
 
 
-_PAIRS = [(a, b) for a in NODES for b in NODES if a < b]
+_PAIRS = [(a, b) for a in NODES for b in NODES if a != b]
 
 
 @query(
@@ -80,11 +80,11 @@ _PAIRS = [(a, b) for a in NODES for b in NODES if a < b]
         SPI,
         "SELECT spi, sample_id, grp, "
         + ", ".join(r6(f"max(CASE WHEN node_from = '{a}' AND node_to = '{b}' THEN value END)", f"{a}_{b}") for a, b in _PAIRS)
-        + " FROM spi WHERE node_from < node_to GROUP BY 1, 2, 3",
+        + " FROM spi JOIN spi_info USING (spi) WHERE node_from <> node_to AND (directionality = 'Directed' OR node_from < node_to) GROUP BY 1, 2, 3",
     ),
 )
 def _(spark, sf):
-    fact = quality.upper_triangle(fx.spi_fact(spark, sf)).withColumn("node_pair", reshape.node_pair())
+    fact = quality.direction_switch(fx.spi_fact(spark, sf), fx.spi_info(spark)).withColumn("node_pair", reshape.node_pair())
     fact = joins.join_sample_metadata(fact, fx.event_samples(spark, sf))
     cols = [f"{a}_{b}" for a, b in _PAIRS]
     wide = reshape.to_wide(fact, ["spi", "sample_id", "grp"], "node_pair", "value", cols)
@@ -271,6 +271,12 @@ def _(spark, sf):
     return _r(quality.qc_keep(_listed(spark, sf)), "value")
 
 
+@query("qc_keep_by_subject", with_(SPI, _QC_KEEP.replace("DISTINCT sample_id", "DISTINCT subject")))
+def _(spark, sf):
+    fact = joins.join_sample_metadata(_listed(spark, sf), fx.event_samples(spark, sf))
+    return _r(quality.qc_keep(fact, "subject"), "value").select("spi", "sample_id", "node_from", "node_to", "value")
+
+
 @query(
     "group_in",
     with_(SPI, f"SELECT sample_id, grp, {r6('value', 'value')} FROM spi WHERE spi = 'cov' AND grp IN ('1', '3') AND node_from = 'click' AND node_to = 'view'"),
@@ -308,7 +314,7 @@ def _colours(spark, sf):
 )
 def _(spark, sf):
     hclust = _colours(spark, sf).where("module_type = 'HClust'").select("module", "colour")
-    return fx.supplier_dim(spark, sf).join(F.broadcast(hclust), "module", "left").select("spi", "module", "colour")
+    return fx.supplier_dim(spark, sf).join(hclust, "module", "left").select("spi", "module", "colour")
 
 
 # ---- joins -----------------------------------------------------------------------------------

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from pairspan import fixtures as fx
 from pairspan.functions.numeric import rounded
+from pairspan.operators import quality
 from pairspan.operators import similarity as sm
 from pairspan.workloads.registry import query
-from pairspan.workloads.sqltext import r6
+from pairspan.workloads.sqltext import SPI, r6, with_
 
 _SIM = """WITH em AS (SELECT CAST(label AS VARCHAR) AS dataset, vec_id, concat('d', lpad(CAST(i - 1 AS VARCHAR), 2, '0')) AS spi, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) r(i)),
 rk AS (SELECT dataset, vec_id, spi, rank() OVER (PARTITION BY dataset, spi ORDER BY v) + (count(*) OVER (PARTITION BY dataset, spi, v) - 1) / 2.0 AS r FROM em),
@@ -102,3 +103,31 @@ def _(spark, sf):
 def _(spark, sf):
     sim = _sim(spark, sf)
     return sm.edge_weight_band(sm.graph_edges(sim), sm.edge_thresholds(sim)).select("a", "b", "band")
+
+
+# the whole study on pair statistics: quality rule, correlations over node pairs, mean over samples, clusters
+
+
+def _study(spark: SparkSession, sf: str) -> DataFrame:
+    fact = fx.spi_fact(spark, sf).where("node_from <> node_to AND value IS NOT NULL").withColumn("value", F.round("value", 8))
+    kept = fact.join(quality.qc_nonconstant(fact), "spi", "left_semi")
+    return sm.spi_similarity_mean(sm.spi_correlation(sm.fact_as_panel(kept)))
+
+
+_STUDY = f""", fc AS MATERIALIZED (SELECT spi, sample_id, concat_ws('_', node_from, node_to) AS pair, round(value, 8) AS v FROM spi WHERE node_from <> node_to AND value IS NOT NULL),
+rk AS (SELECT *, rank() OVER (PARTITION BY sample_id, spi ORDER BY v) + (count(*) OVER (PARTITION BY sample_id, spi, v) - 1) / 2.0 AS r
+  FROM fc WHERE spi IN (SELECT spi FROM fc GROUP BY 1 HAVING min(v) < max(v))),
+pt AS (SELECT a.sample_id, a.spi AS a, b.spi AS b, a.r AS x, b.r AS y FROM rk a JOIN rk b ON a.sample_id = b.sample_id AND a.pair = b.pair AND a.spi < b.spi),
+co AS (SELECT sample_id, a, b, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS r FROM pt GROUP BY 1, 2, 3)
+SELECT a, b, {r6('avg(abs(r))', 'sim')} FROM co GROUP BY 1, 2"""
+
+
+@query("study_similarity", with_(SPI, _STUDY))
+def _(spark, sf):
+    return _study(spark, sf).withColumn("sim", rounded("sim"))
+
+
+@query("study_modules")
+def _(spark, sf):
+    dist = sm.similarity_to_distance(sm.cut_lineage(_study(spark, sf)))
+    return sm.module_names(sm.cluster_cut(dist, dist.agg(F.percentile("d", F.lit(0.5))).first()[0]))
