@@ -9,6 +9,7 @@ from pairspan import fixtures as fx
 from pairspan.functions.numeric import rounded
 from pairspan.operators import classify, quality, resample, windows
 from pairspan.plans.study import process_dataset
+from pairspan.session import cut_lineage
 from pairspan.workloads.registry import query
 from pairspan.workloads.sqltext import EV, SPI, r6, with_
 
@@ -71,7 +72,7 @@ def _(spark, sf):
 
 def _features(spark, sf):
     info = fx.spi_info(spark)
-    return classify.features(quality.qc_keep(quality.spi_in_list(fx.spi_fact(spark, sf), info)), info)
+    return classify.features(quality.qc_keep(cut_lineage(quality.spi_in_list(fx.spi_fact(spark, sf), info))), info)
 
 
 _FEATS = """listed AS MATERIALIZED (SELECT * FROM spi WHERE spi IN (SELECT spi FROM spi_info)), good AS (SELECT spi FROM listed GROUP BY 1

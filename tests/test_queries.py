@@ -11,6 +11,7 @@ SAMPLE = [
     "feature_matrix_all", "direction_switch", "qc_complete_by_subject", "join_node_lookup_twice", "histogram_share", "pooled_null",
     "p_bonferroni", "welch_t", "scan_wide_series", "scan_csv_dim", "split_stratified", "permute_labels_grouped", "centroid_classify",
     "spi_cov_oas", "spi_xcorr", "spi_dcorr", "spi_cds", "spi_mi", "spi_te_symbolic", "spi_ppc", "spi_psi_wavelet", "edge_weight_band",
+    "spi_config", "qc_keep_by_subject", "study_similarity", "rejected_files", "feature_matrix_pairs", "scan_headerless_csv", "null_accuracy",
 ]
 
 

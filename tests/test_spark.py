@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairspan.operators import classify, pairs, quality, resample, similarity, stats
 from pairspan.plans import catalog
+from pairspan.plans.study import process_dataset
 from pairspan.session import fresh_path
 from pairspan.sources import files
 from pairspan.spi import basic, infotheory, spectral
@@ -270,3 +271,54 @@ def test_rows_that_lack_a_feature_keep_their_columns(spark):
     assert got == {("cov", "s1"): [1.0, 2.0], ("cov", "s2"): [0.0, 3.0], ("cov", "s3"): [None, 4.0], ("mi", "s1"): [5.0]}
     every = {r.sample_id: (r.features, r.vector) for r in feature_vectors(long, ["sample_id"]).collect()}
     assert every["s2"] == (["a", "b", "c"], [0.0, 3.0, 0.0])
+
+
+def test_centroid_fills_absent_cells(spark):
+    """A feature that a sample lacks counts as 0, in training and in test rows; the plain version agrees under every permutation."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(24, 5)) + np.arange(24)[:, None] % 3
+    x[rng.random(x.shape) < 0.2] = 0
+    feats = [("a", f"s{i:02d}", f"f{j}", float(x[i, j])) for i in range(24) for j in range(5) if x[i, j] != 0]
+    part = np.where(np.arange(24) % 4 == 0, "test", "train")
+    labels = {p: [f"c{i % 3}" for i in (range(24) if p == 0 else rng.permutation(24))] for p in range(3)}
+    tasks = [(1, p, f"s{i:02d}", str(part[i]), labels[p][i]) for p in labels for i in range(24)]
+    got = classify.centroid_classify(
+        spark.createDataFrame(feats, "spi string, sample_id string, feature string, value double"),
+        spark.createDataFrame(tasks, "resample int, perm int, sample_id string, part string, label string"),
+    )
+    want = set()
+    scale = x[part == "train"].std(axis=0)
+    for p, own in labels.items():
+        own = np.array(own)
+        centres = {c: (x[(part == "train") & (own == c)] / scale).mean(axis=0) for c in sorted(set(own))}
+        for i in np.flatnonzero(part == "test"):
+            want.add((p, f"s{i:02d}", own[i], min(centres, key=lambda c: round(((x[i] / scale - centres[c]) ** 2).sum(), 8))))
+    assert {(r.perm, r.sample_id, r.label, r.pred) for r in got.collect()} == want
+    assert got.where(F.col("spi") != "a").count() == 0
+
+
+def test_configuration_errors(spark, panel):
+    config = lambda *rows: catalog.config_rows(spark, list(rows))
+    for wrong in (("x", "no_such_family", {}), ("cds", "cds", {"width": "3"})):
+        with pytest.raises(ValueError):
+            catalog.spi_from_config(panel, config(wrong))
+    with pytest.raises(Exception, match="no values of statistic nothing"):
+        catalog.spi_from_config(panel, config(("nothing", "cov", {}))).collect()
+    strict = catalog.spi_from_config(panel, config(("xcorr_max_sig-True_bar-2.5", "xcorr", {"bar": "2.5"})))
+    assert {r.spi for r in strict.collect()} == {"xcorr_max_sig-True_bar-2.5"}
+
+
+def test_too_many_rows_asked_for(spark):
+    s = spark.createDataFrame([(f"s{i}", f"c{i % 2}") for i in range(10)], "sample_id string, grp string")
+    with pytest.raises(Exception, match="exceed"):
+        resample.split_stratified(s, 2, 8, 5).collect()
+
+
+def test_study_leaves_subjects_out(spark):
+    """A statistic that every subject has is kept, though one sample lacks it; each subject is a fold."""
+    rows = [(spi, f"s{i}", a, b, float((i * 7 + len(a + b) + k * i) % 11)) for k, spi in enumerate(("p", "q")) for i in range(12) for a, b in (("a", "b"), ("a", "cc")) if not (spi == "q" and i == 3)]
+    fact = spark.createDataFrame(rows, "spi string, sample_id string, node_from string, node_to string, value double")
+    info = spark.createDataFrame([("p", "Undirected"), ("q", "Undirected")], "spi string, directionality string")
+    samples = spark.createDataFrame([(f"s{i}", f"g{i % 2}", f"u{i % 3}") for i in range(12)], "sample_id string, grp string, subject string")
+    out = process_dataset(fact, info, samples, n_perm=1, leave_out="subject").per_spi.collect()
+    assert {(r.spi, r.resample) for r in out} == {(spi, u) for spi in ("p", "q") for u in ("u0", "u1", "u2")}
