@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, then Smith-Waterman alignment scores the pairs.
 
-Words are lower-cased runs of letters and digits. Items are cut into segments, texts into overlapping passages twice as long and more, so that the copy of a segment
+Words are case-folded runs of letters and digits of Unicode, and single characters in scripts without spaces (as in ``toxicity``). Items are cut into segments, texts into overlapping passages twice as long and more, so that the copy of a segment
 lies in one passage whole. A passage meets a segment by the n-grams that both have; each n-gram weighs log(N/df)/log(N) by its count df among the N
 n-grams of all texts, so a rare one is enough while common ones must come together. Each pair that meets is aligned: a match scores 2, another word or a gap -1,
 and the score is the part of the segment's best possible one.

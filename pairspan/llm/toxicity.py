@@ -1,6 +1,7 @@
 """Toxicity by a linear classifier whose fit penalises score changes when identity terms are swapped.
 
-Features of a text are the distinct words, word beginnings and word endings that it has, as 64-bit hashes. The fit uses a bounded, documented number
+Words are case-folded runs of letters and digits of Unicode; scripts without spaces are cut into characters. Features of a text are the distinct words, word beginnings
+and word endings that it has, as 64-bit hashes. The fit uses a bounded, documented number
 of labelled rows; features are picked by how far their class shares lie apart, and weights come from logistic loss with L1, L2 and a counterfactual
 term: for each labelled sentence that names a group, the squared change of its score when another group of the same list takes the place. Words that name groups are
 always among the features, so that the penalty acts on them.
@@ -11,7 +12,9 @@ that are null are not used; repeated rows get the same score. Only the text is e
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,13 +40,14 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("muslime", "christen", "juden"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
 
-_WORD = np.zeros(256, np.uint8)  # lower-cased word bytes, 0 for others
-for _c in [*range(48, 58), *range(97, 123), *range(128, 256)]:
-    _WORD[_c] = _c
-for _c in range(65, 91):
-    _WORD[_c] = _c + 32
+#: Scripts written without spaces between words: each character is a word there, with the marks that follow it.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF),
+    (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
+NONE, LETTER, MARK, SINGLE = range(4)  # kinds of code points
 
-#: (kind, bytes from the start or, if negative, from the end); a word of no more bytes has no such feature.
+#: (kind, letters from the start or, if negative, from the end); a word of no more letters has no such feature.
 AFFIXES = ((1, 5), (2, 7), (3, -5))
 _SALT = [mixed(np.array([k + 1], np.uint64))[0] for k in range(8)]
 
@@ -54,15 +58,74 @@ class Model(NamedTuple):
     bias: float
 
 
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+    """Kind and folded form of each code point, and the forms of more than one."""
+    kind, fold = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    longer = {}
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalnum():
+            kind[i] = LETTER
+            if (low := c.casefold()) != c:
+                fold[i] = ord(low[0])
+                if len(low) > 1:
+                    longer[i] = [ord(x) for x in low]
+        elif unicodedata.category(c)[0] == "M":
+            kind[i] = MARK
+    for lo, hi in UNSPACED:
+        own = kind[lo : hi + 1]
+        own[own == LETTER] = SINGLE
+    return kind, fold, longer
+
+
+def _points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the offsets of the rows in them; broken characters become U+FFFD."""
+    if not len(data) or data.max() < 128:
+        return data, offsets
+    begins = (data & 0xC0) != 0x80
+    at = np.flatnonzero(begins)
+    points = data[at].astype(np.uint32)
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    for least, most, tail in ((0xC0, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xFF, 3)):
+        own = np.flatnonzero((points >= least) & (points <= most) & (points == data[at]))
+        if not len(own):
+            continue
+        value, whole = points[own] & (0x3F >> tail), np.ones(len(own), bool)
+        for k in range(1, tail + 1):
+            byte = padded[at[own] + k]
+            whole &= (byte & 0xC0) == 0x80
+            value = (value << 6) | (byte & 0x3F)
+        points[own] = np.where(whole & (value < 0x110000), value, 0xFFFD)
+    return points, np.concatenate([[0], np.cumsum(begins)])[offsets]
+
+
 def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, and start, end and row of each word."""
-    low = _WORD[data]
-    solid = low > 0
+    """Case-folded code points, and start, end and row of each word: a run of letters and digits of Unicode with their marks, or one character of an unspaced script."""
+    kinds, fold, longer = _tables()
+    points, offsets = _points(data, offsets)
+    low = fold[points]
+    if len(points) and points.max() >= 128:
+        many = np.flatnonzero(np.isin(points, list(longer)))
+        if len(many):
+            forms = [longer[p] for p in points[many].tolist()]
+            size = np.ones(len(points), np.int64)
+            size[many] = [len(f) for f in forms]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            low, offsets = np.repeat(low, size), ends[offsets]
+            low[np.repeat(ends[many], size[many]) + np.concatenate([np.arange(len(f)) for f in forms])] = np.concatenate(forms)
+    kind = kinds[low]
     edge = np.zeros(len(low) + 1, bool)
     edge[offsets] = True
-    first, last = solid.copy(), solid.copy()
-    first[1:] &= ~solid[:-1] | edge[1:-1]
-    last[:-1] &= ~solid[1:] | edge[1:-1]
+    fresh = kind != MARK
+    if not fresh.all():  # a mark is of the kind of the character before it, in the same row
+        own = np.maximum.accumulate(np.where(fresh | edge[:-1], np.arange(len(low)), 0))
+        kind = np.where(fresh, kind, np.where(fresh[own], kind[own], NONE))
+    solid = kind != NONE
+    first = solid & fresh
+    first[1:] &= (kind[:-1] != LETTER) | (kind[1:] == SINGLE) | edge[1:-1]
+    last = solid.copy()
+    last[:-1] &= ~solid[1:] | first[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return low, start, end, np.searchsorted(offsets, start, side="right") - 1
 

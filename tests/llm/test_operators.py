@@ -110,6 +110,33 @@ def test_decontamination_finds_edited_copies_only(spark, docs, none):
     assert decontaminate.contamination(none, items).count() == 0 and decontaminate.contamination(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_folds_case_of_all_scripts(spark):
+    """Copies in upper case, between typographic marks and inside a run of an unspaced script are found whole."""
+    texts = [
+        "Déjà vu à l’été où chaque élève préféré écrit une phrase légère près du château",
+        "Съешь же ещё этих мягких французских булок да выпей чаю вместе со всеми друзьями",
+        "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία και τους παλιούς φίλους της μικρής πόλης",
+        "die große Straße führt über süße Äpfel und weiße Füße bis zum Schloß",
+        "我們在春天的早晨沿著河邊慢慢走回家",
+    ]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rng = random.Random(4)
+    near = lambda t: f"{words(rng, 200)} “{t}”—{words(rng, 200)}"
+    copies = [near("—".join(t.upper().split())) for t in texts[:4]] + ["他說：「昨天" + texts[4] + "吃飯了」。"]
+    found = decontaminate.contamination(spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in found) == [(k, k, 1.0) for k in range(5)]
+
+
+def test_words_of_all_scripts():
+    texts = ["Straße İx", "", "a\u0301B\u0301 \u0301c", "\u0301日本語x2", "ＡＢ，ｃ", "ที่นี่", "x😀y ½"]
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    low, start, end, row = toxicity._spans(np.frombuffer(b"".join(data), np.uint8), offsets)
+    got = [(r, "".join(map(chr, low[a:b]))) for a, b, r in zip(start, end, row.tolist(), strict=True)]
+    assert got == [(0, "strasse"), (0, "i\u0307x"), (2, "a\u0301b\u0301"), (2, "c"), *((3, c) for c in "日本語"), (3, "x2"), (4, "ａｂ"), (4, "ｃ"), (5, "ที่"), (5, "นี่"),
+                   (6, "x"), (6, "y"), (6, "½")]
+
+
 def test_alignment_is_that_of_the_definition():
     rng = np.random.default_rng(1)
     x, y = rng.integers(1, 5, (20, 9)).astype(np.uint64), rng.integers(1, 5, (20, 14)).astype(np.uint64)
