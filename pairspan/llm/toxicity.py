@@ -2,7 +2,8 @@
 
 Words are case-folded runs of letters and digits of Unicode; scripts without spaces are cut into characters. Features of a text are the distinct words, word beginnings
 and word endings that it has, as 64-bit hashes. The fit uses a bounded, documented number
-of labelled rows; features are picked by how far their class shares lie apart, and weights come from logistic loss with L1, L2 and a counterfactual
+of labelled rows; features are picked by how far their class shares lie apart; rows of a class count in the loss as often as all labelled rows stand against the sampled ones, so scores follow the true share of
+toxic rows at every size of the table. Weights come from logistic loss with L1, L2 and a counterfactual
 term: for each labelled sentence that names a group, the squared change of its score when another group of the same list takes the place. Words that name groups are
 always among the features, so that the penalty acts on them.
 
@@ -202,9 +203,20 @@ def swapped_sentences(text: str, lists: tuple[tuple[str, ...], ...]) -> list[tup
     return out
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """``d, toxic``: one row for each labelled id."""
+    return labels.where("toxic IN (0, 1)").select(labels["doc_id"].alias("d"), labels["toxic"].cast("int").alias("toxic")).groupBy("d").agg(F.max("toxic").alias("toxic"))
+
+
+def class_totals(docs: DataFrame, labels: DataFrame) -> dict[int, int]:
+    """Labelled rows of ``docs`` by class, all of them."""
+    usable = docs.select(docs["doc_id"].alias("doc_id")).join(_known(labels), F.col("doc_id") == F.col("d"))
+    return {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+
+
 def sample_labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """``text, toxic`` of at most ``max_rows`` labelled rows, up to a third of them toxic, by order of an md5 of the id."""
-    known = labels.where("toxic IN (0, 1)").select(labels["doc_id"].alias("d"), labels["toxic"].cast("int").alias("toxic")).groupBy("d").agg(F.max("toxic").alias("toxic"))
+    known = _known(labels)
     order = F.md5(F.concat(F.lit("fit"), F.col("d").cast("string")))
     parts = [known.where(F.col("toxic") == k).orderBy(order, "d").limit(n) for k, n in ((1, max_rows // 3), (0, max_rows - max_rows // 3))]
     picked = parts[0].unionAll(parts[1])
@@ -258,29 +270,34 @@ def fit(
     got = sample.mapInArrow(match, "toxic int, `on` array<long>, plus array<long>, minus array<long>").toArrow().to_pylist()
     rows = sorted((r["toxic"], r["on"]) for r in got if r["toxic"] is not None)
     swaps = sorted((r["plus"], r["minus"]) for r in got if r["toxic"] is None)
-    return Model(hashes, *_solve(np.array([t for t, _ in rows], float), [o for _, o in rows], swaps, len(hashes), counterfactual))
+    y = np.array([t for t, _ in rows], float)
+    every = class_totals(docs, labels)
+    each = np.where(y > 0, every[1] / n1, every[0] / n0)
+    return Model(hashes, *_solve(y, each / each.mean(), [o for _, o in rows], swaps, len(hashes), counterfactual))
 
 
-def _solve(y: np.ndarray, on: list[list[int]], swaps: list[tuple[list[int], list[int]]], n_features: int, counterfactual: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated proximal gradient steps."""
+def _solve(
+    y: np.ndarray, each: np.ndarray, on: list[list[int]], swaps: list[tuple[list[int], list[int]]], n_features: int, counterfactual: float,
+) -> tuple[np.ndarray, float]:
+    """Weights and bias by accelerated proximal gradient steps; row k counts ``each[k]`` times, 1 on average."""
     row = np.repeat(np.arange(len(on)), [len(o) for o in on])
     col = np.concatenate([np.array(o, np.int64) for o in on]) if len(row) else np.zeros(0, np.int64)
     pair = np.concatenate([np.full(len(p) + len(m), k) for k, (p, m) in enumerate(swaps)]) if swaps else np.zeros(0, np.int64)
     pcol = np.array([c for p, m in swaps for c in [*p, *m]], np.int64)
     sign = np.array([s for p, m in swaps for s in [1.0] * len(p) + [-1.0] * len(m)])
-    w, b, n = np.zeros(n_features), float(np.log(y.mean() / (1 - y.mean()))), len(y)
+    w, b, n = np.zeros(n_features), float(np.log((each * y).sum() / (each * (1 - y)).sum())), len(y)
     v, vb, t, rate = w.copy(), b, 1.0, 1.0
 
     def loss_grad(w, b):
         z = np.bincount(row, w[col], n) + b
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        loss = np.mean(np.logaddexp(0, z) - y * z) + L2 / 2 * (w @ w)
-        g = np.bincount(col, ((p - y) / n)[row], n_features) + L2 * w
+        loss = np.mean(each * (np.logaddexp(0, z) - y * z)) + L2 / 2 * (w @ w)
+        g = np.bincount(col, (each * (p - y) / n)[row], n_features) + L2 * w
         if swaps:
             change = np.bincount(pair, sign * w[pcol], len(swaps))
             loss += counterfactual / 2 * np.mean(change**2)
             g += counterfactual * np.bincount(pcol, sign * change[pair] / len(swaps), n_features)
-        return loss, g, float(np.mean(p - y))
+        return loss, g, float(np.mean(each * (p - y)))
 
     for _ in range(STEPS):
         loss, g, gb = loss_grad(v, vb)

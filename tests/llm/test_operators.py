@@ -193,6 +193,20 @@ def test_toxicity_learns_and_ignores_groups(spark):
     assert gap(20.0) < 0.2 * gap(0.0)
 
 
+def test_toxicity_flags_do_not_depend_on_the_cap(spark):
+    """Of the texts with `mild` three tenths are toxic, of those with `awful` nearly all: a fit on a third of toxic rows flags as one on all rows does."""
+    rng = random.Random(6)
+    rows_, labels_ = [], []
+    for i in range(4800):
+        kind = {0: "awful", 1: "mild"}.get(i % 16, "nice")
+        rows_.append((i, f"{kind} {rng.choice(('text', 'page', 'line'))}"))
+        labels_.append((i, int(rng.random() < {"awful": 0.95, "mild": 0.3, "nice": 0.0}[kind])))
+    docs, labels = spark.createDataFrame(rows_, "doc_id long, text string"), spark.createDataFrame(labels_, "doc_id long, toxic int")
+    probe = spark.createDataFrame([(1, "awful page"), (2, "mild page"), (3, "nice page")], "doc_id long, text string")
+    every, capped = ({r.doc_id: r.score for r in toxicity.score(probe, toxicity.fit(docs, labels, max_rows=n)).collect()} for n in (20_000, 900))
+    assert {k: v >= 0.5 for k, v in every.items()} == {k: v >= 0.5 for k, v in capped.items()} == {1: True, 2: False, 3: False}
+
+
 def test_toxicity_edges(docs, none, labels):
     out = toxicity.drop_toxic(docs, labels.where("toxic = 0"))
     assert out.columns == docs.columns and out.count() == docs.count()  # nothing to learn from
