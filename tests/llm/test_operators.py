@@ -173,6 +173,16 @@ def test_candidates_of_one_word(spark):
     assert sorted((r.doc_id, r["at"], r.value) for r in found) == sorted([(1, 1, KEY), (1, 1, "0123456789abcdef0")])
 
 
+def test_secrets_without_spaces(spark):
+    """The name may stand in the value's own word; short values after a name are candidates; what is uncertain is no example."""
+    texts = [f"API_KEY={KEY}", f'token="{KEY}"', f"password:{KEY}", f"Authorization: Bearer {KEY}", f'{{"api_key":"{KEY}"}}', f"secret ={KEY}", f"token = {KEY}",
+             "password=hunter2 x", "password: hunter2 x", f"id {KEY}", f"token of id {KEY}", f"id={KEY}"]
+    found = secrets.candidates(spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts)], "doc_id long, text string, source string")).cache()
+    assert sorted((r.doc_id, r.value) for r in found.collect()) == [(k, "hunter2" if k in (7, 8) else KEY) for k in range(12)]
+    got = {r.doc_id: r.label for r in secrets.weak_findings(found).collect()}
+    assert got == {**dict.fromkeys(range(7), 1.0), 9: 0.0, 11: 0.0}
+
+
 def test_toxicity_learns_and_ignores_groups(spark):
     rng = random.Random(5)
     groups = ["women", "men"]
