@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairspan.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, secrets, simhash, token_align, toxicity, warc
+from pairspan.llm import collocations, decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, secrets, simhash, token_align, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,6 +115,31 @@ r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN t
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r"""
 
 
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(_table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+ORACLES["op11_phrase_collocations"] = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+  unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+x AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, 1 AS words, unnest(w) AS phrase FROM x
+  UNION ALL SELECT lang, 2, unnest([array_to_string(w[i:i+1], ' ') FOR i IN range(1, len(w))]) FROM x WHERE len(w) > 1
+  UNION ALL SELECT lang, 3, unnest([array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)]) FROM x WHERE len(w) > 2),
+c AS (SELECT lang, words, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, words, phrase),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE words = 1 GROUP BY lang),
+k AS (SELECT lang, phrase, f, unnest(range(1, words)) AS k, words, w FROM c WHERE words > 1 AND f >= 10),
+s AS (SELECT k.lang, k.phrase, k.k, l.f AS l, r.f AS r, (1000000::HUGEINT * k.f * k.f) // (l.f::HUGEINT * r.f) AS score FROM k
+  JOIN c AS l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k.k], ' ') JOIN c AS r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k+1:k.words], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, phrase, max(f) AS longer FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE words = 3 AND f >= 10) GROUP BY 1, 2),
+t AS (SELECT c.lang, c.phrase, c.f AS a, b.l, b.r, b.score FROM c JOIN b ON b.lang = c.lang AND b.phrase = c.phrase LEFT JOIN o ON o.lang = c.lang AND o.phrase = c.phrase
+  WHERE c.words > 1 AND c.f >= 10 AND (c.words = 3 OR o.longer IS NULL OR 100 * o.longer < 50 * c.f)),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t)
+SELECT q.lang, rank, phrase, a, l, r, n.n, score::BIGINT AS score FROM q JOIN n ON n.lang = q.lang WHERE rank <= 2000"""
+
+
 @query
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.cross_align(_table(spark, sf_dir, "documents"))
