@@ -57,10 +57,11 @@ class Words(NamedTuple):
         return np.flatnonzero(self.left >= n)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words_of(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _GAP, breaks: np.ndarray = _BREAK) -> Words:
+    """Words of all texts; ``gap`` and ``breaks`` tell which bytes part words and pieces."""
     data = _LOWER[data]
-    broken = _BREAK[data]
-    solid = ~(broken | _GAP[data])
+    broken = breaks[data]
+    solid = ~(broken | gap[data])
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
@@ -72,9 +73,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     row = np.searchsorted(offsets, start, side="right") - 1
     n = len(start)
-    breaks = np.concatenate([np.zeros(1, np.int64), np.cumsum(broken)])
+    before = np.concatenate([np.zeros(1, np.int64), np.cumsum(broken)])
     final = np.ones(n, bool)  # last word of its piece
-    final[:-1] = (row[1:] != row[:-1]) | (breaks[start[1:]] != breaks[end[:-1]])
+    final[:-1] = (row[1:] != row[:-1]) | (before[start[1:]] != before[end[:-1]])
     ends = np.flatnonzero(final)
     left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1 if n else np.zeros(0, np.int64)
     size = end - start

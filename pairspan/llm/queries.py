@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairspan.llm import collocations, decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, secrets, simhash, token_align, toxicity, warc
+from pairspan.llm import collocations, decontaminate, exact_dedup, html_extract, langid, licenses, line_dedup, mixing, secrets, simhash, token_align, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,6 +140,11 @@ q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 SELECT q.lang, rank, phrase, a, l, r, n.n, score::BIGINT AS score FROM q JOIN n ON n.lang = q.lang WHERE rank <= 2000"""
 
 
+@query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("matches")
+
+
 @query
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.cross_align(_table(spark, sf_dir, "documents"))
