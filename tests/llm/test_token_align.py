@@ -6,11 +6,13 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pairspan.llm import token_align
+from pairspan.llm.arrays import Hasher, chunks
 from pairspan.llm.queries import QUERIES
 
 FIELDS = "doc_id long, text string, n_a string, chunk int"
@@ -88,14 +90,33 @@ def test_empty_table(spark):
     assert out.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
-def test_chunks_pools_and_long_groups_change_nothing(spark, encoders, monkeypatch):
+def test_a_small_pool_changes_nothing(monkeypatch):
+    texts = pa.array([f"word{k % 7} some text {k} and\tmore" for k in range(60)] + [None, "again word1 and more", "กขฃ" * 40])
+
+    def rows(pool):
+        monkeypatch.setattr(token_align, "POOL", pool)
+        encoder, hasher, out = token_align.Encoder(token_align.VOCABULARY_A, token_align.VOCABULARY_B), Hasher(), []
+        for lo, hi, data, offsets in chunks(texts, 200):
+            columns, pair, times, held = token_align.aligned_rows(encoder, hasher, list(range(lo, hi)), data, offsets)
+            out.append((columns, pair.tolist(), times.tolist(), held.tolist()))
+        return out
+
+    assert rows(5) == rows(100_000)
+
+
+def test_chunks_and_long_texts(spark, encoders):
     texts = [f"word{k % 7} some text {k} and\tmore" for k in range(60)] + ["long " * 20_000, "กขฃ" * 400]
-    monkeypatch.setattr(token_align, "POOL", 5)
-    monkeypatch.setattr(token_align, "ENTRIES", 50)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)  # a chunk for each task at least
     assert found(token_align.cross_align(df)) == list(enumerate(plain(texts, encoders)))
 
 
+@given(st.lists(st.lists(st.tuples(st.integers(0, 1 << 20), st.integers(1, 1000)), max_size=5), max_size=6))
+def test_packed_entries_come_back(docs):
+    sizes, place, times = (np.array(x, np.int64) for x in ([len(d) for d in docs], [p for d in docs for p, _ in d], [t for d in docs for _, t in d]))
+    for x, y in zip(token_align.unpack(token_align.pack(sizes, place, times)), (sizes, place, times), strict=True):
+        assert x.tolist() == y.tolist()
+
+
 def test_long_group_by_counts():
     encoder = token_align.Encoder.__new__(token_align.Encoder)
     encoder.n_b = 10
