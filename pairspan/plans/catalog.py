@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairspan.operators.sets import union_many
 from pairspan.session import cut_lineage
-from pairspan.spi import basic, causal, distance, infotheory, misc, spectral
+from pairspan.spi import basic, causal, distance, infotheory, misc, multichannel, spectral
 
 Estimator = Callable[[DataFrame], DataFrame]
 
@@ -53,6 +53,9 @@ FAMILIES: dict[str, tuple[Estimator, bool]] = {
     "psi_wavelet": (spectral.spi_psi_wavelet, True),
     "gd": (spectral.spi_gd, True),
     "sgc_parametric": (spectral.spi_sgc_parametric, True),
+    "sgc_nonparametric": (spectral.spi_sgc_nonparametric, True),
+    # dtf, dcoh, pdcoh, gpdcoh and ddtf come from one model of each sample
+    "directed": (multichannel.spi_directed, True),
     "pec": (spectral.spi_pec, False),
     "lmfit": (misc.spi_lmfit, True),
     "coint_johansen": (misc.spi_coint_johansen, False),

@@ -19,6 +19,7 @@ from pairspan.functions.numeric import pearson, ratio
 from pairspan.operators.pairs import PAIR, aligned, grid_arrays, join_series, melt_stats, series_arrays
 
 TAPERS = 5
+MOST_TAPERS = 128
 # The three frequency bands, as written in the names of the statistics.
 BANDS = {"fmin-0_fmax-0-5": (0.0, 0.5), "fmin-0_fmax-0-25": (0.0, 0.25), "fmin-0-25_fmax-0-5": (0.25, 0.5)}
 _VEC = T.ArrayType(T.DoubleType())
@@ -26,9 +27,9 @@ COEF = T.StructType([T.StructField("f", _VEC), T.StructField("re", T.ArrayType(_
 SIGNAL = T.StructType([T.StructField("re", _VEC), T.StructField("im", _VEC)])
 
 
-def sine_tapers(n: int) -> np.ndarray:
+def sine_tapers(n: int, first: int = 1, last: int = TAPERS) -> np.ndarray:
     t = np.arange(1, n + 1)
-    return np.stack([np.sqrt(2 / (n + 1)) * np.sin(np.pi * k * t / (n + 1)) for k in range(1, TAPERS + 1)])
+    return np.stack([np.sqrt(2 / (n + 1)) * np.sin(np.pi * k * t / (n + 1)) for k in range(first, last + 1)])
 
 
 def _by_length(values: pd.Series, fn, fields: list[str]) -> pd.DataFrame:
@@ -335,3 +336,87 @@ def spi_sgc_parametric(panel: DataFrame) -> DataFrame:
         how, tag, order = c.split("|")
         names[f"sgc_parametric_{how}_fs-1_{tag}_order-{order}"] = F.col(f"`{c}`")
     return melt_stats(m, names)
+
+
+# ---- spectral Granger causality without a model ----------------------------------------------
+
+
+def factor_spectra(s: np.ndarray, rounds: int = 200, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum-phase factors of spectral matrices on the whole circle of frequencies: ``s = h cov h*`` with ``h`` of stacks (b, n, 2, 2), ``cov`` (b, 2, 2), and which stacks converged.
+
+    Newton's iteration: the correction of a factor is computed by frequency and cut to the causal half of its Fourier series by time.
+    """
+    b, n = s.shape[:2]
+    eye = np.eye(2)
+    start = np.linalg.cholesky(s.mean(axis=1).real)  # of lag 0
+    psi = np.broadcast_to(start[:, None], s.shape).astype(complex)
+    done = np.zeros(b, bool)
+    for _ in range(rounds):
+        live = np.flatnonzero(~done)
+        if not len(live):
+            break
+        inv = np.linalg.inv(psi[live])
+        gap = inv @ s[live] @ np.conj(np.swapaxes(inv, 2, 3)) + eye
+        lags = np.fft.ifft(gap, axis=1)
+        lags[:, 0] = np.triu(lags[:, 0].real) - np.einsum("bii->bi", lags[:, 0].real)[:, :, None] * eye / 2
+        if n % 2 == 0:
+            lags[:, n // 2] /= 2
+        lags[:, n // 2 + 1 :] = 0
+        new = psi[live] @ np.fft.fft(lags, axis=1)
+        moved = np.abs(new - psi[live]).max(axis=(1, 2, 3)) / np.abs(new).max(axis=(1, 2, 3))
+        psi[live] = new
+        done[live] = moved < tol
+    first = np.fft.ifft(psi, axis=1)[:, 0].real
+    return psi @ np.linalg.inv(first)[:, None], first @ np.swapaxes(first, 1, 2), done
+
+
+def multitaper_matrices(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Spectral matrices (b, n, 2, 2) of pairs of series at all n frequencies of the circle.
+
+    Averaged over the root of n tapers, from ``TAPERS`` to ``MOST_TAPERS``: a log ratio of noisy spectra would be too high.
+    """
+    n = x.shape[1]
+    z, k = np.stack([x, y], axis=1), min(max(TAPERS, round(n**0.5)), MOST_TAPERS)
+    s = np.zeros((len(x), n, 2, 2), complex)
+    for i in range(1, k + 1):
+        spec = np.fft.fft(z * sine_tapers(n, i, i), axis=2)
+        s += np.einsum("bif,bjf->bfij", spec, np.conj(spec)) / k
+    return s
+
+
+def nonparametric_granger(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Band mean and maximum of the influence of each series on the other."""
+    s = multitaper_matrices(x, y)
+    f = np.arange(x.shape[1]) / x.shape[1]
+    out = {k: np.full(len(x), np.nan) for k in NPG}
+    det = (s[:, :, 0, 0] * s[:, :, 1, 1] - s[:, :, 0, 1] * s[:, :, 1, 0]).real
+    whole = np.flatnonzero((det > 1e-10 * (s[:, :, 0, 0] * s[:, :, 1, 1]).real).all(axis=1))  # channels that determine each other have no factor
+    if not len(whole):
+        return out
+    h, cov, done = factor_spectra(s[whole])
+    if not done.all():
+        raise ArithmeticError(f"no convergence of {int((~done).sum())} spectral factors")
+    for way, (i, j) in {"ab": (0, 1), "ba": (1, 0)}.items():
+        own = cov[:, i, i] - cov[:, i, j] ** 2 / cov[:, j, j]
+        power = s[whole][:, :, j, j].real
+        rest = power - own[:, None] * np.abs(h[:, :, j, i]) ** 2
+        g = np.log(power / np.where(rest > 0, rest, np.nan))
+        for tag, (low, high) in BANDS.items():
+            part = g[:, (f > low) & (f < high)]
+            if part.shape[1]:
+                out[f"{way}|mean|{tag}"][whole], out[f"{way}|max|{tag}"][whole] = part.mean(axis=1), part.max(axis=1)
+    return out
+
+
+NPG = [f"{way}|{how}|{tag}" for way in ("ab", "ba") for how in ("mean", "max") for tag in BANDS]
+
+
+def spi_sgc_nonparametric(panel: DataFrame) -> DataFrame:
+    """One factorisation for each pair of channels gives both directions; a pair with a missing step is NULL."""
+    m = map_arrays(grid_arrays(panel, False), PAIR, ["x", "y"], nonparametric_granger, NPG, power=1)
+    ways = []
+    for way, (a, b) in {"ab": ("node_from", "node_to"), "ba": ("node_to", "node_from")}.items():
+        values = [F.col(f"`{way}|{how}|{tag}`").alias(f"{how}|{tag}") for how in ("mean", "max") for tag in BANDS]
+        ways.append(F.struct(F.col(a).alias("node_from"), F.col(b).alias("node_to"), *values))
+    both = m.select("sample_id", F.inline(F.array(*ways)))
+    return melt_stats(both, {f"sgc_nonparametric_{how}_fs-1_{tag}": F.col(f"`{how}|{tag}`") for how in ("mean", "max") for tag in BANDS})

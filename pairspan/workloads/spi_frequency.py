@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pairspan import fixtures as fx
 from pairspan.functions.numeric import rounded
-from pairspan.spi import misc, spectral
+from pairspan.spi import misc, multichannel, spectral
 from pairspan.workloads.registry import query
 from pairspan.workloads.spi_time import KEYS, add, melt
 from pairspan.workloads.sqltext import EV, PD, r6, with_
@@ -91,6 +91,23 @@ add(
 )
 add("spi_pec", spectral.spi_pec)
 add("spi_sgc_parametric", spectral.spi_sgc_parametric, panel=fx.ship_z)
+add("spi_sgc_nonparametric", spectral.spi_sgc_nonparametric)
+
+
+@query(
+    "lag_moments",
+    with_(
+        EV,
+        f"""SELECT a.sample_id, a.node AS node_from, b.node AS node_to, k AS lag, {r6('coalesce(sum(a.z * b.z), 0)', 's')}, count(a.z * b.z) AS n
+FROM z a CROSS JOIN range(11) l(k) JOIN z b ON a.sample_id = b.sample_id AND b.t = a.t + k GROUP BY 1, 2, 3, 4""",
+    ),
+)
+def _(spark, sf):
+    return multichannel.lag_moments(fx.event_z(spark, sf), block=16).withColumn("s", rounded("s"))
+
+
+for _n in multichannel.MEASURES:
+    add(f"spi_{_n}", getattr(multichannel, f"spi_{_n}"))
 
 _SOFT = "sign(sxy / n) * greatest(abs(sxy / n) - {b}, 0)"
 _BETA = {"Ridge": "sxy / (sxx + 1)", "Lasso": f"({_SOFT.format(b=1.0)}) / (sxx / n)", "ElasticNet": f"({_SOFT.format(b=0.5)}) / (sxx / n + 0.5)"}
