@@ -130,30 +130,49 @@ def _(spark, sf):
     return classify.null_accuracy(_centroid(spark, sf, 3)).withColumn("null_accuracy", rounded("null_accuracy"))
 
 
-def _tasks(spark, sf, n_splits, n_perm):
+def _folds(spark, sf, n_splits: int, n_perm: int) -> DataFrame:
     s = _samples(spark, sf)
-    return classify.with_labels(resample.split_stratified(s, n_splits, 0.5, 0.5), resample.permute_labels(s, n_perm) if n_perm else None)
+    true = classify.with_labels(resample.split_stratified(s, n_splits, 0.5, 0.5))
+    return true.unionByName(resample.split_permuted(s, resample.permute_labels(s, n_perm), n_splits, 0.5, 0.5))
+
+
+@query(
+    "split_permuted",
+    with_(
+        EV,
+        f""", {_HALF}, {_perm(100, '')} SELECT CAST(r AS INTEGER) AS resample, perm, sample_id, CASE WHEN place <= qtr THEN 'train' WHEN place <= qtr + qte THEN 'test' ELSE 'unused' END AS part, label
+FROM (SELECT r, pm.*, row_number() OVER (PARTITION BY perm, r, label ORDER BY md5(concat_ws('|', '42', perm::VARCHAR, r::VARCHAR, sample_id))) AS place FROM pm, range(1, 31) k(r)) JOIN qh ON qh.grp = label""",
+    ),
+)
+def _(spark, sf):
+    s = _samples(spark, sf)
+    return resample.split_permuted(s, resample.permute_labels(s, 100), 30, 0.5, 0.5)
 
 
 @query("svm_fit_many")
 def _(spark, sf):
-    return classify.svm_fit_many(_features(spark, sf), _tasks(spark, sf, 5, 3))
+    return classify.svm_fit_folds(_features(spark, sf), _folds(spark, sf, 30, 100))
 
 
 @query("svm_fit_all_spis")
 def _(spark, sf):
-    return classify.svm_fit_all_spis(_features(spark, sf), _tasks(spark, sf, 5, 3))
+    return classify.svm_fit_folds_all_spis(_features(spark, sf), _folds(spark, sf, 30, 100))
+
+
+@query("svm_fit_products")
+def _(spark, sf):
+    """Machines from inner products, for features of any number: the true labels and three permutations on the folds of the true ones."""
+    s = _samples(spark, sf)
+    return classify.svm_fit_many(_features(spark, sf), classify.with_labels(resample.split_stratified(s, 5, 0.5, 0.5), resample.permute_labels(s, 3)))
 
 
 @query("process_dataset_by_subject")
 def _(spark, sf):
     """Every subject is left out once; labels are permuted inside subjects."""
-    return process_dataset(fx.spi_fact(spark, sf), fx.spi_info(spark), _samples(spark, sf), n_perm=2, leave_out="subject").as_one()
+    return process_dataset(fx.spi_fact(spark, sf), fx.spi_info(spark), _samples(spark, sf), leave_out="subject").as_one()
 
 
 @query("process_dataset")
 def _(spark, sf):
-    tables = process_dataset(
-        fx.spi_fact(spark, sf), fx.spi_info(spark), _samples(spark, sf), n_splits=3, n_perm=2
-    )
-    return tables.as_one()
+    """The whole study: 30 resamples, 100 permutations."""
+    return process_dataset(fx.spi_fact(spark, sf), fx.spi_info(spark), _samples(spark, sf)).as_one()
