@@ -4,8 +4,10 @@ The vocabulary is that of a public tokenizer (its path is a parameter); for each
 words of a bounded number of labelled texts. A word's probability is the sum over every way to cut it into pieces, by a forward pass; words are lower-cased
 runs of letters, each with the word mark in front. A text's score is the posterior of its language over all its words.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0; without any labelled row every text is ``und``; ties go to the first language by name; a word of
-more than ``LONGEST`` letters is cut into stretches of that length; repeated rows get the same answer.
+Every language is fitted, whatever their number: a task fits one language, and a task that scores holds the models of one block of languages.
+
+Defined results: a text that is null or has no letter is ``und`` with score 0; without any labelled row every text is ``und``; an empty table gives no rows; ties go to the first language by name; a word of
+more than ``LONGEST`` letters is cut into stretches of that length, and very long texts are scored whole; repeated rows get the same answer and are learned from once. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -17,14 +19,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairspan.llm.arrays import CHUNK_BYTES, Hasher, batch_of
+from pairspan.session import cut_lineage
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ROWS_PER_LANGUAGE = 300  # labelled texts that a language's model is fitted to
-MAX_LANGUAGES = 256
+LANGUAGES_TOGETHER = 64  # whose models a task holds at once
 LONGEST = 24  # letters handled together
 MARK = 0x2581  # the vocabulary's word mark
 ROUNDS = 4
@@ -140,18 +143,18 @@ def _forward(grid: np.ndarray, probability: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def _by_length(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    size = end - start
+def _by_length(start: np.ndarray, end: np.ndarray, languages: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+    size, step = end - start, max(256, 4 * SLICE // max(4, languages))
     for n in np.unique(size):
         own = np.flatnonzero(size == n)
-        for lo in range(0, len(own), SLICE):
-            yield int(n), own[lo : lo + SLICE]
+        for lo in range(0, len(own), step):
+            yield int(n), own[lo : lo + step]
 
 
 def log_probability(points: np.ndarray, start: np.ndarray, end: np.ndarray, model: Model, hasher: Hasher) -> np.ndarray:
     """log of the sum over segmentations of each word, by language."""
     out = np.zeros((len(start), len(model.languages)))
-    for size, own in _by_length(start, end):
+    for size, own in _by_length(start, end, len(model.languages)):
         out[own] = np.log(_forward(_grid(points, start[own], size, model.pieces, hasher), model.probability)[-1])
     return out
 
@@ -189,32 +192,65 @@ def fit_language(words: dict[str, int], pieces: Pieces, rounds: int = ROUNDS) ->
     return p[:, 0]
 
 
-def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Fit to ``labelled`` (doc_id, text, lang), rows of null lang left out. Word counts of the sampled rows are summed on Spark."""
-    from pyspark.sql import Window
+class Fitted(NamedTuple):
+    """Models of all languages as rows ``block, lang, prior, rest, ids, p``: pieces that a language uses and the probability of the others."""
+
+    table: DataFrame
+    vocabulary: str
+    blocks: int
+
+
+@functools.cache
+def _pieces(vocabulary: str) -> Pieces:
+    return Pieces(read_vocabulary(vocabulary))
+
+
+def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, rows_per_language: int = ROWS_PER_LANGUAGE, together: int = LANGUAGES_TOGETHER) -> Fitted:
+    """Fit every language of ``labelled`` (doc_id, text, lang); rows of null lang are left out.
 
-    known = labelled.select(labelled["doc_id"].alias("doc_id"), labelled["text"].alias("text"), labelled["lang"].alias("lang")).where("lang is not null")
-    totals = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    A language learns from at most ``rows_per_language`` different rows, in the order of a hash of id and text. Words are counted and languages fitted on Spark, a task for each language.
+    """
+    draw = F.xxhash64(F.lit("fit"), labelled["doc_id"], labelled["text"])
+    known = labelled.select(labelled["text"].alias("text"), labelled["lang"].cast("string").alias("lang"), draw.alias("draw")).where("lang is not null")
+    totals = cut_lineage(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
     # coarse cut first, so that the exact order is taken over few rows
-    draw = F.crc32(F.concat(F.lit("fit"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    share = F.lit(1.0)
-    for r in totals:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 4 * (rows_per_language + 25) / r["count"]))).otherwise(share)
-    near = known.where(draw < F.lit(float(1 << 32)) * share).select("doc_id", "lang", draw.alias("draw"))
-    ranked = near.select("*", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id")).alias("k")).where(F.col("k") <= rows_per_language)
-    chosen = ranked.select(F.col("doc_id").alias("d"), F.col("lang").alias("g"))
-    # at most rows_per_language rows for each of MAX_LANGUAGES languages
-    sample = known.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("lang") == F.col("g"))).select("lang", "text")
+    share = F.least(F.lit(1.0), 4.0 * (rows_per_language + 25) / F.col("n"))
+    near = known.select("lang", "draw").join(totals, "lang").where(F.col("draw") / float(1 << 64) + 0.5 < share).select("lang", "draw").distinct()
+    ranked = near.select("*", F.row_number().over(Window.partitionBy("lang").orderBy("draw")).alias("k")).where(F.col("k") <= rows_per_language)
+    last = ranked.groupBy("lang").agg(F.max("draw").alias("last"))
+    sample = known.join(last, "lang").where("draw <= last").dropDuplicates(["lang", "draw"])
     letters = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)")))
-    counts = sample.select("lang", letters.alias("word")).groupBy("lang", "word").count().collect()
-    by: dict[str, dict[str, int]] = {r["lang"]: {} for r in totals}
-    for r in sorted(counts, key=lambda r: r["word"]):
-        by[r["lang"]][r["word"]] = r["count"]
-    pieces = Pieces(read_vocabulary(vocabulary))
-    names = sorted(k for k, v in by.items() if v)
-    size = {r["lang"]: r["count"] for r in totals}
-    probability = np.stack([fit_language(by[k], pieces) for k in names], axis=1) if names else np.zeros((pieces.n, 0))
-    return Model(names, pieces, probability, np.log(np.array([size[k] for k in names], float) / max(1, sum(size[k] for k in names))))
+    words = sample.select("lang", letters.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+
+    def one(table: pa.Table) -> pa.Table:
+        pieces = _pieces(vocabulary)
+        held = sorted(zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True))
+        p = fit_language(dict(held), pieces)
+        rest = float(p[1:].min(initial=1.0))
+        used = np.flatnonzero(p > rest * (1 + 1e-9))
+        return pa.table({
+            "lang": pa.array([table["lang"][0].as_py()], pa.string()), "rest": pa.array([rest]),
+            "ids": pa.array([used], pa.list_(pa.int32())), "p": pa.array([p[used]], pa.list_(pa.float64())),
+        })
+
+    fitted = cut_lineage(words.groupBy("lang").applyInArrow(one, "lang string, rest double, ids array<int>, p array<double>"))
+    named = fitted.select("lang").join(totals, "lang")  # a row for each language
+    place = F.row_number().over(Window.orderBy("lang")) - 1
+    prior = F.log(F.col("n") / F.sum("n").over(Window.partitionBy()))
+    placed = named.select("lang", prior.alias("prior"), F.floor(place / together).cast("int").alias("block"))
+    table = cut_lineage(fitted.join(placed, "lang").select("block", "lang", "prior", "rest", "ids", "p"))
+    return Fitted(table, vocabulary, table.agg(F.count_distinct("block")).first()[0])
+
+
+def block_model(fitted: Fitted, block: int) -> Model:
+    """The models of one block of languages, as a matrix."""
+    pieces, rows = _pieces(fitted.vocabulary), fitted.table.where(F.col("block") == block).orderBy("lang").toArrow().to_pylist()
+    probability = np.empty((pieces.n, len(rows)))
+    for k, r in enumerate(rows):
+        probability[:, k] = r["rest"]
+        probability[r["ids"], k] = r["p"]
+    probability[0] = 0
+    return Model([r["lang"] for r in rows], pieces, probability, np.array([r["prior"] for r in rows]))
 
 
 class _Cache:
@@ -222,15 +258,16 @@ class _Cache:
 
     def __init__(self, model: Model) -> None:
         self.model, self.hasher = model, Hasher()
-        self.keys = np.zeros(1 << CACHE_BITS, np.uint64)
-        self.values = np.zeros((1 << CACHE_BITS, len(model.languages)))
+        self.bits = min(CACHE_BITS, 23 - len(model.languages).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.values = np.zeros((1 << self.bits, len(model.languages)))
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of the log probabilities of each text's words, by language, and its number of words."""
         points, start, end, row = text_words(texts)
         self.hasher.load(points)
         h = self.hasher.spans(start, end)
-        slot = (h >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         value = self.values[slot]
         miss = np.flatnonzero(self.keys[slot] != h)
         if len(miss):
@@ -243,12 +280,12 @@ class _Cache:
         return total, np.bincount(row, minlength=len(texts))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang_pred, score`` for every row of ``docs`` (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+def _scored(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``row, doc_id, letters, lang, best, total``: words of each row, the likeliest language of the block with its log probability, and that of the whole block."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("letters", pa.int64()), ("lang", pa.string()), ("best", pa.float64()), ("total", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Cache(model) if model.languages else None
+        cache = _Cache(model) if model is not None else None
         for b in batches:
             texts = pc.fill_null(b.column("text"), "")
             sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -256,19 +293,41 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             while lo < b.num_rows:
                 done = sizes[lo - 1] if lo else 0
                 hi = max(lo + 1, int(np.searchsorted(sizes, done + CHUNK_BYTES, side="right")))
-                ids = b.column("doc_id").slice(lo, hi - lo)
+                keys = {"row": b.column("row").slice(lo, hi - lo), "doc_id": b.column("doc_id").slice(lo, hi - lo)}
                 if cache is None:
-                    yield batch_of(schema, doc_id=ids, lang_pred=["und"] * (hi - lo), score=np.zeros(hi - lo))
+                    yield batch_of(schema, **keys, letters=np.zeros(hi - lo, np.int64), lang=["und"] * (hi - lo), best=np.zeros(hi - lo), total=np.zeros(hi - lo))
                 else:
                     total, n = cache.scores(texts.slice(lo, hi - lo).to_pylist())
                     total += model.prior
-                    best = total.argmax(1)
-                    share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                    names = [model.languages[k] if c else "und" for k, c in zip(best.tolist(), n.tolist(), strict=True)]
-                    yield batch_of(schema, doc_id=ids, lang_pred=names, score=np.where(n > 0, share, 0.0))
+                    best = total.max(1)
+                    every = best + np.log(np.exp(total - best[:, None]).sum(1))
+                    yield batch_of(schema, **keys, letters=n, lang=[model.languages[k] for k in total.argmax(1).tolist()], best=best, total=every)
                 lo = hi
 
-    return docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).mapInArrow(scan, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(scan, "row long, doc_id long, letters long, lang string, best double, total double")
+
+
+def predict(docs: DataFrame, fitted: Fitted) -> DataFrame:
+    """``doc_id, lang_pred, score`` for every row of ``docs`` (doc_id, text).
+
+    A task holds the models of one block of languages. With more blocks the texts are written once with a row number and read for each block; the blocks' results, one narrow row for each
+    text, are then put together.
+    """
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    if fitted.blocks <= 1:
+        model = block_model(fitted, 0) if fitted.blocks else None
+        best = _scored(own.withColumn("row", F.lit(0).cast("long")), model).withColumn("every", F.col("total"))
+    else:
+        rows = cut_lineage(own.withColumn("row", F.monotonically_increasing_id()))
+        parts = [cut_lineage(_scored(rows, block_model(fitted, k))) for k in range(fitted.blocks)]
+        every = functools.reduce(DataFrame.unionAll, parts)
+        likely = F.min(F.struct((-F.col("best")).alias("less"), "lang"))  # of equally likely ones the first by name
+        met = every.groupBy("row", "doc_id", "letters").agg(likely.alias("top"), F.collect_list("total").alias("totals"))
+        high = F.array_max("totals")
+        log_sum = high + F.log(F.aggregate("totals", F.lit(0.0), lambda s, t: s + F.exp(t - high)))
+        best = met.select("doc_id", "letters", F.col("top.lang").alias("lang"), (-F.col("top.less")).alias("best"), log_sum.alias("every"))
+    some = F.col("letters") > 0
+    return best.select("doc_id", F.when(some, F.col("lang")).otherwise("und").alias("lang_pred"), F.when(some, F.exp(F.col("best") - F.col("every"))).otherwise(0.0).alias("score"))
 
 
 def held_out(doc_id):

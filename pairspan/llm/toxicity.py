@@ -203,23 +203,18 @@ def swapped_sentences(text: str, lists: tuple[tuple[str, ...], ...]) -> list[tup
     return out
 
 
-def _known(labels: DataFrame) -> DataFrame:
-    """``d, toxic``: one row for each labelled id."""
-    return labels.where("toxic IN (0, 1)").select(labels["doc_id"].alias("d"), labels["toxic"].cast("int").alias("toxic")).groupBy("d").agg(F.max("toxic").alias("toxic"))
+def usable_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``d, toxic, n``: one row for each labelled id of ``docs`` and its number of rows there. Labels of other documents are left out before anything is sampled."""
+    known = labels.where("toxic IN (0, 1)").select(labels["doc_id"].alias("d"), labels["toxic"].cast("int").alias("toxic")).groupBy("d").agg(F.max("toxic").alias("toxic"))
+    met = docs.select(docs["doc_id"].alias("doc_id")).join(known, F.col("doc_id") == F.col("d"))
+    return met.groupBy("d").agg(F.max("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
 
 
-def class_totals(docs: DataFrame, labels: DataFrame) -> dict[int, int]:
-    """Labelled rows of ``docs`` by class, all of them."""
-    usable = docs.select(docs["doc_id"].alias("doc_id")).join(_known(labels), F.col("doc_id") == F.col("d"))
-    return {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-
-
-def sample_labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """``text, toxic`` of at most ``max_rows`` labelled rows, up to a third of them toxic, by order of an md5 of the id."""
-    known = _known(labels)
+def sample_labelled(docs: DataFrame, usable: DataFrame, max_rows: int) -> DataFrame:
+    """``text, toxic`` of at most ``max_rows`` labelled ids, up to a third of them toxic, by order of an md5 of the id."""
     order = F.md5(F.concat(F.lit("fit"), F.col("d").cast("string")))
-    parts = [known.where(F.col("toxic") == k).orderBy(order, "d").limit(n) for k, n in ((1, max_rows // 3), (0, max_rows - max_rows // 3))]
-    picked = parts[0].unionAll(parts[1])
+    parts = [usable.where(F.col("toxic") == k).orderBy(order, "d").limit(n) for k, n in ((1, max_rows // 3), (0, max_rows - max_rows // 3))]
+    picked = parts[0].unionAll(parts[1]).select("d", "toxic")
     return docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).join(picked, F.col("doc_id") == F.col("d")).select("text", "toxic")
 
 
@@ -227,7 +222,8 @@ def fit(
     docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL,
 ) -> Model:
     """Learn from rows of ``labels`` (doc_id, toxic) and the texts of ``docs``. Counting and matching features run on Spark; only picked features of the sampled rows come back."""
-    sample = cut_lineage(sample_labelled(docs, labels, max_rows))
+    usable = cut_lineage(usable_labels(docs, labels))
+    sample = cut_lineage(sample_labelled(docs, usable, max_rows))
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
@@ -271,7 +267,7 @@ def fit(
     rows = sorted((r["toxic"], r["on"]) for r in got if r["toxic"] is not None)
     swaps = sorted((r["plus"], r["minus"]) for r in got if r["toxic"] is None)
     y = np.array([t for t, _ in rows], float)
-    every = class_totals(docs, labels)
+    every = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     each = np.where(y > 0, every[1] / n1, every[0] / n0)
     return Model(hashes, *_solve(y, each / each.mean(), [o for _, o in rows], swaps, len(hashes), counterfactual))
 
