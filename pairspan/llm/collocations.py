@@ -3,7 +3,7 @@
 Prefix polynomials over the words of a block of texts (one space after each word) give the fingerprint of every n-gram with two look-ups. A shuffle sums fingerprints that tasks have
 counted beforehand: first of one and two words, then of longer n-grams whose parts are all frequent, length by length. The frequent fingerprints become a screen, a bit table of bounded size: a false hit only
 sends more. Then the texts are read once more: each task checks the occurrences that pass the screen byte by byte against the text that their fingerprint stood for first (one that differs is counted by its
-own text), and a second shuffle sums fingerprints by their text, with a pointer to the first occurrence. So counts are exact by text, and only frequent phrases become strings.
+own text), and a second shuffle sums texts, with a pointer to the first document. So counts are exact by text, and only frequent phrases become strings.
 
 A phrase's score is that of its worst cut into two parts, ``floor(1000000 f(phrase)^2 / (f(left) f(right)))``, in decimals of 38 digits (counts up to 10^15).
 
@@ -31,9 +31,9 @@ WORDS = 3  # longest phrase
 SHARE = 50  # per cent of a phrase's occurrences that a longer one must reach to replace it
 FIRST = 2000  # phrases of a language in the report
 SALT = 8  # copies of the parts' counts, so that a frequent word doesn't gather its phrases in one task
-MOST_BITS = 1 << 28  # of the screen: 32 MB at most
+MOST_BITS = 1 << 27  # of the screen: 16 MB at most
 GRAMS = 3_000_000  # fingerprints counted together
-PHRASES = 200_000  # different texts counted together
+PHRASES = 600_000  # texts counted together, about 15 bytes each
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -49,7 +49,6 @@ class Words(NamedTuple):
     start: np.ndarray
     end: np.ndarray
     row: np.ndarray
-    place: np.ndarray  # number of the word in its text
     left: np.ndarray  # words from here to the end of the piece, this one included
 
     def phrases(self, n: int) -> np.ndarray:
@@ -84,8 +83,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _GAP, brea
     kept = np.ones(len(body), bool)
     kept[stop] = False
     body[kept] = data[solid]
-    place = np.arange(n) - np.searchsorted(row, row)
-    return Words(body, stop - size, stop, row, place, left)
+    return Words(body, stop - size, stop, row, left)
 
 
 def language_key(lang: str) -> int:
@@ -108,8 +106,8 @@ class Screen(NamedTuple):
 
 
 def screen_of(frequent: DataFrame, most_bits: int = MOST_BITS) -> Screen:
-    """Bits of the fingerprints in column ``fp``: about 32 for each, ``most_bits`` at most. The driver gets one row for each word of 64 bits that isn't zero."""
-    size = min(most_bits, max(1 << 12, 1 << (32 * frequent.count()).bit_length()))
+    """Bits of the fingerprints in column ``fp``: about 16 for each, ``most_bits`` at most. The driver gets one row for each word of 64 bits that isn't zero."""
+    size = min(most_bits, max(1 << 12, 1 << (16 * frequent.count()).bit_length()))
     slot = F.col("fp").bitwiseAND(F.lit(size - 1))
     places = frequent.select(F.shiftright(slot, 6).alias("at"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
     rows = places.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word"))
@@ -166,71 +164,97 @@ def frequent_fingerprints(docs: DataFrame, lengths: list[int], screen: Screen |
     return cut_lineage(counts.where(F.col("n") >= least).select("fp"))
 
 
-def checked_phrases(words: Words, at: np.ndarray, length: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
-    """(first word, text, occurrences) of the phrases that begin at ``at``, by fingerprint; every occurrence is compared with the text of the first."""
-    order = np.argsort(h, kind="stable")
-    at, length, h = at[order], length[order], h[order]
+class Texts(NamedTuple):
+    """Phrases with their texts: fingerprint, occurrences, first document, language and number of words, and where the text stands in ``body``."""
+
+    h: np.ndarray
+    f: np.ndarray
+    doc: np.ndarray
+    lang: np.ndarray
+    words: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    body: np.ndarray
+
+
+NO_DOC = np.iinfo(np.int64).max  # stands for a null id
+
+
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def merged(t: Texts) -> Texts:
+    """One row for each text: rows of one fingerprint are compared, byte by byte, with the text of the first; those that differ stay apart."""
+    order = np.argsort(t.h, kind="stable")
+    h, start, size = t.h[order], t.start[order], t.size[order]
     first = np.ones(len(h), bool)
     first[1:] = h[1:] != h[:-1]
     head = np.flatnonzero(first)
     group = np.cumsum(first) - 1
-    start, size = words.start[at], words.end[at + length - 1] - words.start[at]
     same = size == size[head][group]
-    other = np.flatnonzero(same & ~first)  # compare bytes
-    n = size[other]
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    equal = words.body[np.repeat(start[other], n) + inner] == words.body[np.repeat(start[head][group[other]], n) + inner]
-    if not equal.all():
-        same[np.repeat(other, n)[~equal]] = False
-    counts = np.bincount(group[same], minlength=len(head))
-    body = words.body.tobytes()
-    for w, s, k, c in zip(at[head].tolist(), start[head].tolist(), size[head].tolist(), counts.tolist(), strict=True):
-        yield w, body[s : s + k], c
-    for i in np.flatnonzero(~same).tolist():
-        yield int(at[i]), body[start[i] : start[i] + size[i]], 1
+    other = np.flatnonzero(same & ~first)
+    for lo in range(0, len(other), 1 << 16):
+        part = other[lo : lo + (1 << 16)]
+        n = size[part]
+        equal = t.body[_ragged(start[part], n)] == t.body[_ragged(start[head][group[part]], n)]
+        if not equal.all():
+            same[np.repeat(part, n)[~equal]] = False
+    kept = order[np.concatenate([head, np.flatnonzero(~same)])]
+    apart = np.flatnonzero(~same)
+    f = np.concatenate([np.bincount(group[same], t.f[order][same], len(head)).astype(np.int64), t.f[order][apart]])
+    at, n = t.start[kept], t.size[kept]
+    return Texts(t.h[kept], f, t.doc[kept], t.lang[kept], t.words[kept], np.cumsum(n) - n, n, t.body[_ragged(at, n)])
+
+
+def joined(parts: list[Texts]) -> Texts:
+    shift = np.cumsum([0, *[len(p.body) for p in parts[:-1]]])
+    moved = [p._replace(start=p.start + s) for p, s in zip(parts, shift, strict=True)]
+    return Texts(*(np.concatenate(c) for c in zip(*moved, strict=True)))
 
 
 def phrase_counts(docs: DataFrame, screen: Screen, most_words: int = WORDS) -> DataFrame:
-    """``lang, phrase, words, f, first_doc, first_word`` of all phrases that pass the screen; a row of empty phrase and 0 words holds a language's number of words."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
+    """``lang, phrase, words, f, first_doc`` of all phrases that pass the screen; a row of empty phrase and 0 words holds a language's number of words."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64()), ("doc_id", pa.int64())])
     held = docs.sparkSession.sparkContext.broadcast(screen)
 
-    def rows(counted: dict[tuple[str, bytes], list]) -> pa.RecordBatch:
-        f, ids, at = zip(*counted.values(), strict=True)
-        phrases = [p.decode() for _, p in counted]
-        return batch_of(schema, lang=[k for k, _ in counted], phrase=phrases, words=[p.count(" ") + 1 if p else 0 for p in phrases], f=f, doc_id=ids, at=at)
+    def rows(parts: list[Texts], names: list[str], sizes: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        t = merged(joined(parts))
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(t.size).astype(np.int32)])
+        phrase = pa.StringArray.from_buffers(len(t.h), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(t.body)))
+        lang = pa.array(names, pa.string()).take(pa.array(t.lang))
+        yield batch_of(schema, lang=lang, phrase=phrase, words=t.words.astype(np.int32), f=t.f, doc_id=pa.array(t.doc, mask=t.doc == NO_DOC))
+        k = len(sizes)
+        yield batch_of(schema, lang=list(sizes), phrase=[""] * k, words=np.zeros(k, np.int32), f=list(sizes.values()), doc_id=[None] * k)
+        release()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counted = Hasher(), {}
+        hasher, parts, n, code, sizes = Hasher(), [], 0, {}, {}
         for b, words, keys, langs in _blocks(batches):
+            own = np.array([code.setdefault(k, len(code)) for k in langs], np.int64)
+            ids = pc.fill_null(b.column("doc_id"), NO_DOC).to_numpy(zero_copy_only=False)
             hasher.load(words.body)
             met = []
-            for n in range(1, most_words + 1):
-                at = words.phrases(n)
-                h = fingerprints(hasher, words, at, n, keys)
+            for length in range(1, most_words + 1):
+                at = words.phrases(length)
+                h = fingerprints(hasher, words, at, length, keys)
                 ok = held.value.holds(h)
-                met.append((at[ok], np.full(int(ok.sum()), n), h[ok]))
-            ids = b.column("doc_id").to_pylist()
-            rows_at, places = words.row.tolist(), words.place.tolist()
-            for w, text, c in checked_phrases(words, *(np.concatenate(x) for x in zip(*met, strict=True))):
-                row = rows_at[w]
-                entry = counted.get((langs[row], text))
-                if entry is None:
-                    counted[langs[row], text] = [c, ids[row], places[w]]
-                else:
-                    entry[0] += c
-            for row, n in enumerate(np.bincount(words.row, minlength=len(langs)).tolist()):
-                counted.setdefault((langs[row], b""), [0, None, 0])[0] += n
-            if len(counted) >= PHRASES:
-                yield rows(counted)
-                counted = {}
-                release()
-        if counted:
-            yield rows(counted)
+                met.append((h[ok], at[ok], np.full(int(ok.sum()), length)))
+            h, at, length = (np.concatenate(x) for x in zip(*met, strict=True))
+            row, start = words.row[at], words.start[at]
+            part = merged(Texts(h, np.ones(len(h), np.int64), ids[row], own[row], length, start, words.end[at + length - 1] - start, words.body))
+            parts.append(part)
+            n += len(part.h)
+            for lang, count in zip(langs, np.bincount(words.row, minlength=len(langs)).tolist(), strict=True):
+                sizes[lang] = sizes.get(lang, 0) + count
+            if n >= PHRASES:
+                yield from rows(parts, list(code), sizes)
+                parts, n, sizes = [], 0, {}
+        if parts:
+            yield from rows(parts, list(code), sizes)
 
-    found = _texts(docs).mapInArrow(scan, "lang string, phrase string, words int, f long, doc_id long, at long")
-    summed = found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"), F.min(F.struct("doc_id", "at")).alias("first"))
-    return summed.select("lang", "phrase", "words", "f", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_word"))
+    found = _texts(docs).mapInArrow(scan, "lang string, phrase string, words int, f long, doc_id long")
+    return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"), F.min("doc_id").alias("first_doc"))
 
 
 def _salted(parts: DataFrame, side: str) -> DataFrame:
@@ -239,7 +263,7 @@ def _salted(parts: DataFrame, side: str) -> DataFrame:
 
 
 def scored(counts: DataFrame, least: int = LEAST, share: int = SHARE) -> DataFrame:
-    """Candidates that no longer one replaces: ``lang, phrase, words, a, l, r, score, first_doc, first_word``."""
+    """Candidates that no longer one replaces: ``lang, phrase, words, a, l, r, score, first_doc``."""
     wide = counts.where((F.col("words") > 1) & (F.col("f") >= least)).withColumn("w", F.split("phrase", " "))
     cut = F.explode(F.expr("sequence(1, words - 1)")).alias("k")
     cuts = wide.select("lang", "phrase", "f", "w", "words", cut, F.pmod(F.xxhash64("phrase"), F.lit(SALT)).cast("int").alias("salt"))
@@ -251,16 +275,28 @@ def scored(counts: DataFrame, least: int = LEAST, share: int = SHARE) -> DataFra
     inner = F.expr("flatten(transform(sequence(2, words - 1), m -> transform(sequence(1, words - m + 1), i -> array_join(slice(w, i, m), ' '))))")
     longer = wide.where("words > 2").select("lang", F.explode(inner).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     kept = wide.drop("w").join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("f")))
-    return kept.join(worst, ["lang", "phrase"]).select("lang", "phrase", "words", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score", "first_doc", "first_word")
+    return kept.join(worst, ["lang", "phrase"]).select("lang", "phrase", "words", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score", "first_doc")
+
+
+def ranked(phrases: DataFrame, first: int = FIRST) -> DataFrame:
+    """The first rows of each language by score, count and phrase, with their ``rank``.
+
+    Scores are counted by bucket first, so that only the rows of buckets that reach into the report are sorted, each bucket on its own.
+    """
+    phrases = cut_lineage(phrases.withColumn("bucket", F.floor(F.col("score") / 50)))
+    counts = phrases.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n_bucket"))
+    above = F.sum("n_bucket").over(Window.partitionBy("lang").orderBy(F.desc("bucket"))) - F.col("n_bucket")  # at most 20,001 buckets
+    reach = counts.select("lang", "bucket", above.alias("above")).where(F.col("above") < first)
+    order = Window.partitionBy("lang", "bucket").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    near = phrases.join(reach, ["lang", "bucket"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= first)
+    return near.withColumn("rank", F.col("above") + F.col("k")).where(F.col("rank") <= first).drop("bucket", "above", "k")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, most_words: int = WORDS, share: int = SHARE, first: int = FIRST) -> DataFrame:
-    """The first phrases of each language of ``docs`` (doc_id, text, lang): ``lang, rank, phrase, a, l, r, n, score, first_doc, first_word``."""
+    """The first phrases of each language of ``docs`` (doc_id, text, lang): ``lang, rank, phrase, a, l, r, n, score, first_doc``."""
     frequent = frequent_fingerprints(docs, [1, 2], None, least)
     for length in range(3, most_words + 1):
         frequent = frequent.union(frequent_fingerprints(docs, [length], screen_of(frequent), least))
     counts = cut_lineage(phrase_counts(docs, screen_of(frequent), most_words).where((F.col("words") == 0) | (F.col("f") >= least)))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = scored(counts, least, share).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= first)
     sizes = counts.where("words = 0").select("lang", F.col("f").alias("n"))
-    return best.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "first_doc", "first_word")
+    return ranked(scored(counts, least, share), first).join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "first_doc")

@@ -72,18 +72,35 @@ def test_odd_rows(spark):
 def test_first_occurrence_and_empty_table(spark):
     df = spark.createDataFrame([(k, "p q. x. " * 5 + "p q r", "en", "x", 1) for k in (9, 4, 5)], FIELDS)
     row = [r for r in collocations.collocations(df).collect() if r["phrase"] == "p q"][0]
-    assert (row["first_doc"], row["first_word"], row["a"]) == (4, 0, 18)
+    assert (row["first_doc"], row["a"]) == (4, 18)
     assert collocations.collocations(spark.createDataFrame([], FIELDS)).count() == 0
 
 
 def test_shared_fingerprints_are_told_apart_by_text():
     data = np.frombuffer(b"aa bb aa cc bb aa ddd", np.uint8)
     words = collocations.words_of(data, np.array([0, len(data)]))
-    at, one = words.phrases(1), np.ones(7, np.int64)
-    counted = Counter()
-    for _, text, n in collocations.checked_phrases(words, at, one, np.zeros(7, np.uint64)):
-        counted[text] += n
-    assert counted == {b"aa": 3, b"bb": 2, b"cc": 1, b"ddd": 1}
+    none, one = np.zeros(7, np.int64), np.ones(7, np.int64)
+    t = collocations.Texts(np.zeros(7, np.uint64), one, none, none, one, words.start, words.end - words.start, words.body)
+    first = collocations.merged(t)
+    both = collocations.merged(collocations.joined([first, collocations.merged(collocations.joined([first, first]))]))
+    for got, times in ((first, 1), (both, 3)):
+        counted = Counter()
+        for f, s, n in zip(got.f, got.start, got.size, strict=True):
+            counted[got.body[s : s + n].tobytes()] += f
+        assert counted == {b"aa": 3 * times, b"bb": 2 * times, b"cc": times, b"ddd": times}
+
+
+def test_ranks_by_buckets(spark):
+    rng = np.random.default_rng(2)
+    rows = [(["en", "de"][k % 5 > 0], f"p{k:04d}", int(rng.integers(10, 14)), int(s)) for k, s in enumerate(rng.choice([0, 49, 50, 51, 1_000_000, 777], 3000))]
+    df = spark.createDataFrame(rows, "lang string, phrase string, a long, score long")
+    for first in (1, 37, 2000):
+        got = sorted(tuple(r[k] for k in ("lang", "rank", "phrase")) for r in collocations.ranked(df, first).collect())
+        want = []
+        for lang in ("en", "de"):
+            own = sorted((-s, -a, p) for g, p, a, s in rows if g == lang)
+            want += [(lang, k, p) for k, (_, _, p) in enumerate(own[:first], 1)]
+        assert got == sorted(want)
 
 
 def test_a_full_screen_changes_nothing(spark):
