@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from pairspan.operators.shared import active
+
 CELLS = 250_000  # numbers held at once by a quadratic step: a block fits the processor cache
 
 
@@ -28,36 +30,56 @@ def lists_to_numpy(col: pa.Array) -> list[np.ndarray]:
 def map_arrays(df: DataFrame, keys: list[str], arrays: list[str], fn: Callable, out: list[str], power: int = 2) -> DataFrame:
     """Append ``fn(*matrices) -> dict of vectors`` to the keys; NULL where an array holds a NULL.
 
-    ``power`` says how the memory of ``fn`` grows with the length, to choose the rows per call.
+    ``power`` says how the memory of ``fn`` grows with the length, to choose the rows per call. Over a table that several statistics share, their
+    functions run in one pass.
     """
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys] + [f"`{n}` double" for n in out])
+    own = active()
+    key = own.key_of(df) if own else None
+    if key is not None:
+        return own.mapped(key, df, (keys, arrays, fn, out, power))
+    return map_kernels(df, keys, [(arrays, fn, out, out, power)])
+
+
+def map_kernels(df: DataFrame, keys: list[str], kernels: list[tuple[list[str], Callable, list[str], list[str], int]]) -> DataFrame:
+    """Append the columns of several functions (arrays, function, its names, names of the columns, power) to the keys."""
+    names = [n for *_, columns, _ in kernels for n in columns]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys] + [f"`{n}` double" for n in names])
+    read = sorted({a for arrays, *_ in kernels for a in arrays})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            cols = [lists_to_numpy(rb.column(rb.schema.get_field_index(a))) for a in arrays]
-            size = np.array([len(c) for c in cols[0]])
-            res = np.full((rb.num_rows, len(out)), np.nan)
-            for n in np.unique(size):
-                if n < 2:
-                    continue
-                idx = np.flatnonzero(size == n)
-                step = max(1, int(CELLS // n**power))
-                for at in range(0, len(idx), step):
-                    part = idx[at : at + step]
-                    mats = [np.stack([c[i] for i in part]) for c in cols]
-                    good = ~np.any([np.isnan(m).any(axis=1) for m in mats], axis=0)
-                    if good.any():
-                        with np.errstate(all="ignore"):
-                            got = fn(*[m[good] for m in mats])
-                        for j, name in enumerate(out):
-                            res[part[good], j] = got[name]
-            res[~np.isfinite(res)] = np.nan
-            keep = [rb.column(rb.schema.get_field_index(k)) for k in keys]
-            yield pa.RecordBatch.from_arrays(keep + [pa.array(res[:, j], from_pandas=True) for j in range(len(out))], names=[*keys, *out])
-
-    return df.select(*keys, *arrays).mapInArrow(run, schema)
+            lists = {a: lists_to_numpy(rb.column(rb.schema.get_field_index(a))) for a in read}
+            columns = [rb.column(rb.schema.get_field_index(k)) for k in keys]
+            for arrays, fn, out, _, power in kernels:
+                res = apply_kernel([lists[a] for a in arrays], fn, out, power)
+                columns += [pa.array(res[:, j], from_pandas=True) for j in range(len(out))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *names])
+
+    return df.select(*keys, *read).mapInArrow(run, schema)
+
+
+def apply_kernel(cols: list[list[np.ndarray]], fn: Callable, out: list[str], power: int) -> np.ndarray:
+    """One row for each row of the columns; rows of equal length go through ``fn`` together."""
+    size = np.array([len(c) for c in cols[0]])
+    res = np.full((len(size), len(out)), np.nan)
+    for n in np.unique(size):
+        if n < 2:
+            continue
+        idx = np.flatnonzero(size == n)
+        step = max(1, int(CELLS // n**power))
+        for at in range(0, len(idx), step):
+            part = idx[at : at + step]
+            mats = [np.stack([c[i] for i in part]) for c in cols]
+            good = ~np.any([np.isnan(m).any(axis=1) for m in mats], axis=0)
+            if good.any():
+                with np.errstate(all="ignore"):
+                    got = fn(*[m[good] for m in mats])
+                for j, name in enumerate(out):
+                    res[part[good], j] = got[name]
+    res[~np.isfinite(res)] = np.nan
+    return res
 
 
 def row_blocks(batch: int, n: int) -> Iterator[slice]:

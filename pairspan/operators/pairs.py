@@ -13,9 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairspan.operators.shared import shared
+
 PAIR = ["sample_id", "node_from", "node_to"]
 
 
+@shared(written=True)
 def series_arrays(panel: DataFrame, value: str = "z", block: int | None = None) -> DataFrame:
     """One row per series (or per block of ``block`` steps): times and values in time order."""
     keys = ["sample_id", "node"]
@@ -32,6 +35,7 @@ def _node_keys(series: DataFrame, side: str, node_blocks: int) -> DataFrame:
     return series.withColumn(mine, own.cast("int")).withColumn(theirs, other)
 
 
+@shared(written=False)
 def pair_arrays(
     panel: DataFrame,
     directed: bool = False,
@@ -90,6 +94,7 @@ def pair_self_join(
     return arrays.select(*PAIR, F.inline(F.arrays_zip("ts", "x", "y"))).withColumnRenamed("ts", "t")
 
 
+@shared(written=True)
 def series_grid(panel: DataFrame, value: str = "z") -> DataFrame:
     """One row per series: its first step, and a cell for every step up to its last, NULL where the series has none.
 
@@ -100,6 +105,7 @@ def series_grid(panel: DataFrame, value: str = "z") -> DataFrame:
     return series_arrays(panel, value).select("sample_id", "node", "blk", F.expr("ts[0]").alias("first"), F.expr(cells).alias("cells"))
 
 
+@shared(written=False)
 def grid_arrays(panel: DataFrame, directed: bool = False, value: str = "z") -> DataFrame:
     """Pairs with arrays ``x, y`` over the steps between the first and last that both series span, one place per step.
 

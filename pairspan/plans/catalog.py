@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairspan.operators.sets import union_many
+from pairspan.operators.shared import sharing
 from pairspan.session import cut_lineage
 from pairspan.spi import basic, causal, distance, infotheory, misc, multichannel, spectral
 
@@ -66,12 +67,18 @@ FAMILIES: dict[str, tuple[Estimator, bool]] = {
 
 
 def spi_all(panel: DataFrame, families: list[str] | None = None) -> DataFrame:
-    """Fact table of the chosen families over all samples.
+    """Fact table of the chosen families (all, unless a list is given) over all samples.
 
-    The standardised panel is written once and every family reads that table.
+    The standardised panel is written once, and so is each table that several families read: packed series, pair moments, spectral coefficients. Numpy kernels over the same pair table
+    run in one pass over it (see ``operators.shared``).
     """
-    ready = cut_lineage(panel)
-    return union_many([FAMILIES[f][0](ready) for f in families or list(FAMILIES)])
+    ready, names = cut_lineage(panel), families or list(FAMILIES)
+    with sharing(ready) as tables:
+        for name in names:
+            FAMILIES[name][0](ready)
+        tables.run()
+        parts = [FAMILIES[name][0](ready) for name in names]
+    return union_many(parts)
 
 
 def config_rows(spark: SparkSession, config: list[tuple[str, str, dict[str, str]]]) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from pairspan.functions.numeric import pearson, ratio
 from pairspan.operators.pairs import PAIR, grid_arrays, melt_stats, pair_arrays, pair_self_join
+from pairspan.operators.shared import shared
 
 LINEAR = ("EmpiricalCovariance", "ShrunkCovariance", "OAS", "LedoitWolf")
 
 
+@shared(written=True)
 def pair_moments(panel: DataFrame, directed: bool = False, **kw) -> DataFrame:
     """Second moments of every pair: the shared input of all linear statistics."""
     x, y = F.col("x"), F.col("y")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pairspan.functions.batches import map_arrays
 from pairspan.functions.numeric import pearson, ratio
 from pairspan.operators.pairs import PAIR, aligned, grid_arrays, join_series, melt_stats, series_arrays
+from pairspan.operators.shared import shared
 
 TAPERS = 5
 MOST_TAPERS = 128
@@ -80,6 +81,7 @@ def wavelet_transform(values: pd.Series) -> pd.DataFrame:
     return _by_length(values, _morlet, COEF.names)
 
 
+@shared(written=True)
 def spectral_coefficients(panel: DataFrame, transform=taper_transform) -> DataFrame:
     """``sample_id, node, blk, steps, coef``: one small array of coefficients per series, and a hash of its steps."""
     c = series_arrays(panel).select("sample_id", "node", "blk", F.xxhash64("ts").alias("steps"), transform("vs").alias("c"))
@@ -98,6 +100,7 @@ def _sum(expr: str) -> Column:
     return F.expr(f"aggregate(p, 0D, (s, c) -> s + {expr})")
 
 
+@shared(written=False)
 def pair_spectra(panel: DataFrame, directed: bool, transform=taper_transform) -> DataFrame:
     """One row per pair and frequency; ``p`` holds the cross products, one per taper."""
     joined = join_series(spectral_coefficients(panel, transform), directed)

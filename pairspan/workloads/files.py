@@ -186,8 +186,8 @@ def _(spark, sf):
 
 @query("spi_all")
 def _(spark, sf):
-    chosen = ["cov", "cov_oas", "spearman", "kendall", "xcorr", "pdist", "dcorr", "igci", "mi", "te_kernel", "gc_gaussian", "spectral", "lmfit", "dtw"]
-    return catalog.spi_all(fx.event_z(spark, sf), chosen).withColumn("value", rounded("value"))
+    """Every family."""
+    return catalog.spi_all(fx.event_z(spark, sf)).withColumn("value", rounded("value"))
 
 
 @query(
