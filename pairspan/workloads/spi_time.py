@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairspan import fixtures as fx
 from pairspan.functions.numeric import rounded
-from pairspan.spi import basic, causal, distance, infotheory
+from pairspan.spi import basic, causal, distance, infotheory, sparse
 from pairspan.workloads.registry import query
 from pairspan.workloads.sqltext import EV, PD, PU, r6, with_
 
@@ -46,6 +46,21 @@ for _n, _c in (("OAS", "oas"), ("LedoitWolf", "lw")):
         with_(_SH, melt({f"cov_{_n}": _v, f"cov-sq_{_n}": f"({_v}) * ({_v})"}, "(SELECT * FROM mom JOIN rho USING (sample_id))")),
     )
 add("spi_prec", basic.spi_prec)
+add("spi_graphical_lasso", sparse.spi_graphical_lasso)
+
+
+@query(
+    "fold_moments",
+    with_(
+        EV,
+        f"""SELECT a.sample_id, a.node AS node_from, b.node AS node_to, CAST(floor(a.t * 5 / 30.0) AS INTEGER) AS fold, count(*) AS n, {r6('sum(a.z)', 'sx')}, {r6('sum(b.z)', 'sy')}, {r6('sum(a.z * b.z)', 'sxy')}
+FROM z a JOIN z b ON a.sample_id = b.sample_id AND a.t = b.t AND a.node <= b.node WHERE a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY 1, 2, 3, 4""",
+    ),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Moments that cross-validated covariances are fitted from."""
+    return sparse.fold_moments(fx.event_z(spark, sf)).withColumns({k: rounded(k) for k in ("sx", "sy", "sxy")})
+
 
 _RANK = """rk AS (SELECT sample_id, node, t, rank() OVER (PARTITION BY sample_id, node ORDER BY signal)
   + (count(*) OVER (PARTITION BY sample_id, node, signal) - 1) / 2.0 AS r FROM ev),
