@@ -281,15 +281,17 @@ def scored(counts: DataFrame, least: int = LEAST, share: int = SHARE) -> DataFra
 def ranked(phrases: DataFrame, first: int = FIRST) -> DataFrame:
     """The first rows of each language by score, count and phrase, with their ``rank``.
 
-    Scores are counted by bucket first, so that only the rows of buckets that reach into the report are sorted, each bucket on its own.
+    Rows are counted by bucket of score (and count, among low scores) first, so that only those of buckets that reach into the report are sorted, each bucket on its own.
     """
-    phrases = cut_lineage(phrases.withColumn("bucket", F.floor(F.col("score") / 50)))
-    counts = phrases.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n_bucket"))
-    above = F.sum("n_bucket").over(Window.partitionBy("lang").orderBy(F.desc("bucket"))) - F.col("n_bucket")  # at most 20,001 buckets
-    reach = counts.select("lang", "bucket", above.alias("above")).where(F.col("above") < first)
-    order = Window.partitionBy("lang", "bucket").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    near = phrases.join(reach, ["lang", "bucket"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= first)
-    return near.withColumn("rank", F.col("above") + F.col("k")).where(F.col("rank") <= first).drop("bucket", "above", "k")
+    low = F.col("score") < 1000  # most phrases: told apart by score and count
+    places = {"bucket": F.when(low, F.col("score")).otherwise(1000 + F.floor(F.col("score") / 50)), "count": F.when(low, F.least("a", F.lit(1000))).otherwise(0)}
+    phrases, keys = cut_lineage(phrases.withColumns(places)), ["lang", "bucket", "count"]
+    counts = phrases.groupBy(*keys).agg(F.count(F.lit(1)).alias("held"))
+    above = F.sum("held").over(Window.partitionBy("lang").orderBy(F.desc("bucket"), F.desc("count"))) - F.col("held")
+    reach = counts.select(*keys, above.alias("above")).where(F.col("above") < first)
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")
+    near = phrases.join(reach, keys).withColumn("k", F.row_number().over(order)).where(F.col("k") <= first)
+    return near.withColumn("rank", F.col("above") + F.col("k")).where(F.col("rank") <= first).drop("bucket", "count", "above", "k")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, most_words: int = WORDS, share: int = SHARE, first: int = FIRST) -> DataFrame:
