@@ -17,6 +17,9 @@ EVENT_DAYS = 30
 # The channels (return flag, line status) and months of the shipment panel.
 SHIP_NODES = ("A_F", "A_O", "N_F", "N_O", "R_F", "R_O")
 
+# The channels (order priorities) of the order panel.
+ORDER_NODES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -95,6 +98,27 @@ def ship_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zscore_series(ship_panel(spark, sf_dir))
 
 
+def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly order value per customer nation and order priority."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+    customer, nation = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "nation")
+    seen = (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(
+            F.col("n_name").alias("sample_id"),
+            F.col("o_orderpriority").alias("node"),
+            ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).alias("t"),
+            F.col("o_totalprice").alias("q"),
+        )
+    )
+    return fill_panel(seen, ["sample_id"], ORDER_NODES, 0, 79)
+
+
+def order_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zscore_series(order_panel(spark, sf_dir))
+
+
 def sample_metadata(panel: DataFrame) -> DataFrame:
     return panel.select("sample_id", "grp", "subject").distinct()
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairspan.operators.sets import union_many
 from pairspan.operators.shared import sharing
 from pairspan.session import cut_lineage
-from pairspan.spi import basic, causal, distance, infotheory, misc, multichannel, sparse, spectral
+from pairspan.spi import basic, causal, distance, infotheory, misc, multichannel, robust, sparse, spectral
 
 Estimator = Callable[[DataFrame], DataFrame]
 
@@ -23,6 +23,7 @@ FAMILIES: dict[str, tuple[Estimator, bool]] = {
     "cov_ledoitwolf": (basic.spi_cov_ledoitwolf, False),
     "prec": (basic.spi_prec, False),
     "graphical_lasso": (sparse.spi_graphical_lasso, False),
+    "robust": (robust.spi_robust, False),
     "spearman": (basic.spi_spearman, False),
     "kendall": (basic.spi_kendall, False),
     "xcorr": (basic.spi_xcorr, False),

@@ -11,16 +11,39 @@ from pairspan.operators.pairs import PAIR, grid_arrays, melt_stats
 from pairspan.spi.basic import pair_moments
 
 
+DECAY = 1e-4  # penalty of the fit by stochastic gradients
+EVIDENCE_ROUNDS = 300
+
+
+def evidence_slope(n: Column, sxx: Column, syy: Column, sxy: Column, rounds: int = EVIDENCE_ROUNDS) -> Column:
+    """Slope of a Bayesian ridge of one regressor: the precisions of noise and slope are re-estimated from each other until they rest.
+
+    A fixed-point iteration on the moments, in one column expression; both precisions have flat gamma priors (1e-6).
+    """
+    start = F.struct((n / (syy + 1e-12)).alias("noise"), F.lit(1.0).alias("weight"))
+
+    def step(s: Column, _: Column) -> Column:
+        slope = sxy / (sxx + s["weight"] / s["noise"])
+        left = F.greatest(syy - 2 * slope * sxy + slope * slope * sxx, F.lit(0.0))
+        used = s["noise"] * sxx / (s["weight"] + s["noise"] * sxx)
+        return F.struct(((n - used + 2e-6) / (left + 2e-6)).alias("noise"), ((used + 2e-6) / (slope * slope + 2e-6)).alias("weight"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: sxy / (sxx + s["weight"] / s["noise"]))
+
+
 def spi_lmfit(panel: DataFrame) -> DataFrame:
-    """Mean squared error of y predicted from x by one-regressor penalised fits, from moments."""
+    """Mean squared error of y predicted from x by one-regressor penalised fits, from moments. The fit by stochastic gradients is taken where it converges to."""
     m = pair_moments(panel, directed=True).where("n > 0")
-    n, sxx, syy, sxy = (F.col(c) for c in ("n", "sxx", "syy", "sxy"))
+    n, sxx, syy, sxy = (F.col(c).cast("double") for c in ("n", "sxx", "syy", "sxy"))
 
     def soft(by: float) -> Column:
         c = sxy / n
         return F.signum(c) * F.greatest(F.abs(c) - by, F.lit(0.0))
 
-    betas = {"Ridge": sxy / (sxx + 1), "Lasso": soft(1.0) / (sxx / n), "ElasticNet": soft(0.5) / (sxx / n + 0.5)}
+    betas = {
+        "Ridge": sxy / (sxx + 1), "Lasso": soft(1.0) / (sxx / n), "ElasticNet": soft(0.5) / (sxx / n + 0.5),
+        "SGDRegressor": sxy / (sxx + n * DECAY), "BayesianRidge": evidence_slope(n, sxx, syy, sxy),
+    }
     return melt_stats(m, {f"lmfit_{k}": (syy - 2 * b * sxy + b * b * sxx) / n for k, b in betas.items()})
 
 

@@ -110,13 +110,22 @@ for _n in multichannel.MEASURES:
     add(f"spi_{_n}", getattr(multichannel, f"spi_{_n}"))
 
 _SOFT = "sign(sxy / n) * greatest(abs(sxy / n) - {b}, 0)"
-_BETA = {"Ridge": "sxy / (sxx + 1)", "Lasso": f"({_SOFT.format(b=1.0)}) / (sxx / n)", "ElasticNet": f"({_SOFT.format(b=0.5)}) / (sxx / n + 0.5)"}
+_BETA = {
+    "Ridge": "sxy / (sxx + 1)", "Lasso": f"({_SOFT.format(b=1.0)}) / (sxx / n)", "ElasticNet": f"({_SOFT.format(b=0.5)}) / (sxx / n + 0.5)",
+    "SGDRegressor": "sxy / (sxx + n * 1e-4::DOUBLE)", "BayesianRidge": "sxy / (sxx + weight / noise)",
+}
+_LEFT = "greatest(syy - 2 * (sxy / (sxx + weight / noise)) * sxy + pow(sxy / (sxx + weight / noise), 2) * sxx, 0)"
 add(
     "spi_lmfit",
     misc.spi_lmfit,
     with_(
-        PD,
-        ", mom AS (SELECT sample_id, node_from, node_to, count(*) AS n, sum(x*x) AS sxx, sum(y*y) AS syy, sum(x*y) AS sxy FROM pd WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3) "
+        "RECURSIVE " + PD.strip(),
+        f""", m0 AS (SELECT sample_id, node_from, node_to, count(*) AS n, sum(x*x) AS sxx, sum(y*y) AS syy, sum(x*y) AS sxy FROM pd WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3),
+it AS (SELECT *, 0 AS round, n / (syy + 1e-12::DOUBLE) AS noise, 1.0::DOUBLE AS weight FROM m0
+  UNION ALL SELECT sample_id, node_from, node_to, n, sxx, syy, sxy, round + 1,
+    (n - noise * sxx / (weight + noise * sxx) + 2e-6::DOUBLE) / ({_LEFT} + 2e-6::DOUBLE), (noise * sxx / (weight + noise * sxx) + 2e-6::DOUBLE) / (pow(sxy / (sxx + weight / noise), 2) + 2e-6::DOUBLE)
+    FROM it WHERE round < 300),
+mom AS (SELECT * FROM it WHERE round = 300) """
         + melt({f"lmfit_{k}": f"(syy - 2 * ({b}) * sxy + ({b}) * ({b}) * sxx) / n" for k, b in _BETA.items()}, "mom"),
     ),
 )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairspan import fixtures as fx
 from pairspan.functions.numeric import rounded
-from pairspan.spi import basic, causal, distance, infotheory, sparse
+from pairspan.spi import basic, causal, distance, infotheory, robust, sparse
 from pairspan.workloads.registry import query
 from pairspan.workloads.sqltext import EV, PD, PU, r6, with_
 
@@ -47,6 +47,7 @@ for _n, _c in (("OAS", "oas"), ("LedoitWolf", "lw")):
     )
 add("spi_prec", basic.spi_prec)
 add("spi_graphical_lasso", sparse.spi_graphical_lasso)
+add("spi_robust", robust.spi_robust, panel=fx.order_z)
 
 
 @query(
