@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairspan.operators.sets import union_many
 from pairspan.operators.shared import sharing
 from pairspan.session import cut_lineage
-from pairspan.spi import basic, causal, distance, infotheory, misc, multichannel, robust, sparse, spectral
+from pairspan.spi import basic, causal, distance, infotheory, integration, misc, multichannel, robust, sparse, spectral
 
 Estimator = Callable[[DataFrame], DataFrame]
 
@@ -52,6 +52,7 @@ FAMILIES: dict[str, tuple[Estimator, bool]] = {
     "te_symbolic": (infotheory.spi_te_symbolic, True),
     "gc_gaussian": (infotheory.spi_gc_gaussian, True),
     "gc_gaussian_auto": (infotheory.spi_gc_gaussian_auto, True),
+    "phi": (integration.spi_phi, False),
     "psi": (spectral.spi_psi, True),
     "psi_wavelet": (spectral.spi_psi_wavelet, True),
     "gd": (spectral.spi_gd, True),

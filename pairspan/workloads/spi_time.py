@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairspan import fixtures as fx
 from pairspan.functions.numeric import rounded
-from pairspan.spi import basic, causal, distance, infotheory, robust, sparse
+from pairspan.spi import basic, causal, distance, infotheory, integration, robust, sparse
 from pairspan.workloads.registry import query
 from pairspan.workloads.sqltext import EV, PD, PU, r6, with_
 
@@ -335,3 +335,23 @@ add(
     ),
 )
 add("spi_gc_gaussian_auto", infotheory.spi_gc_gaussian_auto, panel=fx.ship_z)
+
+# ---- integrated information ------------------------------------------------------------------
+
+add("spi_phi", integration.spi_phi)
+_STEP = ", ".join([f"{r6(f'sum({c})', c)}" for c in integration.SIDES] + [f"{r6(f'sum({a} * {b})', f'{a}_{b}')}" for a, b in integration.PRODUCTS])
+
+
+@query(
+    "step_moments",
+    with_(
+        EV,
+        f"""SELECT {KEYS}, count(*) AS n, {_STEP} FROM (SELECT a.sample_id, a.node AS node_from, b.node AS node_to, a.z AS x0, b.z AS y0, a1.z AS x1, b1.z AS y1
+FROM z a JOIN z b ON a.sample_id = b.sample_id AND a.t = b.t AND a.node < b.node JOIN z a1 ON a1.sample_id = a.sample_id AND a1.node = a.node AND a1.t = a.t + 1
+JOIN z b1 ON b1.sample_id = b.sample_id AND b1.node = b.node AND b1.t = b.t + 1) WHERE x0 + y0 + x1 + y1 IS NOT NULL GROUP BY 1, 2, 3""",
+    ),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Moments of two channels at a step and the next."""
+    m = integration.step_moments(fx.event_z(spark, sf))
+    return m.select(*KEYS.split(", "), "n", *[rounded(c).alias(c) for c in m.columns if c not in (*KEYS.split(", "), "n")])
