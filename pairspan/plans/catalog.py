@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairspan.operators.sets import union_many
 from pairspan.operators.shared import sharing
 from pairspan.session import cut_lineage
-from pairspan.spi import basic, causal, distance, infotheory, integration, misc, multichannel, robust, sparse, spectral
+from pairspan.spi import basic, causal, distance, infotheory, integration, local, misc, multichannel, robust, sparse, spectral
 
 Estimator = Callable[[DataFrame], DataFrame]
 
@@ -32,6 +32,9 @@ FAMILIES: dict[str, tuple[Estimator, bool]] = {
     "dcorr": (distance.spi_dcorr, False),
     "dcorrx": (distance.spi_dcorrx, False),
     "hsic": (distance.spi_hsic, False),
+    "mgc": (local.spi_mgc, False),
+    "mgcx": (local.spi_mgcx, False),
+    "hhg": (local.spi_hhg, False),
     "dtw": (distance.spi_dtw, False),
     "softdtw": (distance.spi_softdtw, False),
     "lcss": (distance.spi_lcss, False),

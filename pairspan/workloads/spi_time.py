@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairspan import fixtures as fx
 from pairspan.functions.numeric import rounded
-from pairspan.spi import basic, causal, distance, infotheory, integration, robust, sparse
+from pairspan.spi import basic, causal, distance, infotheory, integration, local, robust, sparse
 from pairspan.workloads.registry import query
 from pairspan.workloads.sqltext import EV, PD, PU, r6, with_
 
@@ -336,6 +336,11 @@ add(
 )
 add("spi_gc_gaussian_auto", infotheory.spi_gc_gaussian_auto, panel=fx.ship_z)
 
+# ---- neighbourhoods --------------------------------------------------------------------------
+
+for _n in ("mgc", "mgcx", "hhg"):
+    add(f"spi_{_n}", getattr(local, f"spi_{_n}"))
+
 # ---- integrated information ------------------------------------------------------------------
 
 add("spi_phi", integration.spi_phi)
