@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairspan.operators.sets import union_many
 from pairspan.operators.shared import sharing
 from pairspan.session import cut_lineage
-from pairspan.spi import basic, causal, distance, infotheory, integration, local, misc, multichannel, robust, sparse, spectral
+from pairspan.spi import barycentre, basic, causal, distance, infotheory, integration, local, misc, multichannel, robust, sparse, spectral
 
 Estimator = Callable[[DataFrame], DataFrame]
 
@@ -29,6 +29,7 @@ FAMILIES: dict[str, tuple[Estimator, bool]] = {
     "xcorr": (basic.spi_xcorr, False),
     "pdist": (distance.spi_pdist, False),
     "bary_euclidean": (distance.spi_bary_euclidean, False),
+    "bary_elastic": (barycentre.spi_bary_elastic, False),
     "dcorr": (distance.spi_dcorr, False),
     "dcorrx": (distance.spi_dcorrx, False),
     "hsic": (distance.spi_hsic, False),
