@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairspan.operators.sets import union_many
 from pairspan.operators.shared import sharing
 from pairspan.session import cut_lineage
-from pairspan.spi import barycentre, basic, causal, distance, infotheory, integration, local, misc, multichannel, robust, sparse, spectral
+from pairspan.spi import barycentre, basic, causal, distance, infotheory, integration, local, misc, multichannel, process, robust, sparse, spectral
 
 Estimator = Callable[[DataFrame], DataFrame]
 
@@ -39,6 +39,8 @@ FAMILIES: dict[str, tuple[Estimator, bool]] = {
     "dtw": (distance.spi_dtw, False),
     "softdtw": (distance.spi_softdtw, False),
     "lcss": (distance.spi_lcss, False),
+    "anm": (process.spi_anm, True),
+    "gpfit": (process.spi_gpfit, True),
     "cds": (causal.spi_cds, True),
     "reci": (causal.spi_reci, True),
     "igci": (causal.spi_igci, True),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairspan import fixtures as fx
 from pairspan.functions.numeric import rounded
-from pairspan.spi import barycentre, basic, causal, distance, infotheory, integration, local, robust, sparse
+from pairspan.spi import barycentre, basic, causal, distance, infotheory, integration, local, process, robust, sparse
 from pairspan.workloads.registry import query
 from pairspan.workloads.sqltext import EV, PD, PU, r6, with_
 
@@ -338,6 +338,11 @@ add("spi_gc_gaussian_auto", infotheory.spi_gc_gaussian_auto, panel=fx.ship_z)
 
 add("spi_bary_elastic", barycentre.spi_bary_elastic)
 
+# ---- Gaussian processes ----------------------------------------------------------------------
+
+add("spi_gpfit", process.spi_gpfit)
+add("spi_anm", process.spi_anm)
+
 # ---- neighbourhoods --------------------------------------------------------------------------
 
 for _n in ("mgc", "mgcx", "hhg"):
