@@ -43,7 +43,7 @@ def map_arrays(df: DataFrame, keys: list[str], arrays: list[str], fn: Callable,
 def map_kernels(df: DataFrame, keys: list[str], kernels: list[tuple[list[str], Callable, list[str], list[str], int]]) -> DataFrame:
     """Append the columns of several functions (arrays, function, its names, names of the columns, power) to the keys."""
     names = [n for *_, columns, _ in kernels for n in columns]
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys] + [f"`{n}` double" for n in names])
+    schema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`{n}` double" for n in names])
     read = sorted({a for arrays, *_ in kernels for a in arrays})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

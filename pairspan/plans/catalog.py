@@ -54,6 +54,7 @@ FAMILIES: dict[str, tuple[Estimator, bool]] = {
     "mi": (infotheory.spi_mi, False),
     "tlmi": (infotheory.spi_tlmi, False),
     "te_kraskov": (infotheory.spi_te_kraskov, True),
+    "te_kraskov_auto": (infotheory.spi_te_kraskov_auto, True),
     "te_kernel": (infotheory.spi_te_kernel, True),
     "te_symbolic": (infotheory.spi_te_symbolic, True),
     "gc_gaussian": (infotheory.spi_gc_gaussian, True),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pairspan.functions import neighbours as nb
 from pairspan.functions.batches import map_arrays
 from pairspan.functions.numeric import log_positive, pearson, ratio
-from pairspan.operators.pairs import PAIR, grid_arrays, melt_stats, pair_arrays
+from pairspan.operators.pairs import PAIR, grid_arrays, melt_stats, pair_arrays, series_grid
 from pairspan.spi.basic import pair_moments
 
 Var = tuple[str, int]  # series and lag
@@ -219,6 +219,69 @@ def transfer_neighbours(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+K_MAX, TAU_MAX = 10, 4  # histories that are tried
+LEAST_POINTS = 12  # points that a history must leave
+
+
+def best_history(x: np.ndarray) -> dict[str, np.ndarray]:
+    """The history (k steps, tau apart) that stores most information about a series' next step, by neighbours, with and without the excluded window; the shorter of equal ones.
+
+    Stored information is corrected for its number of terms, so longer histories must earn it.
+    """
+    b, n = x.shape
+    window = nb.decorrelation_time(x)
+    best = {w: np.full(b, -np.inf) for w in ("", "_dce")}
+    out = {f"{name}{w}": np.ones(b) for w in best for name in ("k", "tau")}
+    for k in range(1, K_MAX + 1):
+        for tau in range(1, TAU_MAX + 1):
+            start = (k - 1) * tau + 1
+            if (k == 1 and tau > 1) or n - start < LEAST_POINTS:
+                continue
+            v = nb.embed(x, x, [("x", 0), *[("x", 1 + j * tau) for j in range(k)]], start)
+            for w, bar in (("", 0), ("_dce", window)):
+                stored = np.nan_to_num(_info_gain(v, [[0], list(range(1, k + 1))], 4, bar) - k / (2 * (n - start)), nan=-np.inf)
+                better = stored > best[w] + 1e-12
+                best[w] = np.where(better, stored, best[w])
+                out[f"k{w}"], out[f"tau{w}"] = np.where(better, k, out[f"k{w}"]), np.where(better, tau, out[f"tau{w}"])
+    return out
+
+
+def transfer_histories(x: np.ndarray, y: np.ndarray, e: np.ndarray) -> dict[str, np.ndarray]:
+    """I(y now; history of x | history of y); ``e`` holds k and tau of x, then of y, without and with the excluded window."""
+    n = x.shape[1]
+    window = np.maximum(nb.decorrelation_time(x), nb.decorrelation_time(y))
+    out = {"plain": np.full(len(x), np.nan), "dce": np.full(len(x), np.nan)}
+    for name, at, bar in (("plain", 0, np.zeros(len(x), int)), ("dce", 4, window)):
+        for kx, tx, ky, ty in np.unique(e[:, at : at + 4].astype(int), axis=0).tolist():
+            rows = np.flatnonzero((e[:, at : at + 4] == (kx, tx, ky, ty)).all(axis=1))
+            start = max((kx - 1) * tx, (ky - 1) * ty) + 1
+            if n - start < 6:
+                continue
+            source, own = [("x", 1 + j * tx) for j in range(kx)], [("y", 1 + j * ty) for j in range(ky)]
+            v = nb.embed(x[rows], y[rows], [("y", 0), *source, *own], start)
+            of_x, of_y = list(range(1, kx + 1)), list(range(kx + 1, kx + ky + 1))
+            eps = nb.kth_distance(v, 4, bar[rows])
+            ok = np.isfinite(eps).all(axis=1)
+            eps = np.where(np.isfinite(eps), eps, 0.0)
+            joint, other, past = (nb.digamma(nb.count_below(v[:, :, c], eps, bar[rows]) + 1) for c in ([0, *of_y], [*of_x, *of_y], of_y))
+            out[name][rows] = np.where(ok, nb.digamma(np.array([4]))[0] - (joint + other - past).mean(axis=1), np.nan)
+    return out
+
+
+def spi_te_kraskov_auto(panel: DataFrame) -> DataFrame:
+    """Transfer entropy by neighbours with the histories that each series' own stored information chooses, once for a series."""
+    names = ["k", "tau", "k_dce", "tau_dce"]
+    series = series_grid(panel).select("sample_id", "node", F.expr("transform(cells, c -> c.v)").alias("x"))
+    chosen = map_arrays(series, ["sample_id", "node"], ["x"], best_history, names, power=2)
+    pairs = grid_arrays(panel, True)
+    for side in ("from", "to"):
+        own = chosen.select("sample_id", F.col("node").alias(f"node_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in names])
+        pairs = pairs.join(own, ["sample_id", f"node_{side}"], "left")
+    e = F.array(*[F.col(f"{c}{w}_{side}") for w in ("", "_dce") for side in ("from", "to") for c in ("k", "tau")])
+    m = map_arrays(pairs.withColumn("e", e), PAIR, ["x", "y", "e"], transfer_histories, ["plain", "dce"])
+    return melt_stats(m, {f"te_kraskov_NN-4_k-max-{K_MAX}_tau-max-{TAU_MAX}": F.col("plain"), f"te_kraskov_NN-4_DCE_k-max-{K_MAX}_tau-max-{TAU_MAX}": F.col("dce")})
+
+
 def spi_te_kraskov(panel: DataFrame) -> DataFrame:
     m = map_arrays(grid_arrays(panel, True), PAIR, ["x", "y"], transfer_neighbours, ["k2_dce", "k1_dce", "k1"])
     return melt_stats(

@@ -338,6 +338,8 @@ add("spi_gc_gaussian_auto", infotheory.spi_gc_gaussian_auto, panel=fx.ship_z)
 
 add("spi_bary_elastic", barycentre.spi_bary_elastic)
 
+add("spi_te_kraskov_auto", infotheory.spi_te_kraskov_auto)
+
 # ---- Gaussian processes ----------------------------------------------------------------------
 
 add("spi_gpfit", process.spi_gpfit)
