@@ -2,11 +2,11 @@
 
 A page becomes the sequence of its blocks (leaf texts) with their tag paths. A block is a vector: the pooled vectors of its path parts (tag, class and
 id words), those of its hashed words, and a few numbers. The network, in numpy, reads the sequence both ways and gives each block a
-probability of being main text. It is fitted to a bounded number of the given pages, labelled by their own semantic tags, and to the same texts set
-again in other layouts, where containers carry only class names.
+probability of being main text. It is fitted to a bounded number of the given pages, labelled by their own tags and class words (pages with an article or main element first),
+and to the same texts set again in other layouts, where containers carry only class names.
 
 Defined results: null html is empty; a page without main blocks has an empty text; scripts, styles, comments in the markup and the head are never blocks; repeated rows get the same
-text; when no page can be learned from, every block is main. An empty table gives no rows.
+text; blocks that score one half are main; when no page can be learned from, every block is main but those apart by tag or class word. Very long pages and paths are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ LAYOUTS = 6  # other layouts that each of them is set in
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 SLOTS, WIDTH, HIDDEN = 4096, 16, 24
 N_NUMBERS = 6
-DEPTH = 8  # innermost elements of a path that are read
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -144,14 +143,32 @@ OTHER_WORDS = {
 SEMANTIC = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}
 
 
-def semantic_labels(found: list[Block]) -> list[int] | None:
-    """1 for blocks inside an article or main element and no boilerplate element below it; None if the page has no such element."""
-    labels = []
-    for b in found:
-        tags = [p for p in b.path if p[0] not in ".#"]
-        last = max((k for k, t in enumerate(tags) if t in MAIN), default=-1)
-        labels.append(int(last >= 0 and not any(t in BOILERPLATE for t in tags[last:])))
-    return labels if any(labels) else None
+#: Class and id words whose blocks are no main text, also inside an article.
+APART = frozenset(
+    "comments comment replies reply respond discussion ad ads advert advertisement sponsored sidebar widget related recommended cookie consent gdpr newsletter subscribe share social breadcrumb breadcrumbs".split()
+)
+MAIN_NAMES = frozenset("content article post entry story".split())
+HOLDS_MAIN = r"(?i)<(article|main)\b"
+NAMES_MAIN = r"(?i)(class|id)\s*=\s*.?[^>]*\b(content|article|post|entry|story)\b"
+
+
+def _apart(parts: tuple[str, ...]) -> bool:
+    return any(p in BOILERPLATE or (p[0] in ".#" and p[1:] in APART) for p in parts)
+
+
+def page_labels(found: list[Block]) -> list[int] | None:
+    """1 for blocks inside an article or main element, or, if the page has none, one with a class word for main text, and in nothing below it that is apart by its tag or class words.
+
+    None if the page has no such element.
+    """
+    for is_main in (lambda p: p in MAIN, lambda p: p[0] in ".#" and p[1:] in MAIN_NAMES):
+        labels = []
+        for b in found:
+            last = max((k for k, p in enumerate(b.path) if is_main(p)), default=-1)
+            labels.append(int(last >= 0 and not _apart(b.path[last:])))
+        if any(labels):
+            return labels
+    return None
 
 
 def other_layout(found: list[Block], labels: list[int], strange: list[str], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
@@ -214,7 +231,8 @@ class Encoded(NamedTuple):
     numbers: np.ndarray
 
 
-def encode(pages: list[list[Block]], cache: dict[str, int] | None = None) -> Encoded:
+def encode(pages: list[list[Block]], cache: dict[str, int] | None = None, known: set[str] | None = None) -> Encoded:
+    """Every different part of a path counts once, however deep it is nested; parts that the network hasn't met (none of ``known``) say nothing."""
     cache = {} if cache is None else cache
     paths: list[int] = []
     words: list[int] = []
@@ -224,18 +242,20 @@ def encode(pages: list[list[Block]], cache: dict[str, int] | None = None) -> Enc
     for found in pages:
         for k, b in enumerate(found):
             named = [p for p in b.path if p[0] in ".#"]
-            tags = [p for p in b.path if p[0] not in ".#"][-DEPTH:]
-            parts = [*tags, *named[-2 * DEPTH :]]
+            tags = [p for p in b.path if p[0] not in ".#"]
+            parts = [*tags, *named]
             if tags:
                 parts.append("last:" + tags[-1])
             own = []
-            for p in parts or ["none"]:
+            for p in dict.fromkeys(parts):
                 if p[0] in ".#":
                     p = p[1:] + "!"  # class and id words count alike
                 s = cache.get(p)
                 if s is None:
-                    s = cache[p] = _slot(p)
-                own.append(s)
+                    s = cache[p] = _slot(p) if known is None or p in known else -1
+                if s >= 0:
+                    own.append(s)
+            own = own or [_slot("none")]
             paths += own
             n_paths.append(len(own))
             w = [zlib.crc32(x) % SLOTS for x in b.text.encode().split()]
@@ -265,6 +285,8 @@ class Network:
             self.p |= {f"x{d}": rng.normal(0, size**-0.5, (size, gates)), f"h{d}": rng.normal(0, HIDDEN**-0.5, (HIDDEN, gates)), f"c{d}": np.zeros(gates)}
             self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1  # remember at first
 
+        self.known: set[str] = set()  # path parts of the pages that it was fitted to
+
     def vectors(self, e: Encoded) -> np.ndarray:
         return np.concatenate([_pooled(self.p["path"], e.paths, e.n_paths), _pooled(self.p["word"], e.words, e.n_words), e.numbers], axis=1)
 
@@ -327,7 +349,9 @@ class Network:
             order = rng.permutation(len(pages))
             for lo in range(0, len(order), BATCH):
                 own = [pages[i] for i in order[lo : lo + BATCH]]
-                e, lengths = encode([b for b, _ in own]), np.array([len(b) for b, _ in own])
+                met: dict[str, int] = {}
+                e, lengths = encode([b for b, _ in own], met), np.array([len(b) for b, _ in own])
+                self.known |= met.keys()
                 y = np.concatenate([np.array(t, float) for _, t in own])
                 vectors = self.vectors(e)
                 heard = 2.0 * (rng.random((len(vectors), 1)) < 0.5)  # words are left out at random, so that they don't stand in for the path
@@ -357,10 +381,12 @@ class Network:
 def fit(pages: DataFrame, n_pages: int = FIT_PAGES, layouts: int = LAYOUTS) -> Network | None:
     """Fit to at most ``n_pages`` of ``pages`` (page_id, html), by order of an md5 of their id."""
     order = F.md5(F.coalesce(pages["page_id"].cast("string"), F.lit("")))
-    few = pages.where(pages["html"].rlike(r"(?i)<(article|main)\b")).select(order.alias("o"), pages["page_id"].alias("p")).orderBy("o", "p").limit(n_pages)
+    tagged = pages["html"].rlike(HOLDS_MAIN)
+    usable = pages.where(tagged | pages["html"].rlike(NAMES_MAIN))
+    few = usable.select(F.concat(F.when(tagged, "a").otherwise("b"), order).alias("o"), pages["page_id"].alias("p")).orderBy("o", "p").limit(n_pages)
     some = pages.join(few, pages["page_id"].eqNullSafe(few["p"])).select(few["o"], pages["html"].alias("html")).distinct()
     sample = [blocks(r["html"]) for r in sorted(some.collect(), key=lambda r: (r["o"], r["html"] or ""))]
-    known = [(b, y) for b in sample if b and (y := semantic_labels(b)) is not None]
+    known = [(b, y) for b in sample if b and (y := page_labels(b)) is not None]
     if not known:
         return None
     rng = np.random.default_rng(7)
@@ -381,9 +407,9 @@ def main_texts(pages: list[str | None], network: Network | None, cache: dict[str
             hi += 1
         own = order[lo:hi]
         if network is None:
-            p = np.ones(sum(len(found[i]) for i in own))
+            p = np.array([0.0 if _apart(b.path) else 1.0 for i in own for b in found[i]])
         else:
-            p = network.predict(encode([found[i] for i in own], cache), np.array([len(found[i]) for i in own]))
+            p = network.predict(encode([found[i] for i in own], cache, network.known), np.array([len(found[i]) for i in own]))
         at = 0
         for i in own:
             out[i] = " ".join(b.text for b, q in zip(found[i], p[at : at + len(found[i])], strict=True) if q >= 0.5)
