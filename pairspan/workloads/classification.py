@@ -81,53 +81,55 @@ ft AS (SELECT s.spi, sample_id, concat_ws('_', node_from, node_to) AS feature, c
   WHERE s.spi IN (SELECT spi FROM good) AND node_from <> node_to AND (directionality = 'Directed' OR node_from < node_to))"""
 
 
-def _scaled(n_splits: int) -> str:
-    return f"""{_HALF}, {_split(n_splits, 'qh')}, {_FEATS}, {_perm(3, '')},
-tasks AS (SELECT resample, 0 AS perm, sample_id, part, grp AS label FROM sp WHERE part <> 'unused' UNION ALL SELECT resample, pm.perm, sp.sample_id, part, label FROM sp JOIN pm ON pm.sample_id = sp.sample_id WHERE part <> 'unused'),
+def _scaled(n_splits: int, n_perm: int) -> str:
+    dealt = "UNION ALL SELECT resample, pm.perm, sp.sample_id, part, label FROM sp JOIN pm ON pm.sample_id = sp.sample_id WHERE part <> 'unused'" if n_perm else ""
+    return f"""{_HALF}, {_split(n_splits, 'qh')}, {_FEATS}, {_perm(n_perm, '')},
+tasks AS (SELECT resample, 0 AS perm, sample_id, part, grp AS label FROM sp WHERE part <> 'unused' {dealt}),
 rw AS (SELECT f.spi, t.resample, t.perm, t.sample_id, t.label, t.part, feature, value,
   avg(value) FILTER (part = 'train') OVER w AS mu, stddev_pop(value) FILTER (part = 'train') OVER w AS sd FROM ft f JOIN tasks t ON f.sample_id = t.sample_id
   WINDOW w AS (PARTITION BY f.spi, t.resample, t.perm, feature)),
 sc AS (SELECT spi, resample, perm, sample_id, label, part, feature, (value - mu) / CASE WHEN sd > 1e-12 THEN sd ELSE 1 END AS scaled FROM rw)"""
 
 
-@query("zscore_features", with_(SPI, f", {_scaled(5)} SELECT spi, CAST(resample AS INTEGER) AS resample, sample_id, feature, {r6('scaled', 'scaled')} FROM sc WHERE perm = 0"))
+@query("zscore_features", with_(SPI, f", {_scaled(30, 0)} SELECT spi, CAST(resample AS INTEGER) AS resample, sample_id, feature, {r6('scaled', 'scaled')} FROM sc WHERE perm = 0"))
 def _(spark, sf):
-    tasks = classify.with_labels(resample.split_stratified(_samples(spark, sf), 5, 0.5, 0.5)).where("part <> 'unused'")
+    tasks = classify.with_labels(resample.split_stratified(_samples(spark, sf), 30, 0.5, 0.5)).where("part <> 'unused'")
     rows = _features(spark, sf).join(tasks, "sample_id").withColumn("is_train", F.col("part") == "train")
     out = windows.zscore_features(rows, ["spi", "resample"])
     return out.select("spi", "resample", "sample_id", "feature", rounded("scaled").alias("scaled"))
 
 
-_CENTROID = f"""{_scaled(5)},
+def _centroids(n_splits: int, n_perm: int) -> str:
+    return f"""{_scaled(n_splits, n_perm)},
 ce AS (SELECT spi, resample, perm, feature, label AS pred, avg(scaled) AS c FROM sc WHERE part = 'train' GROUP BY 1, 2, 3, 4, 5),
 ds AS (SELECT s.spi, s.resample, s.perm, s.sample_id, s.label, c.pred, round(sum((s.scaled - c.c) * (s.scaled - c.c)), 8) AS d FROM sc s
   JOIN ce c ON s.spi = c.spi AND s.resample = c.resample AND s.perm = c.perm AND s.feature = c.feature WHERE s.part = 'test' GROUP BY 1, 2, 3, 4, 5, 6),
 pr AS (SELECT spi, resample, perm, sample_id, label, pred FROM (SELECT *, row_number() OVER (PARTITION BY spi, resample, perm, sample_id ORDER BY d, pred) AS rk FROM ds) WHERE rk = 1)"""
 
 
-def _centroid(spark, sf, n_perm: int):
+def _centroid(spark, sf, n_splits: int, n_perm: int):
     s = _samples(spark, sf)
     perms = resample.permute_labels(s, n_perm) if n_perm else None
-    tasks = classify.with_labels(resample.split_stratified(s, 5, 0.5, 0.5), perms)
+    tasks = classify.with_labels(resample.split_stratified(s, n_splits, 0.5, 0.5), perms)
     return classify.centroid_classify(_features(spark, sf), tasks)
 
 
-@query("centroid_classify", with_(SPI, f", {_CENTROID} SELECT spi, CAST(resample AS INTEGER) AS resample, perm, sample_id, label, pred FROM pr WHERE perm = 0"))
+@query("centroid_classify", with_(SPI, f", {_centroids(30, 0)} SELECT spi, CAST(resample AS INTEGER) AS resample, perm, sample_id, label, pred FROM pr WHERE perm = 0"))
 def _(spark, sf):
-    return _centroid(spark, sf, 0)
+    return _centroid(spark, sf, 30, 0)
 
 
-@query("accuracy_score", with_(SPI, f", {_CENTROID} SELECT spi, CAST(resample AS INTEGER) AS resample, {r6('avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END)', 'accuracy')} FROM pr WHERE perm = 0 GROUP BY 1, 2"))
+@query("accuracy_score", with_(SPI, f", {_centroids(30, 0)} SELECT spi, CAST(resample AS INTEGER) AS resample, {r6('avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END)', 'accuracy')} FROM pr WHERE perm = 0 GROUP BY 1, 2"))
 def _(spark, sf):
-    return classify.accuracy_score(_centroid(spark, sf, 0)).withColumn("accuracy", rounded("accuracy"))
+    return classify.accuracy_score(_centroid(spark, sf, 30, 0)).withColumn("accuracy", rounded("accuracy"))
 
 
 @query(
     "null_accuracy",
-    with_(SPI, f", {_CENTROID} SELECT spi, perm, {r6('avg(a)', 'null_accuracy')} FROM (SELECT spi, perm, resample, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS a FROM pr WHERE perm > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2"),
+    with_(SPI, f", {_centroids(5, 3)} SELECT spi, perm, {r6('avg(a)', 'null_accuracy')} FROM (SELECT spi, perm, resample, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS a FROM pr WHERE perm > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2"),
 )
 def _(spark, sf):
-    return classify.null_accuracy(_centroid(spark, sf, 3)).withColumn("null_accuracy", rounded("null_accuracy"))
+    return classify.null_accuracy(_centroid(spark, sf, 5, 3)).withColumn("null_accuracy", rounded("null_accuracy"))
 
 
 def _folds(spark, sf, n_splits: int, n_perm: int) -> DataFrame:

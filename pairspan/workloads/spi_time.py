@@ -134,7 +134,18 @@ add(
         + melt({"hsic": "u", "hsic_biased": "v"}, "(SELECT p.sample_id, p.node_from, p.node_to, u, v FROM (SELECT DISTINCT sample_id, node_from, node_to FROM pu) p LEFT JOIN dep USING (sample_id, node_from, node_to))"),
     ).replace(EV.strip(), PU.strip()),
 )
-add("spi_dcorrx", distance.spi_dcorrx)
+_LAGGED = """, lt AS (SELECT a.sample_id, a.node, lag, side, 30 - lag AS n, a.t - side * lag AS i, b.t - side * lag AS j, abs(a.z - b.z) AS o FROM z a JOIN z b ON a.sample_id = b.sample_id AND a.node = b.node
+  CROSS JOIN range(11) l(lag) CROSS JOIN range(2) s(side) WHERE least(a.t, b.t) >= side * lag AND greatest(a.t, b.t) - side * lag < 30 - lag),
+lr AS (SELECT sample_id, node, lag, side, i, sum(o) AS r FROM lt GROUP BY 1, 2, 3, 4, 5), la AS (SELECT sample_id, node, lag, side, sum(r) AS total FROM lr GROUP BY 1, 2, 3, 4),
+lu AS (SELECT lt.*, CASE WHEN lt.i = lt.j THEN 0 ELSE o - p.r / (n - 2) - q.r / (n - 2) + total / ((n - 1) * (n - 2)) END AS un FROM lt
+  JOIN lr p ON p.sample_id = lt.sample_id AND p.node = lt.node AND p.lag = lt.lag AND p.side = lt.side AND p.i = lt.i
+  JOIN lr q ON q.sample_id = lt.sample_id AND q.node = lt.node AND q.lag = lt.lag AND q.side = lt.side AND q.i = lt.j
+  JOIN la ON la.sample_id = lt.sample_id AND la.node = lt.node AND la.lag = lt.lag AND la.side = lt.side),
+ld AS (SELECT a.sample_id, a.node AS node_from, b.node AS node_to, a.lag, count(a.o * b.o) AS held, sum(a.un * b.un) AS ab, sum(a.un * a.un) AS aa, sum(b.un * b.un) AS bb
+  FROM lu a JOIN lu b ON a.sample_id = b.sample_id AND a.lag = b.lag AND a.i = b.i AND a.j = b.j AND a.side = 0 AND b.side = 1 AND a.node < b.node GROUP BY 1, 2, 3, 4),
+lx AS (SELECT sample_id, node_from, node_to, lag, CASE WHEN held = 0 THEN NULL WHEN aa > 1e-12 AND bb > 1e-12 THEN ab / sqrt(aa * bb) ELSE 0 END * (30 - lag) / 30.0 AS v FROM ld),
+ls AS (SELECT sample_id, node_from, node_to, sum(v) FILTER (lag <= 1) AS m1, sum(v) AS m10 FROM lx GROUP BY 1, 2, 3) """
+add("spi_dcorrx", distance.spi_dcorrx, with_(EV, _LAGGED + melt({"dcorrx_maxlag-1": "m1", "dcorrx_maxlag-10": "m10"}, "ls")))
 add("spi_dtw", distance.spi_dtw)
 add("spi_softdtw", distance.spi_softdtw)
 add("spi_lcss", distance.spi_lcss)
