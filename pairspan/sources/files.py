@@ -6,6 +6,10 @@ of lines carry it as a key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,6 +95,28 @@ def rejected_files(spark: SparkSession, path: str, good: DataFrame) -> DataFrame
     return every.withColumn("file", plain).join(seen.withColumn("file", plain), "file", "left_anti")
 
 
+def file_faults(spark: SparkSession, path: str) -> DataFrame:
+    """``file, reason`` of the files below ``path`` that cannot be read to their end, half-broken ones included.
+
+    Each file is read once, by a task that holds it whole: meant for folders with one result file for each sample.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {"file": [], "reason": []}
+            for name, content in zip(b["path"].to_pylist(), b["content"], strict=True):
+                try:
+                    for _ in pq.ParquetFile(pa.BufferReader(content.as_buffer())).iter_batches():
+                        pass
+                except (pa.ArrowException, OSError, ValueError) as fault:
+                    out["file"].append(name)
+                    out["reason"].append(f"{type(fault).__name__}: {fault}"[:200])
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("file", pa.string()), ("reason", pa.string())]))
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return found.mapInArrow(check, "file string, reason string").withColumn("file", F.regexp_replace("file", "^file:/+", "/"))
+
+
 def scan_mts_database(spark: SparkSession, path: str, n: int | None = None, label: str | None = None) -> DataFrame:
     """Long table ``dataset, labels, node, t, value``; optionally the first n datasets or one label."""
     df = spark.read.schema("dataset string, labels array<string>, node string, t int, value double").parquet(path)

@@ -127,6 +127,16 @@ def _(spark, sf):
     return bad.select(F.regexp_extract("file", "spi=([^/]+)/", 1).alias("spi"))
 
 
+@query("file_faults", with_(SPI, "SELECT DISTINCT spi, true AS told FROM spi"))
+def _(spark, sf):
+    """Broken result files with the reason."""
+    path = fresh_path(spark, "results")
+    fact = fx.spi_fact(spark, sf)
+    files.sink_columnar(fact.drop("spi"), f"{path}/good")
+    fact.select("spi", F.col("sample_id").alias("value")).repartition("spi").write.partitionBy("spi").text(f"{path}/broken")
+    return files.file_faults(spark, path).select(F.regexp_extract("file", "spi=([^/]+)/", 1).alias("spi"), (F.length("reason") > 0).alias("told")).distinct()
+
+
 _DB = with_(EV, "SELECT e.sample_id AS dataset, l.label, e.node, e.t, e.signal AS value FROM ev e LEFT JOIN (SELECT sample_id, unnest(list(DISTINCT node)) AS label FROM ev WHERE signal > 60 GROUP BY 1) l ON l.sample_id = e.sample_id")
 
 
