@@ -1,24 +1,28 @@
 """Exact duplicates by an extendible-hash index on shared files, with DataFrame functions only.
 
-Keys are 64-bit hashes of the normalised texts. Equal texts are first made one by grouping on the hash and the bytes of the text, in each task before
-anything is shuffled; different texts of one hash become links of a chain. The directory doubles until no bucket holds more than ``capacity``
-entries, or until ``max_depth`` bits are used; a bucket that is over the capacity even then is read through its chain all the same. The index is written
-to the shared folder in key ranges, one owner task for each range, and documents then look their entry up.
+Keys are 64-bit hashes of the normalised texts. The directory doubles until no bucket holds more than ``capacity`` different keys, or until ``max_depth`` bits are used; a bucket
+that is over the capacity even then is read through all the same. Copies inside one task are made one first; then every text goes through the directory to its bucket, and the
+bucket's owner task decides: it compares the bytes of the texts of each key, makes equal ones one entry and links different texts of one key to a chain. The index is written to the shared
+folder, and documents look their entry up in their bucket, along the chain of their key by digest.
 
-Defined results: null text counts as empty; the smallest non-null ``doc_id`` of a group stays, a group of null ids keeps none; repeated rows of one
-``doc_id`` with one text are one document and get the same answer. An empty table gives no rows.
+Defined results: null text counts as empty; very long texts are compared whole; the smallest non-null ``doc_id`` of a group stays, a group of null ids keeps none; repeated rows of one
+``doc_id`` with one text are one document and get the same answer. Other columns of the input are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairspan.session import cut_lineage, fresh_path
 
-CAPACITY = 100_000  # entries of a bucket
-MAX_DEPTH = 20  # bits of the largest directory: a bounded table of 2^20 rows
+CAPACITY = 512  # different keys of a bucket
+MAX_DEPTH = 20  # bits of the largest directory: a bounded table of 2^20 rows, which is broadcast
+
+INDEX = "bucket long, depth int, key long, chain int, sha256 string, keep_id long, group_size long"
 
 
 def normalised(text: Column) -> Column:
@@ -32,58 +36,56 @@ def _prefix(key: Column, bits: int | Column) -> Column:
     return F.when(bits == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", key, (F.lit(64) - bits).cast("int")))
 
 
-def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``cell, depth``: how many bits the bucket of each cell (prefix of ``max_depth`` bits) uses.
+def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``cell, depth``: how many bits the bucket of each cell (prefix of ``max_depth`` bits) uses. ``keys`` has each key once.
 
-    A bucket of depth d splits while it holds more than ``capacity`` entries. Counts of the cells are summed by prefix at each depth; the table has at
-    most 2^max_depth rows.
+    A bucket of depth d splits while it holds more than ``capacity`` keys. Counts of the cells are summed by prefix for all depths at once; the table has at most 2^max_depth rows.
     """
-    cells = cut_lineage(entries.groupBy(_prefix(F.col("key"), max_depth).alias("cell")).agg(F.count(F.lit(1)).alias("n")))
-    over = None
-    for d in range(max_depth):  # prefixes that must split at depth d; their number is bounded by the directory
-        held = cells.groupBy(F.shiftright("cell", max_depth - d).alias("prefix")).agg(F.sum("n").alias("n")).where(F.col("n") > capacity)
-        held = held.select(F.lit(d).alias("d"), "prefix")
-        over = held if over is None else over.unionAll(held)
-    cuts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_depth - 1)), lambda d: F.struct(d.alias("d"), F.call_function("shiftright", F.col("cell"), (F.lit(max_depth) - d).cast("int")).alias("prefix"))))
-    deep = cells.select("cell", cuts.alias("at")).select("cell", "at.d", "at.prefix").join(over, ["d", "prefix"]).groupBy("cell").agg((F.max("d") + 1).alias("deep"))
-    return cells.select("cell").join(deep, "cell", "left").select("cell", F.coalesce("deep", F.lit(0)).alias("depth"))
+    cells = cut_lineage(keys.groupBy(_prefix(F.col("key"), max_depth).alias("cell")).agg(F.count(F.lit(1)).alias("n")))
+    above = F.transform(F.sequence(F.lit(0), F.lit(max_depth - 1)), lambda d: F.struct(d.alias("d"), F.call_function("shiftright", F.col("cell"), (F.lit(max_depth) - d).cast("int")).alias("prefix")))
+    prefixes = cells.select("cell", "n", F.explode(above).alias("at")).select("cell", "n", "at.d", "at.prefix")
+    over = prefixes.groupBy("d", "prefix").agg(F.sum("n").alias("held")).where(F.col("held") > capacity)
+    deep = prefixes.join(over, ["d", "prefix"]).groupBy("cell").agg((F.max("d") + 1).alias("deep"))
+    return cut_lineage(cells.select("cell").join(deep, "cell", "left").select("cell", F.coalesce("deep", F.lit(0)).cast("int").alias("depth")))
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Write and reread the index: ``bucket, depth, key, chain, sha256, keep_id, group_size``, one row per different text.
+def routed(rows: DataFrame, table: DataFrame, max_depth: int) -> DataFrame:
+    """Rows with the ``bucket`` and ``depth`` that the directory has for their key; it has at most 2^max_depth rows."""
+    found = rows.withColumn("cell", _prefix(F.col("key"), max_depth)).join(F.broadcast(table), "cell").drop("cell")
+    return found.withColumn("bucket", _prefix(F.col("key"), F.col("depth")))
 
-    ``chain`` numbers the different texts of one key. Owner tasks get ranges of keys; no range can be hot, as every text is there once.
-    """
+
+def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, hashed: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame]:
+    """The written index (see ``INDEX``; a row for each different text) and the directory."""
+    if not 1 <= max_depth <= MAX_DEPTH:
+        raise ValueError("the directory has 1 to 20 bits")
     spark = docs.sparkSession
     text = normalised(docs["text"])
-    keyed = docs.select(F.xxhash64(text).alias("key"), text.alias("body"), docs["doc_id"].alias("doc_id"))
-    # grouping on key and body compares the bytes of the texts
-    texts = keyed.groupBy("key", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries_at = fresh_path(spark, "entries")
-    texts.select("key", F.sha2("body", 256).alias("sha256"), "keep_id", "group_size").write.parquet(entries_at)
-    entries = spark.read.schema("key long, sha256 string, keep_id long, group_size long").parquet(entries_at)
-    depths = directory(entries, capacity, max_depth)
-    placed = entries.withColumn("cell", _prefix(F.col("key"), max_depth)).join(depths, "cell")
-    placed = placed.withColumn("bucket", _prefix(F.col("key"), F.col("depth")))
-    owned = placed.repartitionByRange("key")
-    chain = F.row_number().over(Window.partitionBy("key").orderBy("keep_id", "sha256"))
+    table = directory(docs.select(hashed(text).alias("key")).distinct(), capacity, max_depth)
+    keyed = docs.select(text.alias("body"), docs["doc_id"].alias("doc_id")).select(hashed(F.col("body")).alias("key"), "body", "doc_id", F.spark_partition_id().alias("task"))
+    # copies of one task become one row, so that a text with very many copies reaches its bucket once for a task
+    once = keyed.groupBy("task", "key", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    owned = routed(once.drop("task"), table, max_depth).repartition("bucket")
+    # in the owner task: grouping compares the bytes of a key's texts
+    entries = owned.groupBy("bucket", "depth", "key", "body").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    entries = entries.select("bucket", "depth", "key", F.sha2("body", 256).alias("sha256"), "keep_id", "group_size")
+    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy(F.asc_nulls_last("keep_id"), "sha256"))
     index_at = fresh_path(spark, "index")
-    owned.select("bucket", "depth", "key", chain.alias("chain"), "sha256", "keep_id", "group_size").write.parquet(index_at)
-    return spark.read.schema("bucket long, depth int, key long, chain int, sha256 string, keep_id long, group_size long").parquet(index_at)
+    entries.select("bucket", "depth", "key", chain.alias("chain"), "sha256", "keep_id", "group_size").write.parquet(index_at)
+    return spark.read.schema(INDEX).parquet(index_at), table
 
 
-def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256, bucket, chain`` for every row of ``docs`` (doc_id, text).
 
-    The lookup walks the chain of the key by digest. Texts were told apart by their bytes when the index was built; should two of a chain ever share
+    A document reads the chain of its key in its bucket and takes the entry of its digest. The owners told texts apart by their bytes; should two of a chain ever share
     a digest, the run stops with an error instead of mixing them up.
     """
-    index = build_index(docs, capacity, max_depth)
-    same = F.count(F.lit(1)).over(Window.partitionBy("key", "sha256"))
+    index, table = build_index(docs, capacity, max_depth, hashed)
+    same = F.count(F.lit(1)).over(Window.partitionBy("bucket", "key", "sha256"))
     safe = F.when(same > 1, F.raise_error(F.lit("two texts share key and digest"))).otherwise(F.col("keep_id"))
-    index = index.select("bucket", "chain", F.col("key").alias("k"), F.col("sha256").alias("s"), safe.alias("keep_id"), "group_size")
-    text = normalised(docs["text"])
-    looked = docs.select(docs["doc_id"].alias("doc_id"), text.alias("body")).select("doc_id", F.xxhash64("body").alias("key"), F.sha2("body", 256).alias("text_sha256"))
-    met = looked.join(index, (F.col("key") == F.col("k")) & (F.col("text_sha256") == F.col("s")))
+    index = index.select("bucket", "key", "chain", "sha256", safe.alias("keep_id"), "group_size")
+    looked = docs.select(docs["doc_id"].alias("doc_id"), normalised(docs["text"]).alias("body")).select("doc_id", hashed(F.col("body")).alias("key"), F.sha2("body", 256).alias("sha256"))
+    met = routed(looked, table, max_depth).drop("depth").join(index, ["bucket", "key", "sha256"])
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
-    return met.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "bucket", "chain")
+    return met.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha256").alias("text_sha256"), "bucket", "chain")

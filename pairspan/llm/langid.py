@@ -28,6 +28,7 @@ from pairspan.session import cut_lineage
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ROWS_PER_LANGUAGE = 300  # labelled texts that a language's model is fitted to
 LANGUAGES_TOGETHER = 64  # whose models a task holds at once
+SENT_LANGUAGES = 100_000  # names and numbers of so many languages, some MB, are broadcast
 LONGEST = 24  # letters handled together
 MARK = 0x2581  # the vocabulary's word mark
 ROUNDS = 4
@@ -213,12 +214,14 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, rows_per_language: in
     draw = F.xxhash64(F.lit("fit"), labelled["doc_id"], labelled["text"])
     known = labelled.select(labelled["text"].alias("text"), labelled["lang"].cast("string").alias("lang"), draw.alias("draw")).where("lang is not null")
     totals = cut_lineage(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    # a row for each language, sent to the texts while there are few enough; else texts meet them by a shuffle, which adaptive execution splits
+    sent = F.broadcast if totals.count() <= SENT_LANGUAGES else lambda df: df
     # coarse cut first, so that the exact order is taken over few rows
     share = F.least(F.lit(1.0), 4.0 * (rows_per_language + 25) / F.col("n"))
-    near = known.select("lang", "draw").join(totals, "lang").where(F.col("draw") / float(1 << 64) + 0.5 < share).select("lang", "draw").distinct()
+    near = known.select("lang", "draw").join(sent(totals), "lang").where(F.col("draw") / float(1 << 64) + 0.5 < share).select("lang", "draw").distinct()
     ranked = near.select("*", F.row_number().over(Window.partitionBy("lang").orderBy("draw")).alias("k")).where(F.col("k") <= rows_per_language)
     last = ranked.groupBy("lang").agg(F.max("draw").alias("last"))
-    sample = known.join(last, "lang").where("draw <= last").dropDuplicates(["lang", "draw"])
+    sample = known.join(sent(last), "lang").where("draw <= last").dropDuplicates(["lang", "draw"])
     letters = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)")))
     words = sample.select("lang", letters.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
