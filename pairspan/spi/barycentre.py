@@ -78,13 +78,18 @@ def alignment(z: np.ndarray, x: np.ndarray, soft: bool) -> tuple[np.ndarray, np.
 
 def barycentre(x: np.ndarray, y: np.ndarray, soft: bool, rounds: int = ROUNDS) -> tuple[np.ndarray, list[np.ndarray]]:
     """The average of each pair of rows, and the costs round by round."""
-    z, costs = (x + y) / 2, []
+    z, costs, live = (x + y) / 2, [], np.arange(len(x))
     for _ in range(rounds):
-        (cx, ex), (cy, ey) = alignment(z, x, soft), alignment(z, y, soft)
-        costs.append(cx + cy)
-        if len(costs) > 1 and (costs[-2] - costs[-1] <= TOL * np.maximum(1, np.abs(costs[-1]))).all():
+        (cx, ex), (cy, ey) = alignment(z[live], x[live], soft), alignment(z[live], y[live], soft)
+        costs.append(costs[-1].copy() if costs else np.empty(len(x)))
+        costs[-1][live] = cx + cy
+        # a pair rests on its own, whatever pairs it is computed with
+        on = np.ones(len(live), bool) if len(costs) == 1 else (costs[-2] - costs[-1])[live] > TOL * np.maximum(1, np.abs(costs[-1][live]))
+        if not on.any():
             break
-        z = (np.einsum("bij,bj->bi", ex, x) + np.einsum("bij,bj->bi", ey, y)) / (ex.sum(axis=2) + ey.sum(axis=2))
+        share = ex[on].sum(axis=2) + ey[on].sum(axis=2)
+        live = live[on]
+        z[live] = (np.einsum("bij,bj->bi", ex[on], x[live]) + np.einsum("bij,bj->bi", ey[on], y[live])) / share
     return z, costs
 
 

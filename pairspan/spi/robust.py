@@ -86,7 +86,7 @@ def solved(n_all: int, before: float, k: int, s: np.ndarray, ss: np.ndarray, rid
 
 def _order(t: np.ndarray, start: int) -> np.ndarray:
     """A random order of steps for each start, the same in any run."""
-    h = (t.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (t.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start * 0xC2B2AE3D27D4EB4F % (1 << 64))
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 

@@ -91,3 +91,11 @@ def test_rows_and_nulls(spark):
         assert got[f"bary_{k}", "s", "a", "b"] == pytest.approx(v[0], abs=1e-9)
         assert got[f"bary-sq_{k}", "s", "a", "b"] == pytest.approx(v[0] ** 2, abs=1e-9)
         assert got[f"bary_{k}", "s", "a", "flat"] is None and got[f"bary_{k}", "g", "a", "b"] is not None
+
+
+@pytest.mark.parametrize("soft", [False, True])
+def test_a_pair_does_not_depend_on_the_others(soft):
+    x, y = pairs()
+    whole = bc.barycentre(x, y, soft)[0]
+    for k in range(len(x)):
+        assert np.allclose(bc.barycentre(x[k : k + 1], y[k : k + 1], soft)[0][0], whole[k], atol=1e-12)
