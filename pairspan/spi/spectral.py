@@ -8,23 +8,28 @@ compared only if both have the same steps; a pair with differing steps has NULL
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairspan.functions.batches import map_arrays
+from pairspan.functions.batches import CELLS, lists_to_numpy, map_arrays
 from pairspan.functions.numeric import pearson, ratio
 from pairspan.operators.pairs import PAIR, aligned, grid_arrays, join_series, melt_stats, series_arrays
-from pairspan.operators.shared import shared
+from pairspan.operators.shared import active, shared
+from pairspan.session import cut_lineage
 
 TAPERS = 5
 MOST_TAPERS = 128
 # The three frequency bands, as written in the names of the statistics.
 BANDS = {"fmin-0_fmax-0-5": (0.0, 0.5), "fmin-0_fmax-0-25": (0.0, 0.25), "fmin-0-25_fmax-0-5": (0.25, 0.5)}
 _VEC = T.ArrayType(T.DoubleType())
-COEF = T.StructType([T.StructField("f", _VEC), T.StructField("re", T.ArrayType(_VEC)), T.StructField("im", T.ArrayType(_VEC))])
+COEF = "array<struct<f: double, re: array<double>, im: array<double>>>"
 SIGNAL = T.StructType([T.StructField("re", _VEC), T.StructField("im", _VEC)])
 
 
@@ -46,22 +51,17 @@ def _by_length(values: pd.Series, fn, fields: list[str]) -> pd.DataFrame:
     return pd.DataFrame({k: [None if v is None else v[k] for v in out] for k in fields})
 
 
-def _taper_fft(m: np.ndarray) -> list:
+def taper_transform(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies, and Fourier coefficients (b, frequency, taper) of each row under sine tapers."""
     n = m.shape[1]
     spec = np.fft.rfft(m[:, None, :] * sine_tapers(n)[None], axis=2)
     f = np.arange(spec.shape[2]) / n
     # the zero frequency and the folding frequency have no phase
     keep = np.flatnonzero((f > 0) & (f < 0.5))
-    spec = spec[:, :, keep].transpose(0, 2, 1)
-    return [{"f": f[keep], "re": list(s.real), "im": list(s.imag)} for s in spec]
-
+    return f[keep], spec[:, :, keep].transpose(0, 2, 1)
 
-@F.pandas_udf(COEF)
-def taper_transform(values: pd.Series) -> pd.DataFrame:
-    return _by_length(values, _taper_fft, COEF.names)
 
-
-def _morlet(m: np.ndarray) -> list:
+def wavelet_transform(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients at 10 scales; the 'tapers' of a scale are its time points."""
     n = m.shape[1]
     scales = np.arange(1, 11) / 22
@@ -73,19 +73,56 @@ def _morlet(m: np.ndarray) -> list:
         width = 6 / (2 * np.pi * f)
         wave = np.exp(-2j * np.pi * f * gap) * np.exp(-(gap**2) / (2 * width**2)) / np.sqrt(width)
         out[:, i] = np.fft.ifft(spec * np.fft.fft(wave, size), axis=1)[:, n - 1 : 2 * n - 1]
-    return [{"f": scales, "re": list(c.real), "im": list(c.imag)} for c in out]
+    return scales, out
+
+
+def _morlet(m: np.ndarray) -> list:
+    f, c = wavelet_transform(m)
+    return [{"f": f, "re": list(v.real), "im": list(v.imag)} for v in c]
 
 
-@F.pandas_udf(COEF)
-def wavelet_transform(values: pd.Series) -> pd.DataFrame:
-    return _by_length(values, _morlet, COEF.names)
+def _lists(values: pa.Array, rows: int, width: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), values)
+
+
+def packed_coefficients(values: pa.Array, transform) -> pa.Array:
+    """Coefficients of a few series, as flat Arrow lists; NULL for series with missing values or fewer than three."""
+    rows = lists_to_numpy(values)
+    kind = pa.list_(pa.struct([("f", pa.float64()), ("re", pa.list_(pa.float64())), ("im", pa.list_(pa.float64()))]))
+    good = np.array([len(r) > 2 and not np.isnan(r).any() for r in rows], bool)
+    size = np.array([len(r) for r in rows])
+    order, parts = [np.flatnonzero(~good)], [pa.nulls(int((~good).sum()), kind)]
+    for n in np.unique(size[good]):
+        at = np.flatnonzero(good & (size == n))
+        f, c = transform(np.stack([rows[i] for i in at]))
+        b, nf, k = c.shape
+        sides = [_lists(pa.array(np.ascontiguousarray(v).ravel()), b * nf, k) for v in (c.real, c.imag)]
+        cells = pa.StructArray.from_arrays([pa.array(np.tile(f, b)), *sides], fields=list(kind.value_type))
+        order.append(at)
+        parts.append(_lists(cells, b, nf).cast(kind))
+    return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(order), kind="stable")))
 
 
 @shared(written=True)
 def spectral_coefficients(panel: DataFrame, transform=taper_transform) -> DataFrame:
-    """``sample_id, node, blk, steps, coef``: one small array of coefficients per series, and a hash of its steps."""
-    c = series_arrays(panel).select("sample_id", "node", "blk", F.xxhash64("ts").alias("steps"), transform("vs").alias("c"))
-    return c.select("sample_id", "node", "blk", "steps", F.arrays_zip("c.f", "c.re", "c.im").alias("coef"))
+    """``sample_id, node, blk, steps, coef``: one small array of coefficients per series, and a hash of its steps.
+
+    A few series are transformed and sent back at a time, so a worker's memory does not grow with the rows of a batch.
+    """
+    keys = ["sample_id", "node", "blk", "steps"]
+    series = series_arrays(panel).select("sample_id", "node", "blk", F.xxhash64("ts").alias("steps"), "vs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            longest = max(1, pc.max(pc.list_value_length(rb.column(4))).as_py() or 1)
+            step = max(1, CELLS // (10 * longest))
+            for at in range(0, rb.num_rows, step):
+                part = rb.slice(at, step)
+                coef = packed_coefficients(part.column(4), transform)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], coef], names=[*keys, "coef"])
+
+    schema = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys) + f", coef {COEF}"
+    return series.mapInArrow(run, schema)
 
 
 def coefficient_rows(panel: DataFrame) -> DataFrame:
@@ -103,7 +140,8 @@ def _sum(expr: str) -> Column:
 @shared(written=False)
 def pair_spectra(panel: DataFrame, directed: bool, transform=taper_transform) -> DataFrame:
     """One row per pair and frequency; ``p`` holds the cross products, one per taper."""
-    joined = join_series(spectral_coefficients(panel, transform), directed)
+    coef = spectral_coefficients(panel, transform)
+    joined = join_series(coef if active() else cut_lineage(coef), directed)  # both sides of the join read what is written once
     other = F.when(F.col("steps_a") == F.col("steps_b"), F.col("coef_b"))
     rows = joined.select(*PAIR, F.posexplode("coef_a").alias("at", "a"), other.alias("other"))
     rows = rows.select(*PAIR, "a", F.get("other", F.col("at")).alias("b"))
