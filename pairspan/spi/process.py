@@ -1,7 +1,7 @@
 """Gaussian-process fits of one series from another, and the direction in which the noise is independent.
 
-Series are standardised. The kernel's length and the noise are taken from a fixed grid by marginal likelihood, each by a Cholesky factor of the pair's T x T kernel; a pair holds a
-few such arrays.
+Series are standardised. The kernel's length and the noise are taken from a fixed grid by marginal likelihood, from the eigenvalues of a series' T x T kernel, which serve
+every noise and every series that it is to explain; a pair holds a few such arrays.
 """
 
 from __future__ import annotations
@@ -30,16 +30,25 @@ def kernels(x: np.ndarray, kind: str) -> list[np.ndarray]:
 def fitted(x: np.ndarray, y: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Means of the process at the points, and the log marginal likelihood, of the likeliest kernel and noise for each row."""
     b, n = x.shape
+    own, at = np.unique(x, axis=0, return_inverse=True)  # a series that explains several others has its kernels taken apart once
+    at = at.reshape(-1)
     best, mean = np.full(b, -np.inf), np.zeros((b, n))
-    for k in kernels(x, kind):
+    for k in kernels(own, kind):
+        values, axes = np.linalg.eigh(k)
+        values, turned = np.maximum(values, 0.0)[at], np.empty_like(y)
+        for i in range(len(own)):
+            turned[at == i] = y[at == i] @ axes[i]
+        chosen = np.full((b, n), np.nan)
         for noise in NOISES:
-            factor = np.linalg.cholesky(k + noise * np.eye(n))
-            half = np.linalg.solve(factor, y[:, :, None])
-            weight = np.linalg.solve(np.swapaxes(factor, 1, 2), half)
-            likelihood = -0.5 * (half[:, :, 0] ** 2).sum(axis=1) - np.log(np.einsum("bii->bi", factor)).sum(axis=1) - n / 2 * np.log(2 * np.pi)
+            spread = values + noise
+            part = turned / spread
+            likelihood = -0.5 * (turned * part).sum(axis=1) - 0.5 * np.log(spread).sum(axis=1) - n / 2 * np.log(2 * np.pi)
             better = likelihood > best
-            mean = np.where(better[:, None], (k @ weight)[:, :, 0], mean)
+            chosen = np.where(better[:, None], values * part, chosen)
             best = np.maximum(best, likelihood)
+        for i in range(len(own)):
+            rows = np.flatnonzero((at == i) & ~np.isnan(chosen[:, 0]))
+            mean[rows] = chosen[rows] @ axes[i].T
     return mean, best
 
 
