@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairspan.functions.batches import map_arrays, row_blocks
+from pairspan.functions.batches import CELLS, map_arrays, row_blocks
 from pairspan.functions.numeric import ratio
 from pairspan.operators.pairs import PAIR, grid_arrays, melt_stats, pair_arrays, pair_self_join
 
@@ -82,13 +82,26 @@ _distance_table.diagonal = 0.0
 
 
 def _gaussian_table(v: np.ndarray):
-    width = np.array([median_gap(row) for row in v])[:, None, None]
+    width = median_gaps(v)[:, None, None]
     return lambda rows: np.exp(-((v[:, rows, None] - v[:, None, :]) ** 2) / (2 * width**2))
 
 
 _gaussian_table.diagonal = 1.0
 
 
+TABLE_STEPS = 256  # steps of a series whose gaps are held in one table
+
+
+def median_gaps(v: np.ndarray) -> np.ndarray:
+    """:func:`median_gap` of each row: of short series by a table of all gaps, for some rows at a time."""
+    b, n = v.shape
+    if n > TABLE_STEPS:
+        return np.array([median_gap(row) for row in v])
+    i, j = np.triu_indices(n, 1)
+    step = max(1, CELLS // len(i))
+    return np.concatenate([np.median(np.abs(v[at : at + step, i] - v[at : at + step, j]), axis=1) for at in range(0, b, step)])
+
+
 def median_gap(v: np.ndarray) -> float:
     """Median distance of all point pairs, by bisection on sorted values: no T x T table."""
     s = np.sort(v)

@@ -25,3 +25,15 @@ def test_one_decomposition_for_each_series(monkeypatch):
                     likely.append((-0.5 * y[i] @ weight - 0.5 * np.linalg.slogdet(full)[1] - 6 * np.log(2 * np.pi), k[0] @ weight))
             top = max(likely, key=lambda v: v[0])
             assert np.isclose(best[i], top[0]) and np.allclose(mean[i], top[1])
+
+
+def test_median_gaps_of_short_series_by_table(monkeypatch):
+    from pairspan.spi import distance
+
+    rng = np.random.default_rng(8)
+    for n in (2, 5, 30, 31):
+        v = rng.normal(size=(6, n)).round(1)
+        v[0] = v[0, 0]
+        assert np.allclose(distance.median_gaps(v), [distance.median_gap(r) for r in v], atol=1e-15)
+    monkeypatch.setattr(distance, "median_gap", lambda row: 1 / 0)
+    distance.kernel_dependence(v, v[::-1])  # no bisection row by row
