@@ -99,3 +99,21 @@ def test_a_pair_does_not_depend_on_the_others(soft):
     whole = bc.barycentre(x, y, soft)[0]
     for k in range(len(x)):
         assert np.allclose(bc.barycentre(x[k : k + 1], y[k : k + 1], soft)[0][0], whole[k], atol=1e-12)
+
+
+@pytest.mark.parametrize("soft", [False, True])
+def test_sums_of_many_pairs_equal_single_alignments(soft, monkeypatch):
+    rng = np.random.default_rng(3)
+    z, x = rng.normal(size=(2, 40, 12)).round(1)
+    z[:5] *= 30  # weights of these paths are too small for doubles
+    run = bc.soft_sums if soft else bc.hard_sums
+    cost, share, total = run(z.T.copy(), x.T.copy(), {})
+    want, e = bc.alignment(z, x, soft)
+    assert np.allclose(cost, want) and np.allclose(share.T, e.sum(axis=2)) and np.allclose(total.T, np.einsum("bij,bj->bi", e, x))
+    # pairs that rest make room for others: far fewer steps than rounds of each group in turn
+    monkeypatch.setattr(bc, "CELLS", 12 * 12 * 4)
+    calls = []
+    monkeypatch.setattr(bc, run.__name__, lambda *a: calls.append(a[0].shape[1]) or run(*a))
+    many, costs = bc.barycentre(z, x, soft)
+    assert np.mean(calls) > 8 and np.allclose(many, np.concatenate([bc.barycentre(z[k : k + 1], x[k : k + 1], soft)[0] for k in range(40)]))
+    assert (np.diff(costs, axis=0) <= 1e-9 * np.maximum(1, np.abs(costs[:-1]))).all()
