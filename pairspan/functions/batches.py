@@ -86,3 +86,57 @@ def row_blocks(batch: int, n: int) -> Iterator[slice]:
     step = max(1, CELLS // max(1, batch * n))
     for at in range(0, n, step):
         yield slice(at, min(n, at + step))
+
+
+def map_whole(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` of tables that hold whole groups of rows of equal keys, several at a time and in key order.
+
+    Like a grouped map, with one call for the groups of an Arrow batch: small groups share the numpy calls. A group that spans batches is held until its last row.
+    """
+
+    def changes(rb: pa.RecordBatch | pa.Table) -> np.ndarray:
+        same = np.ones(max(rb.num_rows - 1, 0), bool)
+        for k in keys:
+            c = rb.column(rb.schema.get_field_index(k))
+            same &= pc.equal(c.slice(1), c.slice(0, rb.num_rows - 1)).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(~same) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            ends = changes(rb)
+            if held and len(changes(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), rb.slice(0, 1)]).combine_chunks())):
+                ends = np.append([0], ends)
+            if not len(ends):
+                held.append(rb)
+                continue
+            whole = [*held, rb.slice(0, int(ends[-1]))]
+            held = [rb.slice(int(ends[-1]))]
+            yield from fn(pa.Table.from_batches(whole).combine_chunks()).to_batches()
+        if held:
+            yield from fn(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """The first row of each group of a table in key order."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        c = table[k].combine_chunks()
+        new[1:] |= ~pc.equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def local_codes(group: np.ndarray, groups: int, *columns: pa.ChunkedArray) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
+    """Names of all groups in order; for each group, in rows, which of them it has; and the columns as numbers within their group's names."""
+    names = sorted(set().union(*(pc.unique(c).to_pylist() for c in columns)))
+    codes = [pc.index_in(c, pa.array(names, pa.string())).to_numpy() for c in columns]
+    there = np.zeros((groups, len(names)), bool)
+    for c in codes:
+        there[group, c] = True
+    place = np.cumsum(there, axis=1) - 1
+    return names, there, [place[group, c] for c in codes]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from pairspan.functions import batches
 from pairspan.operators.windows import zscore_series
 from pairspan.spi import sparse
 
@@ -87,3 +88,22 @@ def test_fold_moments_add_up(spark):
     for r in sparse.fold_moments(panel).collect():
         i, j = int(r.node_from[1]), int(r.node_to[1])
         assert (r.n, r.sx, r.sy, r.sxy) == (n[r.fold, i, j], pytest.approx(sx[r.fold, i, j]), pytest.approx(sx[r.fold, j, i]), pytest.approx(sxy[r.fold, i, j]))
+
+
+def test_a_problem_does_not_depend_on_the_others():
+    s = np.stack([np.cov(sample(30, 5, k).T, bias=True) for k in range(12)])
+    penalty = np.geomspace(1e-3, 0.5, 12)
+    w, prec = sparse.graphical_lasso(s, penalty)
+    for k in range(12):
+        one = sparse.graphical_lasso(s[k : k + 1], penalty[k : k + 1])
+        assert np.abs(one[0][0] - w[k]).max() < 1e-14 and np.abs(one[1][0] - prec[k]).max() < 1e-12
+
+
+def test_groups_that_span_batches_come_whole(spark):
+    seen = batches.map_whole(spark.range(0, 50).selectExpr("cast(id % 3 as string) as k", "id"), ["k"], lambda t: t.group_by("k").aggregate([("id", "count")]).select(["k", "id_count"]), "k string, n long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert sorted(map(tuple, seen.collect())) == [("0", 17), ("1", 17), ("2", 16)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
