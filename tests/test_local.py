@@ -123,3 +123,24 @@ def test_values_and_nulls(spark):
     z = {k: (s - s.mean()) / s.std(ddof=1) for k, s in series.items() if k != "flat"}
     lagged = local.multiscale(z["apart"], z["x"]) + local.multiscale(z["apart"][:-1], z["x"][1:]) * 39 / 40
     assert got["mgcx_maxlag-1", "apart", "x"] == pytest.approx(lagged)
+
+
+def test_pairs_side_by_side_equal_single_pairs():
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(2, 12, 30)).round(1)
+    y[:6] = (x[:6] + y[:6]).round(1)
+    y[6] = np.where(np.arange(30) < 2, 1.0, 0.0)  # constant from a later step on
+    whole = local.lagged_graph_correlation(x, y)
+    for k in range(12):
+        one = [local.multiscale(x[k, : 30 - l], y[k, l:]) * (30 - l) / 30 for l in range(11)]
+        assert np.allclose([whole["m1"][k], whole["m10"][k]], [sum(one[:2]), sum(one)], atol=1e-12, equal_nan=True)
+    assert np.isnan(whole["m10"][6]) and np.allclose(local.rings(x, y)["v"], [local.rings(x[k : k + 1], y[k : k + 1])["v"][0] for k in range(12)])
+    one = local.dominated(*rng.integers(0, 9, (2, 3, 150)).astype(float))  # more places than a word has bits
+    assert one.shape == (3, 150) and one.min() >= 1
+    calls = []
+    local._sums_to, plain = lambda *a: calls.append(1) or plain(*a), local._sums_to
+    try:
+        local.lagged_graph_correlation(x, y)
+    finally:
+        local._sums_to = plain
+    assert len(calls) == 5 * 11  # not for each pair again
