@@ -61,34 +61,54 @@ def spi_reci(panel: DataFrame) -> DataFrame:
     return melt_stats(m, {"reci": F.col("v")})
 
 
+def _nearest(square: np.ndarray, at: np.ndarray, sizes: list[int], count: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distances at 9 digits and places of the nearest points of each row among the first ones, for several numbers of those; of equal ones the first.
+
+    A distance and its place are one whole number, so that sorting numbers is enough.
+    """
+    m = square.shape[2]
+    scaled = np.rint(np.sqrt(square) * 1e9)
+    bits = max(1, int(m - 1).bit_length())
+    if not scaled.max(initial=0.0) < 2.0 ** (62 - bits):  # too large for that
+        dist = scaled / 1e9
+        dist[:, np.arange(len(at)), at] = np.inf
+        order = [np.argsort(dist[:, :, :size], axis=2, kind="stable")[:, :, :count] for size in sizes]
+        return [(np.take_along_axis(dist, o, axis=2), o) for o in order]
+    key = (scaled.astype(np.int64) << bits) | np.arange(m)
+    key[:, np.arange(len(at)), at] = np.iinfo(np.int64).max
+    out = []
+    for size in sizes:
+        first = np.sort(key[:, :, :size], axis=2)[:, :, :count]
+        out.append(((first >> bits) / 1e9, first & ((1 << bits) - 1)))
+    return out
+
+
 def _skills(x: np.ndarray, y: np.ndarray, max_dim: int = 10) -> dict[int, np.ndarray]:
     """Skill of predicting x from the delay vectors of y: per embedding, batch x library sizes.
 
     The squared distance of two delay vectors grows by one term per dimension, so all embeddings
-    share one pass over blocks of rows; a smaller library is the head of a larger one.
+    share one pass over blocks of rows; a smaller library is the head of a larger one. A series stands in the pairs
+    with all other channels: its neighbours are searched once for those of a batch.
     """
     b, n = x.shape
+    own, of_y = np.unique(y, axis=0, return_inverse=True)
     sizes = {d: [s for s in sorted({(n - d + 1) * q // 4 for q in (1, 2, 3, 4)}) if s >= d + 2] for d in range(1, max_dim + 1)}
     pred = {d: np.empty((len(s), b, n - d + 1)) for d, s in sizes.items() if s}
     for rows in row_blocks(b, n):
         at = np.arange(rows.start, rows.stop)
-        square = np.zeros((b, len(at), n))
+        square = np.zeros((len(own), len(at), n))
         for d in range(1, max_dim + 1):
             m = n - d + 1
             at = at[at < m]
-            square = square[:, : len(at), :m] + (y[:, at + d - 1, None] - y[:, None, d - 1 : n]) ** 2
+            square = square[:, : len(at), :m] + (own[:, at + d - 1, None] - own[:, None, d - 1 : n]) ** 2
             if not len(at) or d not in pred:
                 continue
-            dist = np.sqrt(square).round(9)
-            dist[:, np.arange(len(at)), at] = np.inf
-            truth = x[:, d - 1 :]
-            for k, size in enumerate(sizes[d]):
-                order = np.argsort(dist[:, :, :size], axis=2, kind="stable")[:, :, : d + 1]
-                near = np.take_along_axis(dist, order, axis=2)
+            first_of = (np.arange(b) * n + d - 1).reshape(-1, 1, 1)
+            for k, (near, order) in enumerate(_nearest(square, at, sizes[d], d + 1)):
                 first = near[:, :, :1]
                 w = np.where(first > 0, np.exp(-near / np.where(first > 0, first, 1.0)), (near == 0) * 1.0)
-                hit = np.take_along_axis(truth[:, None, :], order.reshape(b, 1, -1), axis=2).reshape(order.shape)
-                pred[d][k][:, at] = (w * hit).sum(axis=2) / w.sum(axis=2)
+                hit = x.ravel()[order[of_y] + first_of]
+                pred[d][k][:, at] = np.einsum("brk,brk->br", w[of_y], hit) / w.sum(axis=2)[of_y]
     out = {}
     for d in range(1, max_dim + 1):
         got = [_row_corr(p, x[:, d - 1 :]) for p in pred.get(d, [])]
@@ -112,7 +132,8 @@ def _over(skill: np.ndarray, how) -> np.ndarray:
 
 def cross_mapping(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Cross-map skill for embedding 1, 10 and the best of 1..10, in both directions of the pair."""
-    skills = {"f": _skills(x, y), "b": _skills(y, x)}
+    both = _skills(np.concatenate([x, y]), np.concatenate([y, x]))
+    skills = {"f": {d: v[: len(x)] for d, v in both.items()}, "b": {d: v[len(x) :] for d, v in both.items()}}
     out = {}
     for way, back in (("f", "b"), ("b", "f")):
         mine, other = skills[way], skills[back]
