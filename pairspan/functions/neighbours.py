@@ -80,12 +80,45 @@ def entropy(v: np.ndarray, estimator: str, k: int = 4, width: float = 0.5) -> np
         ok = (sign > 0) & (logdet > -23.0 * d)
         return np.where(ok, 0.5 * (d * np.log(2 * np.pi * np.e) + logdet), np.nan)
     if estimator == "kozachenko":
-        eps = 2 * kth_distance(v, k)
-        logs = np.where(eps > 0, np.log(np.where(eps > 0, eps, 1.0)), np.nan)
-        return digamma(np.array([n]))[0] - digamma(np.array([k]))[0] + d * np.nanmean(logs, axis=1)
+        return _from_neighbours(kth_distance(v, k), k, d)
     return -np.log(share_within(v, width)).mean(axis=1)
 
 
+def _from_neighbours(kth: np.ndarray, k: int, d: int) -> np.ndarray:
+    eps = 2 * kth
+    logs = np.where(eps > 0, np.log(np.where(eps > 0, eps, 1.0)), np.nan)
+    return digamma(np.array([kth.shape[1]]))[0] - digamma(np.array([k]))[0] + d * np.nanmean(logs, axis=1)
+
+
+def entropies(x: np.ndarray, y: np.ndarray, sets: list[list[tuple[str, int]]], start: int, k: int = 4, width: float = 0.5) -> dict[str, list[np.ndarray]]:
+    """``entropy`` of several sets of delayed variables by neighbours and by boxes. Sets share the distances: one grows from the largest that it holds."""
+    src = {"x": x, "y": y}
+    b, n = x.shape
+    m = n - start
+    kth, share = ([np.full((b, m), np.nan) for _ in sets] for _ in range(2))
+    by_size = sorted(range(len(sets)), key=lambda s: len(sets[s]))
+    for rows in row_blocks(b, m):
+        known: list[tuple[set, np.ndarray]] = []
+        own = np.arange(rows.stop - rows.start)
+        more = np.empty((b, len(own), m))
+        for s in by_size:
+            have, d = max(((v, d) for v, d in known if v <= set(sets[s])), key=lambda e: len(e[0]), default=(set(), np.zeros_like(more)))
+            d = d.copy()
+            for name, lag in sets[s]:
+                if (name, lag) not in have:
+                    late = src[name][:, start - lag : n - lag]
+                    np.subtract(late[:, rows, None], late[:, None], out=more)
+                    np.maximum(d, np.abs(more, out=more), out=d)
+            known.append((set(sets[s]), d))
+            share[s][:, rows] = (d <= width).sum(axis=2) / m
+            if m - 1 >= k:
+                np.copyto(more, d)
+                more[:, own, own + rows.start] = np.inf
+                more.partition(k - 1, axis=2)
+                kth[s][:, rows] = more[:, :, k - 1]
+    return {"kozachenko": [_from_neighbours(v, k, len(vs)) for v, vs in zip(kth, sets, strict=True)], "kernel": [-np.log(v).mean(axis=1) for v in share]}
+
+
 def decorrelation_time(x: np.ndarray) -> np.ndarray:
     """First lag whose autocorrelation falls below 1/e."""
     b, n = x.shape

@@ -79,17 +79,17 @@ def term_values(family: str, estimators: list[str]):
     blocks = TERM_FAMILIES[family][1]
 
     def fn(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        out = {}
-        for est in estimators:
-            total = np.zeros(len(x))
-            for terms, history in blocks:
-                if x.shape[1] - history < 3:
-                    total[:] = np.nan
-                    break
-                for weight, variables in terms:
-                    total += weight * nb.entropy(nb.embed(x, y, variables, history), est)
-            out[est] = total / len(blocks) if family in AVERAGED else total
-        return out
+        out = {est: np.zeros(len(x)) for est in estimators}
+        for terms, history in blocks:
+            if x.shape[1] - history < 3:
+                return {est: np.full(len(x), np.nan) for est in estimators}
+            found = nb.entropies(x, y, [v for _, v in terms], history) if set(estimators) - {"gaussian"} else {}
+            if "gaussian" in estimators:
+                found["gaussian"] = [nb.entropy(nb.embed(x, y, v, history), "gaussian") for _, v in terms]
+            for est in estimators:
+                for (weight, _), value in zip(terms, found[est], strict=True):
+                    out[est] += weight * value
+        return {est: v / len(blocks) if family in AVERAGED else v for est, v in out.items()}
 
     return fn
 

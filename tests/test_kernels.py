@@ -163,3 +163,34 @@ def test_wavelet_is_the_direct_sum():
     gap = np.arange(n)[:, None] - np.arange(n)[None]
     wave = np.exp(-2j * np.pi * f * gap) * np.exp(-(gap**2) / (2 * width**2)) / np.sqrt(width)
     assert np.allclose(got["re"][2] + 1j * got["im"][2], wave @ X[0])
+
+
+def test_sets_of_variables_share_distances():
+    x, y = np.random.default_rng(6).normal(size=(2, 5, 20)).round(1)
+    sets = [[("y", 0), ("y", 1), ("x", 0)], [("y", 1), ("x", 0)], [("y", 1)]]
+    for at in (250_000, 5 * 18 * 4):  # also in blocks of rows
+        nb.row_blocks, plain = (lambda b, n, at=at: (slice(k, min(n, k + at // (b * n))) for k in range(0, n, at // (b * n))) if at < 1000 else [slice(0, n)]), nb.row_blocks
+        try:
+            got = nb.entropies(x, y, sets, 2)
+        finally:
+            nb.row_blocks = plain
+        for kind, values in got.items():
+            for v, value in zip(sets, values, strict=True):
+                assert np.allclose(value, nb.entropy(nb.embed(x, y, v, 2), kind), atol=1e-12)
+
+
+def test_equal_neighbours_and_repeated_series():
+    rng = np.random.default_rng(7)
+    y = rng.integers(0, 3, (4, 16)).astype(float)
+    square = (y[:, :, None] - y[:, None]) ** 2
+    for (near, place), size in zip(causal._nearest(square, np.arange(16), [8, 16], 3), (8, 16), strict=True):
+        d = np.sqrt(square).round(9)
+        d[:, np.arange(16), np.arange(16)] = np.inf
+        want = np.argsort(d[:, :, :size], axis=2, kind="stable")[:, :, :3]
+        assert (place == want).all() and (near == np.take_along_axis(d, want, 2)).all()
+    far = causal._nearest(square * 1e20, np.arange(16), [16], 3)[0][1]
+    assert (far == want).all()
+    x = rng.normal(size=(4, 16))
+    whole = causal._skills(x, np.repeat(y[:1], 4, axis=0))
+    for d, v in whole.items():
+        assert np.allclose(v, [causal._skills(x[k : k + 1], y[:1])[d][0] for k in range(4)], equal_nan=True)
