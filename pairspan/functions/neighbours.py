@@ -102,8 +102,8 @@ def entropies(x: np.ndarray, y: np.ndarray, sets: list[list[tuple[str, int]]], s
         own = np.arange(rows.stop - rows.start)
         more = np.empty((b, len(own), m))
         for s in by_size:
-            have, d = max(((v, d) for v, d in known if v <= set(sets[s])), key=lambda e: len(e[0]), default=(set(), np.zeros_like(more)))
-            d = d.copy()
+            have, d = max(((v, d) for v, d in known if v <= set(sets[s])), key=lambda e: len(e[0]), default=(set(), None))
+            d = np.zeros_like(more) if d is None else d.copy()
             for name, lag in sets[s]:
                 if (name, lag) not in have:
                     late = src[name][:, start - lag : n - lag]

@@ -149,3 +149,22 @@ def test_nonparametric_rows_and_nulls(spark):
     assert value["gap", k, "c1", "c0"] is None and value["gap", k, "c2", "c0"] is not None
     direct = spectral.nonparametric_granger(z[None, :, 0], z[None, :, 2])
     assert value["a", k, "c2", "c0"] == pytest.approx(direct["ba|mean|fmin-0_fmax-0-5"][0], abs=1e-6)
+
+
+def test_samples_side_by_side_equal_single_models():
+    rng = np.random.default_rng(12)
+    r, n = [], np.array([40, 40, 200, 200, 12])
+    for k, steps in enumerate(n):
+        z = rng.normal(size=(3, steps))
+        z[:, 2:] += 0.7 * z[:, :-2] * (k % 2)
+        r.append(np.stack([z[:, lag:] @ z[:, : steps - lag].T / steps for lag in range(6)]))
+    found = mc.best_orders(np.stack(r), n)
+    for own, steps, got in zip(r, n, found, strict=True):
+        models = [m for k, m in enumerate(mc.autoregressions(own), 1) if 2 * k * 3 <= steps]
+        score = [steps * np.linalg.slogdet(cov)[1] + len(coef) * 9 * np.log(steps) for coef, cov in models]
+        coef, cov = models[int(np.argmin(score))]
+        assert np.allclose(got[0], coef) and np.allclose(got[1], cov)
+    same = [k for k in range(len(n)) if len(found[k][0]) == len(found[0][0])]
+    whole = mc.directed_measures(np.stack([found[k][0] for k in same]), np.stack([found[k][1] for k in same]))
+    for k, at in enumerate(same):
+        assert all(np.allclose(v[k], whole_v) for v, whole_v in zip(whole.values(), mc.directed_measures(*found[at]).values(), strict=True))
