@@ -69,3 +69,18 @@ def test_singular_half_and_constant_channel(spark):
     got = {(r.sample_id, r.node_from, r.node_to): r.value for r in robust.spi_robust(panel, 8).where(F.col("spi") == "cov_MinCovDet").collect()}
     assert got["plane", "c0", "c1"] is None and got["plane", "c0", "c2"] is None
     assert got["const", "c0", "c1"] is not None and got["const", "c0", "c2"] is None
+
+
+def test_samples_of_one_block_need_no_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    samples = {f"s{k}": rng.normal(size=(9 + k % 3, 2)) for k in range(6)} | {"wide": rng.normal(size=(30, 4)), "short": rng.normal(size=(3, 2))}
+    panel = panel_of(spark, samples)
+    apart = {r.sample_id: np.array(r.prec) for r in robust.robust_covariances(panel, 60, 4).collect()}
+
+    def rounds(*_):
+        raise AssertionError("rounds over blocks")
+
+    monkeypatch.setattr(robust, "least_determinant", rounds)
+    whole = {r.sample_id: np.array(r.prec) for r in robust.robust_covariances(panel, 60, 4096).collect()}
+    assert set(whole) == set(apart) == set(samples) - {"short"}
+    assert all(np.allclose(whole[s], apart[s], rtol=1e-9, atol=0) for s in whole)

@@ -53,3 +53,19 @@ def test_kernels_learned_first_then_answered(panel):
     other = panel.where(F.col("sample_id") == "s1")
     with sharing(panel):
         assert map_arrays(pair_arrays(other), PAIR, ["x", "y"], double, ["v"]).where("v IS NOT NULL").count() == 3
+
+
+def test_statistics_without_kernels_are_built_once(panel, monkeypatch):
+    calls = {}
+
+    def counted(name, fn):
+        def call(p):
+            calls[name] = calls.get(name, 0) + 1
+            return fn(p)
+
+        return call
+
+    names = ["cov", "cov_oas", "prec", "kendall", "cds"]
+    monkeypatch.setattr(catalog, "FAMILIES", {n: (counted(n, catalog.FAMILIES[n][0]), catalog.FAMILIES[n][1]) for n in names})
+    assert {r.spi for r in catalog.spi_all(panel).select("spi").distinct().collect()} >= {"kendalltau", "cds"}
+    assert calls == {"cov": 1, "cov_oas": 1, "prec": 1, "kendall": 2, "cds": 1}
